@@ -96,14 +96,14 @@ SELECT DISTINCT area, record_id, md5(body) AS content_md5 FROM records WHERE bod
 """,
     "p6_found": """
 WITH refs AS (
-  SELECT 'chain_id_parent' AS ref_field, trim(chain_id_parent, ' ') AS k, added_at AS at FROM parents WHERE chain_id_parent IS NOT NULL
+  SELECT 'chain_id_parent' AS ref_field, trim(chain_id_parent, ' ') AS k, added_at AS linked FROM parents WHERE chain_id_parent IS NOT NULL
   UNION ALL SELECT 'chain_id_child', trim(chain_id_child, ' '), added_at FROM parents WHERE chain_id_child IS NOT NULL),
 targets AS (
   SELECT trim(id, ' ') AS k, min(added_at) AS added, bool_or(removed_at IS NULL) AS alive FROM chains WHERE id IS NOT NULL GROUP BY 1),
 found AS (
   SELECT ref_field, r.k AS chain_id,
-    CASE WHEN t.k IS NULL THEN 'missing' WHEN NOT alive THEN 'deleted' WHEN added > at THEN 'late' END AS kind,
-    coalesce(strftime(at, '%Y-%m'), 'unknown') AS ref_month
+    CASE WHEN t.k IS NULL THEN 'missing' WHEN NOT alive THEN 'deleted' WHEN added > linked THEN 'late' END AS kind,
+    coalesce(strftime(linked, '%Y-%m'), 'unknown') AS ref_month
   FROM refs r LEFT JOIN targets t ON r.k = t.k)
 SELECT DISTINCT ref_field, chain_id, kind, ref_month FROM found WHERE kind IS NOT NULL
 """,
