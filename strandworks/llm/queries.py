@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandworks.llm.leakage import leaked_items, leaked_spans
 from strandworks.llm.oddsketch import clean, duplicate_classes, similar_pairs
+from strandworks.llm.sentences import split_sentences
 from strandworks.llm.splits import assign_groups, tied_keys
 from strandworks.llm.tokenization import encode_corpus
 from strandworks.plans.scratch import Scratch
@@ -60,7 +61,11 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p5_found, p5_splits, p7_ids, p8_found, p8_spans)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p5_found, p5_splits, p7_ids, p8_found, p8_spans, p9_found)}
 
 _GRAMS = """
 grams AS (
