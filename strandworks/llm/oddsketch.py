@@ -88,16 +88,18 @@ def odd_sketches(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8).reshape(m, bits), axis=1, bitorder="little").view(np.int64)
 
 
-def sketch_limit(threshold: float, samples: int = SAMPLES, bits: int = BITS, sigmas: float = 5.0) -> int:
+def sketch_limit(threshold: float, samples: int = SAMPLES, bits: int = BITS, sigmas: float = 4.5) -> int:
     """Most differing bits of a pair at the threshold, but for ``sigmas`` deviations.
 
-    Of k samples k(1-J) differ, up to a binomial deviation; each puts one element
-    of either side into the symmetric difference of d elements, of which an odd
-    sketch of n bits shows n/2 (1 - (1 - 2/n)**d), up to that count's own deviation.
+    Of k samples k(1-J) differ, binomially; each puts one element of either side into
+    the symmetric difference of d elements, of which an odd sketch of n bits shows
+    n/2 (1 - (1 - 2/n)**d).  Both deviations add up as variances.
     """
-    differ = samples * (1 - threshold) + sigmas * math.sqrt(samples * threshold * (1 - threshold))
-    p = (1 - (1 - 2 / bits) ** (2 * min(samples, differ))) / 2
-    return math.ceil(bits * p + sigmas * math.sqrt(bits * p * (1 - p)))
+    d = 2 * samples * (1 - threshold)
+    stays = (1 - 2 / bits) ** d
+    p = (1 - stays) / 2
+    sampling = 2 * stays * math.sqrt(samples * threshold * (1 - threshold))
+    return math.ceil(bits * p + sigmas * math.sqrt(sampling**2 + bits * p * (1 - p)))
 
 
 def _pairs(rows: DataFrame, hot: int | None) -> DataFrame:
