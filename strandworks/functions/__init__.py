@@ -1,0 +1 @@
+"""Fixed tables, expressions and numeric kernels."""
