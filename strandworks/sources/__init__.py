@@ -1,0 +1 @@
+"""Readers and writers of the text formats, and stubs for remote services."""
