@@ -65,16 +65,17 @@ def _(spark, d):
     return back.drop("ins_code")
 
 
-@reg.add("op_2_1_9_sequence_dump", f"{SEQ} SELECT seq_id, CAST(i AS INTEGER) AS i, substr(s, i, 1) AS aa FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM sequences) WHERE length(s) < 40")
+@reg.add("op_2_1_9_sequence_dump", f"{SEQ} SELECT seq_id, CAST(i AS INTEGER) AS i, substr(s, i, 1) AS aa FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM sequences)")
 def _(spark, d):
-    """Tab-separated dumps, one folder per object, read back by their paths."""
+    """Tab-separated dumps in folders by chain type, read back by their paths."""
     from strandworks.operators.residues import explode_sequence
 
     path = Scratch(spark, "dump").path("out")
-    rows = explode_sequence(sequences(spark, d).where("length(s) < 40"), "seq_id", "s", "aa")
-    rows.select("seq_id", "i", "aa").repartition("seq_id").write.partitionBy("seq_id").option("sep", "\t").option("header", "true").csv(path)
-    back = spark.read.schema("i int, aa string").option("sep", "\t").option("header", "true").csv(f"{path}/*").select(F.regexp_extract(F.col("_metadata.file_path"), r"seq_id=(\d+)", 1).cast("long").alias("seq_id"), "i", "aa")
-    return back
+    rows = explode_sequence(sequences(spark, d), "seq_id", "s", "aa").withColumn("folder", F.pmod("seq_id", F.lit(8)))
+    rows.select("folder", "seq_id", "i", "aa").write.partitionBy("folder").option("sep", "\t").option("header", "true").csv(path)
+    back = spark.read.schema("seq_id long, i int, aa string").option("sep", "\t").option("header", "true").csv(f"{path}/*")
+    where = F.regexp_extract(F.col("_metadata.file_path"), r"folder=(\d+)", 1).cast("long")
+    return back.where(where == F.pmod("seq_id", F.lit(8))).select("seq_id", "i", "aa")
 
 
 @reg.add("op_2_1_14_directory_tree", "SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir, count(*) AS n_files, count(DISTINCT regexp_extract(file_path, '([^/]*)$', 1)) AS n_names FROM collection_files GROUP BY 1")
