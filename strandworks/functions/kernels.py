@@ -116,6 +116,7 @@ def profile_scan(sequence: str, profile: np.ndarray, gap_open: float = -11.0, ga
     origin = np.zeros((m + 1, 2), np.int64)
     i_origin, d_origin = origin.copy(), origin.copy()
     best = (0.0, 0, 0, 0, 0)
+    steps = np.arange(1, m + 1)
     for i, c in enumerate(code, 1):
         emit = profile[:, c] if c >= 0 else np.full(m, -1.0)
         stack = np.stack([np.zeros(m), match[:-1], ins[:-1], dele[:-1]])
@@ -126,10 +127,12 @@ def profile_scan(sequence: str, profile: np.ndarray, gap_open: float = -11.0, ga
         grow = np.stack([match + gap_open, ins + gap_extend])
         i_origin = np.where((grow.argmax(0) == 0)[:, None], origin, i_origin)
         ins = grow.max(0)
-        nd, ndo = np.full(m + 1, neg), d_origin.copy()
-        for j in range(1, m + 1):
-            a, b = new[j - 1] + gap_open, nd[j - 1] + gap_extend
-            nd[j], ndo[j] = (a, o[j - 1]) if a >= b else (b, ndo[j - 1])
+        # a run of deletions opens after the best earlier match: a running maximum
+        opened = new[:-1] + gap_open - gap_extend * steps
+        top = np.maximum.accumulate(opened)
+        since = np.maximum.accumulate(np.where(opened >= top, steps - 1, 0))
+        nd = np.concatenate([[neg], top + gap_extend * steps])
+        ndo = np.concatenate([[[0, 0]], o[since]])
         match, origin, dele, d_origin = new, o, nd, ndo
         j = int(match[1:].argmax()) + 1
         if match[j] > best[0]:

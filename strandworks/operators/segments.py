@@ -150,6 +150,6 @@ def segment_numbering(df: DataFrame, keys: list[str], frm: tuple[str, str], to:
     target = spans.select(*keys, "till", F.explode(F.sequence("a", "b")).alias("p"))
     target = target.groupBy(*keys, "p").agg(F.bool_or(F.col("p") <= F.col("till")).alias("there"))
     target = target.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("p")).alias("at"), F.when(F.col("there"), F.col("p")).alias("to_pos"))
-    source = df.groupBy(*keys).agg(F.min(frm[0]).alias("a"), F.max(frm[1]).alias("b")).select(*keys, F.posexplode(F.sequence("a", "b")).alias("k", "from_pos"))
-    source = source.select(*keys, (F.col("k") + 1).alias("at"), "from_pos")
+    source = df.groupBy(*keys).agg(F.min(frm[0]).alias("a"), F.max(frm[1]).alias("b")).select(*keys, F.posexplode(F.sequence("a", "b")).alias("_k", "from_pos"))
+    source = source.select(*keys, (F.col("_k") + 1).alias("at"), "from_pos")
     return source.join(target, [*keys, "at"])
