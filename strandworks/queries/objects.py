@@ -121,10 +121,12 @@ def _largest_msa(spark, d):
     f"""{W_MSA}, cells AS (SELECT msa_id, pos, substr(aligned, pos, 1) AS aa FROM (SELECT *, unnest(range(1, length(aligned) + 1)) AS pos FROM msa)),
 tot AS (SELECT msa_id, pos, count(*) AS n, count(*) FILTER (aa = '-') AS g FROM cells GROUP BY 1, 2), kept AS (SELECT *, row_number() OVER (PARTITION BY msa_id ORDER BY pos) AS p FROM tot WHERE g <= 0.5 * n),
 per AS (SELECT msa_id, pos, aa, count(*) AS k FROM cells GROUP BY 1, 2, 3)
-SELECT kept.msa_id, CAST(p AS INTEGER) AS pos, l.aa, round(ln((coalesce(k, 0) + 0.05) / (n - g + 1.0) * 20), 6) AS score FROM kept CROSS JOIN (SELECT unnest(string_split('A C D E F G H I K L M N P Q R S T V W Y', ' ')) AS aa) l LEFT JOIN per ON per.msa_id = kept.msa_id AND per.pos = kept.pos AND per.aa = l.aa""",
+SELECT kept.msa_id, CAST(p AS INTEGER) AS pos, count(*) AS n_letters, round(max(ln((coalesce(k, 0) + 0.05) / (n - g + 1.0) * 20)), 6) AS best, round(min(ln((coalesce(k, 0) + 0.05) / (n - g + 1.0) * 20)), 6) AS worst FROM kept CROSS JOIN (SELECT unnest(string_split('A C D E F G H I K L M N P Q R S T V W Y', ' ')) AS aa) l LEFT JOIN per ON per.msa_id = kept.msa_id AND per.pos = kept.pos AND per.aa = l.aa GROUP BY 1, 2""",
 )
 def _(spark, d):
-    return P.build(msa(spark, d)).withColumn("score", F.round("score", 6))
+    """Every profile, summed up by its best and worst letter in each column."""
+    rows = P.build(msa(spark, d)).groupBy("msa_id", "pos")
+    return rows.agg(F.count(F.lit(1)).alias("n_letters"), F.round(F.max("score"), 6).alias("best"), F.round(F.min("score"), 6).alias("worst"))
 
 
 def _hits(spark, d):
