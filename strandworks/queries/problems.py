@@ -69,7 +69,7 @@ UNION ALL SELECT n, 'below', '', -1, '' FROM under
 """,
     "p3_found": """
 WITH segs AS (
-  SELECT upper(trim(uniprot_id, ' ')) AS k, uniprot_start AS s, uniprot_end AS e FROM sifts
+  SELECT DISTINCT upper(trim(uniprot_id, ' ')) AS k, uniprot_start AS s, uniprot_end AS e FROM sifts
   WHERE uniprot_id IS NOT NULL AND uniprot_start >= 1 AND uniprot_start <= uniprot_end),
 marked AS (
   SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM segs),
