@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandworks.llm.leakage import leaked_items, leaked_spans
 from strandworks.llm.oddsketch import clean, duplicate_classes, similar_pairs
 from strandworks.llm.sentences import split_sentences
-from strandworks.llm.splits import assign_groups, tied_keys
+from strandworks.llm.splits import assign_groups, assign_loose, tied_keys
 from strandworks.llm.tokenization import encode_corpus
 from strandworks.plans.scratch import Scratch
 from strandworks.plans.tables import table
@@ -35,8 +35,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per group with its rows and its split; rows without keys are groups
-    of one that fill up the splits and are summed per split under a null key."""
+    """One row per group with its rows and its split; rows without keys go one by one
+    and are summed per split under a null group."""
     sifts = table(spark, sf_dir, "sifts")
     scratch = Scratch(spark, "splits")
     groups = scratch.save(tied_keys(sifts, _key("uniprot_id"), _key("pdb"), "uniprot", "pdb"), "groups")
@@ -46,7 +46,10 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     weights = keyed.groupBy("key_kind", "record_key").agg(F.count(F.lit(1)).alias("n_rows"))
     weights = weights.join(groups, ["key_kind", "record_key"]).groupBy("group_key").agg(F.sum("n_rows").alias("n_rows"))
-    return assign_groups(scratch.save(weights, "weights"), table(spark, sf_dir, "split_plan"))
+    plan = table(spark, sf_dir, "split_plan")
+    loose = assign_loose(sifts.where("uniprot_id is null and pdb is null"), plan)
+    tied = assign_groups(scratch.save(weights, "weights"), plan)
+    return tied.unionByName(loose.select(F.lit(None).cast("string").alias("group_key"), "n_rows", "split_name"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

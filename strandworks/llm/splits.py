@@ -91,6 +91,25 @@ def tied_keys(table: DataFrame, left: Column, right: Column, left_kind: str, rig
     return named.select(kind.alias("key_kind"), rest("vertex").alias("record_key"), rest("least").alias("group_key"))
 
 
+def _shares(plan: DataFrame) -> list[tuple[str, float]]:
+    rows_ = plan.select("split_name", "share").where("share > 0").orderBy("split_name").take(10_001)
+    if len(rows_) > 10_000:
+        raise ValueError("a plan of more than 10,000 splits")
+    return [(r[0], float(r[1])) for r in rows_]
+
+
+def assign_loose(table: DataFrame, plan: DataFrame) -> DataFrame:
+    """``(split_name, n_rows)`` of rows that nothing ties: each goes by its own hash, so
+    equal rows stay together and shares are met on average."""
+    shares = _shares(plan)
+    place = F.pmod(F.xxhash64(F.lit("loose"), *table.columns), F.lit(1 << 30)) / (1 << 30)
+    split, upto = F.lit(shares[-1][0] if shares else None), 1.0
+    for name, share in reversed(shares):
+        split = F.when(place <= upto, F.lit(name)).otherwise(split)
+        upto -= share / sum(s for _, s in shares)
+    return table.groupBy(split.alias("split_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def assign_groups(groups: DataFrame, plan: DataFrame) -> DataFrame:
     """``(group_key, n_rows, split_name)``: whole groups to splits by their shares.
 
@@ -101,7 +120,7 @@ def assign_groups(groups: DataFrame, plan: DataFrame) -> DataFrame:
     still lack; the line is summed in buckets, never in one task.  A share is met
     within a thousandth or so unless one group alone is larger than it.
     """
-    shares = [(r[0], float(r[1])) for r in plan.select("split_name", "share").where("share > 0").orderBy("split_name").limit(1000).collect()]
+    shares = _shares(plan)
     total = groups.agg(F.sum("n_rows")).first()[0] or 0
     lacks = {name: share * total / sum(s for _, s in shares) for name, share in shares}
     big = groups.where(F.col("n_rows") > total * BIG)

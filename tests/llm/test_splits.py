@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandworks.llm.splits import assign_groups, components, tied_keys
+from strandworks.llm.splits import assign_groups, assign_loose, components, tied_keys
 
 
 def union_find(pairs, vertices):
@@ -56,3 +56,11 @@ def test_shares(spark, big):
     for name, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
         assert abs(sum(r.n_rows for r in rows if r.split_name == name) / total - share) < 0.01
     assert assign_groups(df.limit(0), plan).count() == 0
+
+
+def test_loose_rows(spark):
+    plan = spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split_name string, share double")
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
+    got = {r.split_name: r.n_rows for r in assign_loose(df, plan).collect()}
+    assert sum(got.values()) == 20_000 and abs(got["train"] / 20_000 - 0.8) < 0.01
+    assert assign_loose(df.limit(0), plan).count() == 0
