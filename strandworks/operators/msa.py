@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandworks.functions.kernels import align_pair, numbers_of
+from strandworks.plans.spread import spread
 
 GAP = "-"
 
@@ -99,7 +100,7 @@ def align(df: DataFrame, a: str, b: str) -> DataFrame:
     numbers)``; ``numbers`` maps the letters of ``a`` to places in ``b``, null on a
     gap.  Null texts give nulls.  The pair is one row, so spread pairs, not objects."""
     aligner = F.pandas_udf(_align, "a string, b string, score int, numbers array<int>")
-    return df.withColumn("aln", aligner(F.col(a), F.col(b)))
+    return spread(df, a, 4).withColumn("aln", aligner(F.col(a), F.col(b)))
 
 
 def annotate(msa: DataFrame, rows: DataFrame) -> DataFrame:
