@@ -13,5 +13,5 @@ def spread(df: DataFrame, key: str, per_core: int = 1) -> DataFrame:
     """The same rows, hashed by ``key`` over all cores if the table is so small that a
     scan would leave cores idle; as they are otherwise."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores * per_core, key) if cores > 1 and size < SMALL * cores else df
