@@ -17,6 +17,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from strandworks.plans.spread import spread
+
 WINDOW = 32
 #: Normalised characters of a shard; longer documents are cut into overlapping
 #: pieces, so that no window is lost.
@@ -232,7 +234,7 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     of whose windows of ``window`` normalised characters stand in the item.  Null,
     empty and short texts on either side have no span; items that occur under two
     ids are reported under both; repeated documents are reported each.  Documents
-    are never shuffled.  The held-out set is the query side: it is searched against
+    are not shuffled, unless they are too few to fill all cores.  The held-out set is the query side: it is searched against
     all rows in blocks of bounded size, each broadcast.
     """
     held = [(r[0], normalise(r[1])) for r in items.select(item_key, text).toLocalIterator() if r[0] is not None]
@@ -280,7 +282,7 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
             if shard:
                 yield flush(shard, raw)
 
-        return docs.select(doc_key, text).mapInPandas(run, schema)
+        return spread(docs.select(doc_key, text), doc_key).mapInPandas(run, schema)
 
     out = searched(blocks[0])
     for block in blocks[1:]:

@@ -19,6 +19,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from strandworks.plans.spread import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public vocabulary splits a text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -151,7 +153,8 @@ class Encoder:
 
 
 def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id", text: str = "text", pattern: str = PATTERN) -> DataFrame:
-    """``(key, ids array<int>)`` of every row; map-only, no shuffle.
+    """``(key, ids array<int>)`` of every row; map-only, but that a table
+    too small to fill all cores is spread over them first.
 
     * Null and empty texts give the empty list; no text is cut.
     * Strings of special tokens are ordinary text.
@@ -178,4 +181,4 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: st
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(docs.select(key, text), key, 2).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
