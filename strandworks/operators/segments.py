@@ -7,6 +7,9 @@ filter, a join condition or a projection.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,29 +114,47 @@ def resolve_overlaps(df: DataFrame, group: str, s: str, e: str, value: str) -> D
     rows = df.where(F.col(s) > 0).groupBy(group, s, e).agg(F.max(value).alias(value)).where(F.col(value) > 0)
     rows = islands(rows, [group], s, e).select(F.col(group).alias("g"), "island", F.col(s).alias("s"), F.col(e).alias("e"), F.col(value).cast("double").alias("v"))
     kind = df.schema[group].dataType.simpleString()
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["e", "s"]).reset_index(drop=True)
-        ends = pdf["e"].to_numpy()
-        before = ends.searchsorted(pdf["s"].to_numpy(), "left")
-        # (value, -count, starts negated): the greatest wins
-        table: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
-        picked: list[tuple[int, ...]] = [()]
-        for i in range(len(pdf)):
-            v, c, starts = table[before[i]]
-            take = (v + float(pdf.at[i, "v"]), c - 1, starts + (-int(pdf.at[i, "s"]),))
-            if take > table[-1]:
-                table.append(take)
-                picked.append(picked[before[i]] + (i,))
-            else:
-                table.append(table[-1])
-                picked.append(picked[-1])
-        return pdf.loc[list(picked[-1]), ["g", "s", "e", "v"]]
-
     single = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g", "island")))
-    alone = single.where("n = 1").select("g", "s", "e", "v")
-    solved = single.where("n > 1").drop("n").groupBy("g", "island").applyInPandas(best, f"g {kind}, s int, e int, v double")
-    return alone.select("g", F.col("s").cast("int"), F.col("e").cast("int"), "v").unionByName(solved).select(F.col("g").alias(group), F.col("s").alias(s), F.col("e").alias(e), F.col("v").alias(value))
+    alone = single.where("n = 1").select("g", F.col("s").cast("int"), F.col("e").cast("int"), "v")
+    # islands lie one after the other in sorted partitions; the kernel keeps one at a time
+    crowded = single.where("n > 1").drop("n").repartition("g", "island").sortWithinPartitions("g", "island", "e", "s")
+    solved = crowded.mapInPandas(_solve_islands, f"g {kind}, s int, e int, v double")
+    return alone.unionByName(solved).select(F.col("g").alias(group), F.col("s").alias(s), F.col("e").alias(e), F.col("v").alias(value))
+
+
+def _best_subset(island: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Weighted interval scheduling of ``(s, e, v)`` sorted by end."""
+    ends = [e for _, e, _ in island]
+    # (value, -count, starts negated): the greatest wins
+    table: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
+    came: list[tuple[int, bool]] = [(0, False)]
+    for i, (s, _, v) in enumerate(island):
+        k = bisect_left(ends, s)
+        total, n, starts = table[k]
+        take = (total + v, n - 1, (*starts, -s))
+        came.append((k, True) if take > table[-1] else (i, False))
+        table.append(max(take, table[-1]))
+    out, i = [], len(island)
+    while i:
+        k, taken = came[i]
+        if taken:
+            out.append(island[i - 1])
+        i = k
+    return out[::-1]
+
+
+def _solve_islands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key, island, out = None, [], []
+    for batch in batches:
+        for g, number, s, e, v in zip(*(batch[c].tolist() for c in ("g", "island", "s", "e", "v"))):
+            if (g, number) != key:
+                out += [(key[0], *x) for x in _best_subset(island)] if key else []
+                key, island = (g, number), []
+            island.append((s, e, v))
+        yield pd.DataFrame(out, columns=["g", "s", "e", "v"])
+        out = []
+    if key:
+        yield pd.DataFrame([(key[0], *x) for x in _best_subset(island)], columns=["g", "s", "e", "v"])
 
 
 def segment_numbering(df: DataFrame, keys: list[str], frm: tuple[str, str], to: tuple[str, str]) -> DataFrame:
