@@ -50,8 +50,8 @@ def test_mmcif_pdb_and_gzip(spark, tmp_path):
 
 
 def test_fasta_scan_data_source_and_writer(spark, tmp_path):
-    (tmp_path / "a.fasta").write_text(">seq1 first\nLXTRA\nCTOR\n\n>seq2\nTRACT\n")
-    want = {("seq1", "LXTRACTOR"), ("seq2", "TRACT")}
+    (tmp_path / "a.fasta").write_text(">seq1 first\nMKVLA\nAGIK\n\n>seq2\nMKTAY\n")
+    want = {("seq1", "MKVLAAGIK"), ("seq2", "MKTAY")}
     assert {(r.seq_id, r.seq1) for r in fasta.read_fasta(spark, f"file://{tmp_path}").collect()} == want
     assert {r.seq_id for r in fasta.read_fasta(spark, f"file://{tmp_path}", strip_id=False).collect()} == {"seq1 first", "seq2"}
     spark.dataSource.register(fasta.FastaDataSource)
