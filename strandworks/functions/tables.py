@@ -50,7 +50,17 @@ BONDS = {
 LIGAND_MIN_ATOMS, LIGAND_MIN_ATOM_CONTACTS, LIGAND_MIN_RESIDUE_CONTACTS = 6, 5, 3
 
 #: Residue names of water and common solvents and ions.
-SOLVENTS = ("HOH", "WAT", "DOD", "H2O", "SOL", "NA", "CL", "K", "MG", "CA", "ZN", "MN", "FE", "CU", "CO", "NI", "CD", "SO4", "PO4", "GOL", "EDO", "ACT", "PEG", "DMS", "BME", "MPD", "IPA", "EOH", "FMT", "NO3", "TRS", "MES", "EPE", "IOD", "BR")
+SOLVENTS = tuple(
+    """
+    1PE 2HT 2PE 3CO 3NI 3P8 4MO 4PU 4TI 6MO 7PE ACT AF3 AG AL ALF AM AU AU3 AUC AZI BA BCT BEF BF4 BME BO4 BR BS3
+    BSY BTB BU3 BUD CA CAC CD CE CF CIT CL CO CO3 COM CON CR CS CU CU1 CU3 CUA CUZ CXS CYN DIO DMS DOD DTD DTT DTV
+    DVT DY EDO EMC EOH EPE ER3 EU EU3 F FE FE2 FLC FMT FPO GA GBL GD3 GG5 GLC GOL HG HN4 HOH IN IOD IPA IPH IR IR3
+    IRI IUM K LA LCO LCP LI LU MAC MES MG MGF MG8 MLA MLI MMC MOO MN MN3 MOH MOS MOW MPD MRD MXE MYR NA ND NET NH4
+    NI NO2 NO3 NRU OAA OCT OH OS OS4 OXL P4C P4G P6G PB PBM PD PDV PE4 PEG PER PG0 PG4 PGE PGF PGO PI PO3 PO4 PR
+    PT PT4 PTL PTN RB RH3 RHD RHF RU SB SCN SE4 SEK SGM SIN SM SMO SO3 SO4 SR SRT T1A TAM TAR TB TBA TBR TCE TCN
+    TFA TH THE TL TLA TMA TRS UNX V VN3 VO4 W WO5 Y1 YB YB2 YT3 ZCM ZN ZN2 ZR
+    """.split()
+)
 
 #: Bits of an atom's mark.
 MARK = {"UNK": 1, "SOLVENT": 2, "LIGAND": 4, "PEP": 8, "NUC": 16, "CARB": 32, "COVALENT": 64}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandworks.operators.residues import explode_sequence
 from strandworks.plans.tables import table
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
@@ -23,6 +23,7 @@ class Registry:
 
     def add(self, name: str, sql: str | None = None):
         def keep(f):
+            f.__name__ = name
             self.queries[name] = f
             if sql:
                 self.sql[name] = sql
