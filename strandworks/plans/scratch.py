@@ -62,17 +62,29 @@ def _forget(spark: SparkSession, root: str) -> None:
         pass
 
 
+_roots: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every staged table this process made and has not deleted yet.  Results
+    of operators that were not stored elsewhere cannot be read any more."""
+    while _roots:
+        _forget(spark, _roots.pop())
+
+
 class Scratch:
     """One operator run's staged tables; :meth:`drop` frees those no longer read.
 
-    What is left lies there until the interpreter ends or :meth:`close` is
-    called, because the DataFrame an operator returns may still read it.
+    What is left lies there until the interpreter ends, :func:`clear` or
+    :meth:`close` is called, because the DataFrame an operator returns may still
+    read it.  Call :func:`clear` before stopping a session.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _roots.append(self.root)
         atexit.register(_forget, spark, self.root)
 
     def path(self, name: str) -> str:

@@ -38,3 +38,17 @@ def test_only_small_tables_are_spread(spark, tmp_path):
     small = spark.read.parquet(path)
     assert "Exchange" in plan_of(spread(small, "id"))
     assert "Exchange" not in plan_of(spread(spark.range(0, 1 << 40), "id"))
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from strandworks.plans.scratch import Scratch, clear, path_exists, rows
+
+    scratch = Scratch(spark, "test")
+    back, seen = scratch.save(spark.range(7), "t", n=rows())
+    assert seen["n"] == back.count() == 7
+    scratch.drop(back)
+    assert not path_exists(spark, back._scratch_path)
+    kept = scratch.save(spark.range(3), "u")
+    clear(spark)
+    assert not path_exists(spark, kept._scratch_path)
+    assert scratch.save(spark.range(0), "empty", n=rows())[1]["n"] == 0
