@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from strandworks.functions.kernels import superpose, surface_areas
 from strandworks.functions.tables import AMINO, BACKBONE, BONDS, MARK, NUCLEOTIDES, SIDE_CHAIN, SOLVENTS
+from strandworks.plans.ship import ship
 
 KEY = "structure_id"
 
@@ -258,6 +259,7 @@ def areas(atoms: DataFrame, probe: float = 1.4, points: int = 100) -> DataFrame:
         pdf = pdf.sort_values("atom_idx")
         return pdf[[KEY, "atom_idx"]].assign(area=surface_areas(pdf[["x", "y", "z"]].to_numpy(float), pdf["element"].tolist(), probe, points))
 
+    ship(atoms.sparkSession)
     return atoms.select(KEY, "atom_idx", "element", "x", "y", "z").groupBy(KEY).applyInPandas(run, f"{KEY} string, atom_idx int, area double")
 
 
@@ -268,6 +270,7 @@ def superpose_pairs(pairs: DataFrame) -> DataFrame:
         *_, rmsd = superpose(pdf[["fx", "fy", "fz"]].to_numpy(float), pdf[["mx", "my", "mz"]].to_numpy(float))
         return pd.DataFrame([(pdf["fixed_id"].iloc[0], pdf["mobile_id"].iloc[0], len(pdf), rmsd)], columns=["fixed_id", "mobile_id", "n", "rmsd"])
 
+    ship(pairs.sparkSession)
     return pairs.groupBy("fixed_id", "mobile_id").applyInPandas(run, "fixed_id string, mobile_id string, n int, rmsd double")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandworks.operators.atoms import KEY, grid_pairs, is_solvent
+from strandworks.plans.ship import ship
 
 
 class MissingData(Exception):
@@ -79,6 +80,7 @@ def contact_components(edges: DataFrame, min_nodes: int = 2) -> DataFrame:
             up[max(x, y)] = min(x, y)
         return pd.DataFrame([(pdf[KEY].iloc[0], v, find(v)) for v in list(up)], columns=[KEY, "atom", "component"])
 
+    ship(edges.sparkSession)
     found = edges.select(KEY, "a", "b").groupBy(KEY).applyInPandas(run, f"{KEY} string, atom int, component int")
     sizes = found.groupBy(KEY, "component").agg(F.count(F.lit(1)).alias("n"))
     return found.join(sizes, [KEY, "component"]).where(F.col("n") >= min_nodes).select(KEY, "atom", "component")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandworks.plans.ship import ship
+
 
 def is_empty(s: Column, e: Column) -> Column:
     return (s == 0) & (e == 0)
@@ -114,6 +116,7 @@ def resolve_overlaps(df: DataFrame, group: str, s: str, e: str, value: str) -> D
     rows = df.where(F.col(s) > 0).groupBy(group, s, e).agg(F.max(value).alias(value)).where(F.col(value) > 0)
     rows = islands(rows, [group], s, e).select(F.col(group).alias("g"), "island", F.col(s).alias("s"), F.col(e).alias("e"), F.col(value).cast("double").alias("v"))
     kind = df.schema[group].dataType.simpleString()
+    ship(df.sparkSession)
     single = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g", "island")))
     alone = single.where("n = 1").select("g", F.col("s").cast("int"), F.col("e").cast("int"), "v")
     # islands lie one after the other in sorted partitions; the kernel keeps one at a time

@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from strandworks.plans.ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session."""
@@ -81,6 +83,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from strandworks.plans.ship import ship
+
 #: Below so many estimated bytes per core a shuffle costs next to nothing; above,
 #: the splits of the scan spread the rows already.
 SMALL = 2 << 20
@@ -12,6 +14,7 @@ SMALL = 2 << 20
 def spread(df: DataFrame, key: str, per_core: int = 1) -> DataFrame:
     """The same rows, hashed by ``key`` over all cores if the table is so small that a
     scan would leave cores idle; as they are otherwise."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores * per_core, key) if cores > 1 and size < SMALL * cores else df

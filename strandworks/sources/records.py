@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandworks.plans.ship import ship
 from strandworks.sources.structure_text import star_loops
 
 
@@ -64,6 +65,7 @@ def parse_components(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         rows.append((key, *parts[0][1:].split(".", 1), 0, parts[1].strip().strip("'\"")))
             yield pd.DataFrame(rows, columns=["comp_id", "grp", "field", "pos", "value"])
 
+    ship(texts.sparkSession)
     return texts.select(id_col, text_col).mapInPandas(run, "comp_id string, grp string, field string, pos int, value string")
 
 

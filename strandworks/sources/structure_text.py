@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandworks.plans.ship import ship
+
 SCHEMA = (
     "structure_id string, atom_idx int, chain_id string, res_id int, ins_code string, res_name string, atom_name string, element string, "
     "hetero boolean, altloc_id string, x double, y double, z double"
@@ -114,6 +116,7 @@ def parse_structures(texts: DataFrame, id_col: str, text_col: str, fmt: str = "m
             rows = [r for key, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]) if isinstance(text, str) for r in parser(text, key)]
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
+    ship(texts.sparkSession)
     return texts.select(id_col, text_col).mapInPandas(run, SCHEMA)
 
 
@@ -132,6 +135,7 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
                 rows += parse(raw.decode("utf-8", "replace"), base.split(".", 1)[0])
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
+    ship(spark)
     return files.mapInPandas(run, SCHEMA)
 
 
@@ -141,6 +145,7 @@ def structure_texts(atoms: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("atom_idx")
         return pd.DataFrame([(pdf["structure_id"].iloc[0], format_pdb([tuple(r) for r in pdf[_COLUMNS].itertuples(index=False)]))], columns=["structure_id", "text"])
 
+    ship(atoms.sparkSession)
     return atoms.select(*_COLUMNS).groupBy("structure_id").applyInPandas(run, "structure_id string, text string")
 
 
