@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandworks.functions.kernels import superpose
 from strandworks.operators.atoms import KEY, grid_pairs, is_solvent
 from strandworks.plans.ship import ship
 
@@ -115,3 +117,59 @@ def dockq(fnat: Column, irmsd: Column, lrmsd: Column, strict: bool = False) -> C
     d_i, d_l = (1.5, 8.5) if strict else (8.5, 1.5)
     scaled = lambda r, d: 1 / (1 + (r / d) ** 2)
     return (fnat + scaled(irmsd, d_i) + scaled(lrmsd, d_l)) / 3
+
+
+def fnat_contacts(reference: DataFrame, model: DataFrame) -> DataFrame:
+    """``structure_id, fnat``: contacts of the model whose both atoms are contact atoms
+    of the reference, over the reference's contacts; 0 for a model without contacts."""
+    points = ends(reference).select(KEY, "atom").distinct()
+    end = lambda s: points.withColumnRenamed("atom", s)
+    kept = model.select(KEY, "a", "b").join(end("a"), [KEY, "a"], "left_semi").join(end("b"), [KEY, "b"], "left_semi")
+    n = reference.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    hit = kept.groupBy(KEY).agg(F.count(F.lit(1)).alias("hit"))
+    return n.join(hit, KEY, "left").select(KEY, (F.coalesce("hit", F.lit(0)) / F.col("n")).alias("fnat"))
+
+
+def state_deviations(reference: DataFrame, mobile: DataFrame, edges: DataFrame, partners: str, chains: list[str] | None = None, ligand: list[str] | None = None, min_atoms: int = 5) -> DataFrame:
+    """``structure_id, n_superposed, superposed_rmsd, irmsd, lrmsd, error``: the mobile
+    state laid onto the reference over the contact atoms of the reference's contacts
+    that touch ``chains`` (side a without a choice), then the deviations over all its
+    contact atoms and over the ``ligand`` chains (side b without a choice).
+
+    States must have the same atoms in the same order.  Those that do not, and those
+    with fewer than ``min_atoms`` atoms to superpose, are rows with an error.
+    """
+    left, right = parse_partners(partners)
+    left, right = chains or left, ligand or right
+    side = lambda df, s: df.select(KEY, "atom_idx", *[F.col(c).alias(f"{s}_{c}") for c in ("chain_id", "atom_name", "x", "y", "z")])
+    mask = lambda e, s: ends(e).select(KEY, F.col("atom").alias("atom_idx")).distinct().withColumn(s, F.lit(True))
+    rows = side(reference, "r").join(side(mobile, "m"), [KEY, "atom_idx"], "full")
+    rows = rows.join(mask(touching(edges, left), "spp"), [KEY, "atom_idx"], "left").join(mask(edges, "contact"), [KEY, "atom_idx"], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        def out(n, *values, error=None):
+            return pd.DataFrame([(pdf[KEY].iloc[0], n, *(values or (None,) * 3), error)], columns=[KEY, "n_superposed", "superposed_rmsd", "irmsd", "lrmsd", "error"])
+
+        spp, contact = (pdf[c].notna().to_numpy() for c in ("spp", "contact"))
+        n = int(spp.sum())
+        if not ((pdf["r_chain_id"] == pdf["m_chain_id"]) & (pdf["r_atom_name"] == pdf["m_atom_name"])).all():
+            return out(n, error="states are not comparable")
+        if n < min_atoms:
+            return out(n, error=f"{n} atoms to superpose")
+        ref, mob = (pdf[[f"{s}_{c}" for c in "xyz"]].to_numpy(float) for s in "rm")
+        rotation, shift, rmsd = superpose(ref[spp], mob[spp])
+        off = ((mob @ rotation + shift - ref) ** 2).sum(1)
+        over = lambda m: float(np.sqrt(off[m].mean())) if m.any() else None
+        return out(n, rmsd, over(contact), over(pdf["r_chain_id"].isin(right).to_numpy()))
+
+    ship(reference.sparkSession)
+    return rows.groupBy(KEY).applyInPandas(run, f"{KEY} string, n_superposed int, superposed_rmsd double, irmsd double, lrmsd double, error string")
+
+
+def compare_states(reference: DataFrame, mobile: DataFrame, partners: str, cutoff: float = 6.0, strict: bool = False, **kwargs) -> DataFrame:
+    """:func:`state_deviations` with ``fnat`` and the ``dockq`` that follows from them."""
+    edges = contacts(reference, partners, cutoff)
+    rows = state_deviations(reference, mobile, edges, partners, **kwargs)
+    rows = rows.join(fnat_contacts(edges, contacts(mobile, partners, cutoff)), KEY, "left")
+    fnat_ = F.when(F.col("error").isNull(), F.col("fnat"))
+    return rows.withColumn("fnat", fnat_).withColumn("dockq", dockq(F.col("fnat"), F.col("irmsd"), F.col("lrmsd"), strict))

@@ -462,6 +462,23 @@ def _(spark, d):
     return out.select("structure_id", F.round("fnat", 6).alias("fnat"), F.round(I.dockq(F.col("fnat"), F.lit(2.0), F.lit(3.0)), 6).alias("dockq"))
 
 
+def _mobile(rows):
+    """A second state: the first one turned and moved as a whole, and its chains B and
+    C turned a little on their own."""
+    bent = F.col("chain_id") != "A"
+    x = F.when(bent, F.col("x") * 0.96 - F.col("y") * 0.28 + 1).otherwise(F.col("x"))
+    y = F.when(bent, F.col("x") * 0.28 + F.col("y") * 0.96 - 2).otherwise(F.col("y"))
+    return rows.withColumns({"x": 3 - y, "y": x - 5, "z": F.col("z") + 1})
+
+
+@reg.add("op_2_6_22_interface_states")
+def _(spark, d):
+    """Both states superposed by structure: the deviations, fnat and the score from them."""
+    rows = atoms(spark, d)
+    out = I.compare_states(rows, _mobile(rows), "A_BC", 12.0)
+    return out.select("structure_id", "n_superposed", *[F.round(c, 6).alias(c) for c in ("superposed_rmsd", "irmsd", "lrmsd", "fnat", "dockq")], "error")
+
+
 @reg.add("op_2_7_7_adjacent_comparison", f"{W}, r AS (SELECT structure_id, res_id, lead(res_id) OVER (PARTITION BY structure_id ORDER BY res_id) AS n FROM (SELECT DISTINCT structure_id, res_id FROM atoms WHERE NOT hetero)) SELECT structure_id, coalesce(bool_and(n - res_id = 1), true) AS consecutive FROM r GROUP BY 1")
 def _(spark, d):
     from pyspark.sql.window import Window

@@ -117,6 +117,24 @@ def test_partners_and_scores(spark):
     assert row.a == 1 and row.b != row.c
 
 
+def test_interface_states(spark):
+    a = [(0, 0, 0), (4, 0, 0), (0, 4, 0), (0, 0, 4)]
+    b = [(2, 0, 0), (0, 2, 0), (0, 0, 2), (30, 0, 0)]
+    place = lambda s, ch, k, p: (s, k, ch, k, "ALA", f"X{k}", "C", "", *map(float, p))
+    state = lambda s, pa, pb: [place(s, "A", k, p) for k, p in enumerate(pa)] + [place(s, "B", 4 + k, p) for k, p in enumerate(pb)]
+    turn = lambda ps: [(3 - y, x - 5, z + 1) for x, y, z in ps]
+    far = [*b[:3], (30, 0, 8)]
+    ref = atom_rows(spark, state("rigid", a, b) + state("bent", a, b) + state("short", a, b) + state("few", a[:1] + [(90, 0, 0)] * 3, [(2, 0, 0)] + [(50, 0, 0)] * 3))
+    mob = atom_rows(spark, state("rigid", turn(a), turn(b)) + state("bent", turn(a), turn(far)) + state("short", a, b)[:-1] + state("few", a[:1] + [(90, 0, 0)] * 3, [(2, 0, 0)] + [(50, 0, 0)] * 3))
+    got = {r.structure_id: r for r in I.compare_states(ref, mob, "A_B", 5.0).collect()}
+    assert got["rigid"].n_superposed == 7
+    assert [getattr(got["rigid"], c) for c in ("superposed_rmsd", "irmsd", "lrmsd")] == pytest.approx([0] * 3, abs=1e-9) and got["rigid"].dockq == pytest.approx(1)
+    # the atom that moved by 8 is no contact atom, but one of four of the ligand
+    assert (got["bent"].irmsd, got["bent"].lrmsd, got["bent"].fnat) == (pytest.approx(0, abs=1e-9), pytest.approx(4), 1)
+    assert got["bent"].dockq == pytest.approx((2 + 1 / (1 + (4 / 1.5) ** 2)) / 3)
+    assert got["short"].error == "states are not comparable" and got["few"].error == "2 atoms to superpose" and got["few"].dockq is None
+
+
 def test_record_formats(spark):
     lines = spark.createDataFrame([("f", 0, ">Cluster 0"), ("f", 1, "0\t9aa, >a... *"), ("f", 2, "1\t9aa, >b... at 99%"), ("f", 3, ">Cluster 1"), ("f", 4, "0\t9aa, >c... *")], "f string, k int, l string")
     assert {(r.cluster, r.member) for r in records.parse_clusters(lines, "f", "k", "l").collect()} == {(0, "a"), (0, "b"), (1, "c")}
