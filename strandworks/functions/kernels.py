@@ -138,3 +138,16 @@ def profile_scan(sequence: str, profile: np.ndarray, gap_open: float = -11.0, ga
         if match[j] > best[0]:
             best = (float(match[j]), int(origin[j][0]), i, int(origin[j][1]), j)
     return best
+
+
+def profile_matches(sequence: str, profile: np.ndarray, min_score: float = 0.0) -> list[tuple[float, int, int, int, int]]:
+    """Every match of :func:`profile_scan` above ``min_score``, in sequence order: the
+    best one, then those left and right of it, so that none overlaps another."""
+    out, todo = [], [(0, len(sequence))]
+    while todo:
+        a, b = todo.pop()
+        score, i, j, p, q = profile_scan(sequence[a:b], profile)
+        if score > max(min_score, 0.0):
+            out.append((score, a + i, a + j, p, q))
+            todo += [(a, a + i - 1), (a + j, b)]
+    return sorted(out, key=lambda m: m[1])

@@ -112,10 +112,6 @@ def _(spark, d):
     return rest.select("msa_id", "seq_id", "aligned").unionByName(added)
 
 
-def _largest_msa(spark, d):
-    return msa(spark, d).groupBy("msa_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "msa_id").first()[0]
-
-
 @reg.add(
     "op_2_6_7_profile_build",
     f"""{W_MSA}, cells AS (SELECT msa_id, pos, substr(aligned, pos, 1) AS aa FROM (SELECT *, unnest(range(1, length(aligned) + 1)) AS pos FROM msa)),
@@ -130,19 +126,18 @@ def _(spark, d):
 
 
 def _hits(spark, d):
-    profile = P.collect_profile(P.build(msa(spark, d)), _largest_msa(spark, d))
-    return P.search(sequences(spark, d), "seq_id", "s", profile), len(profile)
+    return P.search(sequences(spark, d), "seq_id", "s", P.build(msa(spark, d)))
 
 
 @reg.add("op_2_6_8_profile_search")
 def _(spark, d):
-    return _hits(spark, d)[0].withColumn("score", F.round("score", 4))
+    """All matches of all sequences with the profiles of all alignments."""
+    return _hits(spark, d).withColumn("score", F.round("score", 4))
 
 
 @reg.add("op_2_6_9_profile_annotate")
 def _(spark, d):
-    hits, n = _hits(spark, d)
-    return P.annotate(hits, sequences(spark, d).select("seq_id", F.length("s").alias("size")), "seq_id", n, min_score=4.0, min_size=5)
+    return P.annotate(_hits(spark, d), sequences(spark, d).select("seq_id", F.length("s").alias("size")), "seq_id", min_score=4.0, min_size=5)
 
 
 @reg.add("op_2_2_12_chain_accessors", f"{SEQ} SELECT seq_id, 'Chain(' || seq_id || '|' || seq_start || '-' || seq_end || ')' AS id, seq_start AS start_pos, seq_end AS end_pos FROM sequences")

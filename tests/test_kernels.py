@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from strandworks.functions.kernels import _scores, align_pair, numbers_of, profile_scan, superpose, surface_areas
+from strandworks.functions.kernels import _scores, align_pair, numbers_of, profile_matches, profile_scan, superpose, surface_areas
 from strandworks.functions.tables import BLOSUM62, BLOSUM_LETTERS, BONDS, PFP
 
 
@@ -86,3 +86,17 @@ def test_profile_scan(seed):
     score, a, b, c, d = profile_scan(s, profile)
     assert score == pytest.approx(slow_scan(s, profile)) and 1 <= a <= b <= 40 and 1 <= c <= d <= 12
     assert profile_scan("", profile) == (0.0, 0, 0, 0, 0)
+
+
+def test_profile_matches_all_domains(spark):
+    from strandworks.operators import profiles as P
+
+    rows = [("p", 1, "r", "MKWVHC"), ("q", 1, "r", "GGDDEE")]
+    table = P.build(spark.createDataFrame(rows, "msa_id string, ord int, seq_id string, aligned string"))
+    seqs = spark.createDataFrame([(1, "AAAMKWVHCAAAAMKWVHCAGGDDEE"), (2, "AAA"), (3, None)], "k int, s string")
+    hits = P.search(seqs, "k", "s", table, min_score=8.0)
+    assert [(r.k, r.msa_id, r.domain, r.seq_from, r.seq_to, r.hmm_from, r.hmm_to) for r in hits.orderBy("msa_id", "domain").collect()] == [(1, "p", 1, 4, 9, 1, 6), (1, "p", 2, 14, 19, 1, 6), (1, "q", 1, 21, 26, 1, 6)]
+    out = P.annotate(hits, seqs.selectExpr("k", "length(s) as size"), "k", min_score=8.0, min_size=5)
+    assert sorted(r.name for r in out.collect()) == ["p_1", "p_2", "q_1"] and {r.cov_hmm for r in out.collect()} == {1.0}
+    found = profile_matches("ACDXACD", np.where(np.eye(20)[:3], 3.0, -5.0))
+    assert [m[1:3] for m in found] == [(1, 3), (5, 7)]
