@@ -9,6 +9,9 @@ AMINO = {
 #: Nucleotide residue names.
 NUCLEOTIDES = ("DA", "DC", "DG", "DT", "A", "C", "G", "T", "U")
 
+#: Common carbohydrate residue names; no full component dictionary.
+CARBOHYDRATES = ("AHR", "ARA", "BGC", "BMA", "FRU", "FUC", "FUL", "GAL", "GLA", "GLC", "GCU", "IDS", "MAN", "NAG", "NDG", "NGA", "RAM", "RIB", "SIA", "SUC", "TRE", "XYP", "XYS")
+
 #: The five ProtFP components of each amino acid.
 PFP = {
     "G": (-5.7, -8.72, 4.18, -1.35, -0.31),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandworks.functions.kernels import superpose, surface_areas
-from strandworks.functions.tables import AMINO, BACKBONE, BONDS, MARK, NUCLEOTIDES, SIDE_CHAIN, SOLVENTS
+from strandworks.functions.tables import AMINO, BACKBONE, BONDS, CARBOHYDRATES, LIGAND_MIN_ATOM_CONTACTS, LIGAND_MIN_ATOMS, LIGAND_MIN_RESIDUE_CONTACTS, MARK, NUCLEOTIDES, SIDE_CHAIN, SOLVENTS
 from strandworks.plans.ship import ship
 
 KEY = "structure_id"
@@ -225,6 +225,113 @@ def mark_atoms(atoms: DataFrame) -> DataFrame:
     return out.withColumn("mark", F.col("mark").bitwiseOR(F.when(F.col("mark") == MARK["LIGAND"], F.coalesce("_tied", F.lit(0))).otherwise(0))).drop("_tied")
 
 
+def _components(n: int, pairs, keep: np.ndarray) -> list[list[int]]:
+    """Components of the kept ones of ``n`` atoms, in the order of their least atoms."""
+    up = list(range(n))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if keep[a] and keep[b]:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    out: dict[int, list[int]] = {}
+    for i in np.flatnonzero(keep):
+        out.setdefault(find(int(i)), []).append(int(i))
+    return list(out.values())
+
+
+def _mark_structure(a: pd.DataFrame, pairs: list[tuple[int, int]], n_monomers: int) -> np.ndarray:
+    """Marks of one structure's atoms in order; ``pairs`` are bonded places."""
+    n = len(a)
+    xyz = a[["x", "y", "z"]].to_numpy(float).round(2)
+    names, chains, ids, hetero = (a[c].to_numpy() for c in ("res_name", "chain_id", "res_id", "hetero"))
+    kinds = {"p": np.isin(names, list(AMINO)), "n": np.isin(names, NUCLEOTIDES), "c": np.isin(names, CARBOHYDRATES)}
+    bits = {"p": MARK["PEP"], "n": MARK["NUC"], "c": MARK["CARB"]}
+    marks = np.full(n, MARK["UNK"])
+
+    def starts(mask):
+        at = np.flatnonzero(mask)
+        turn = (names[at][1:] != names[at][:-1]) | (chains[at][1:] != chains[at][:-1]) | (ids[at][1:] != ids[at][:-1])
+        return at[np.concatenate([[True], turn])] if len(at) else at
+
+    runs = np.searchsorted(starts(np.ones(n, bool)), np.arange(n), "right")
+    size = lambda mask: len(starts(mask))
+    whole = lambda idx: np.isin(ids, ids[idx]) & np.isin(chains, chains[idx])
+    residues = lambda idx: [runs == r for r in np.unique(runs[idx])]
+    kind = lambda mask, least: next((k for k in "pnc" if size(mask & kinds[k]) >= least), "x")
+
+    def ligand(mask, pol):
+        if mask.sum() < LIGAND_MIN_ATOMS or len(set(chains[mask])) != 1:
+            return False
+        near = np.full(n, np.inf)
+        for i in np.flatnonzero(mask):
+            near = np.minimum(near, ((xyz - xyz[i]) ** 2).sum(1))
+        met = (np.sqrt(near) < BONDS["NC-NC"][1]) & pol
+        return met.sum() >= LIGAND_MIN_ATOM_CONTACTS and size(met) >= LIGAND_MIN_RESIDUE_CONTACTS
+
+    polymers: dict[str, list] = {}
+    sizes: dict[str, int] = {}
+    for idx in _components(n, pairs, np.ones(n, bool)):
+        mask = whole(idx)
+        k = size(mask)
+        if k == 1:
+            if names[mask][0] in SOLVENTS:
+                marks[mask] = MARK["SOLVENT"]
+        elif k >= n_monomers and (t := kind(mask, n_monomers)) != "x":
+            polymers.setdefault(t, []).append(mask)
+            sizes[t] = sizes.get(t, 0) + k
+    if not polymers:
+        return marks
+    primary = max(sizes, key=sizes.get)
+    pol = np.zeros(n, bool)
+    for mask in polymers[primary]:
+        if hetero[mask].sum() < mask.sum() / 2:
+            pol |= mask
+    if not pol.any():
+        return marks
+    marks[pol] = bits[primary]
+    for mask in residues(np.flatnonzero(hetero.astype(bool) & pol)):
+        if kind(mask, 1) != primary:
+            marks[mask] = MARK["COVALENT"] | (MARK["LIGAND"] if ligand(mask, pol & ~mask) else MARK["SOLVENT"])
+    seen = np.zeros(n, bool)
+    for idx in _components(n, pairs, marks == MARK["UNK"]):
+        mask = whole(idx) & ~seen
+        seen |= mask
+        if not mask.any() or not ligand(mask, pol):
+            continue
+        t = kind(mask, 2) if size(mask) > 1 else None
+        if t == "x":
+            for one in residues(idx):
+                if ligand(one, pol & ~one):
+                    marks[one] = MARK["LIGAND"]
+        else:
+            marks[mask] = MARK["LIGAND"] | bits.get(t, 0)
+    return marks
+
+
+def mark_components(atoms: DataFrame, n_monomers: int = 2) -> DataFrame:
+    """``structure_id, atom_idx, mark`` from the components of the bond graph within
+    chains.  The polymer kind with the most monomers is the primary one; other polymers
+    and molecules are ligands if they touch it enough, a hetero residue inside it is
+    covalent, and what fits nothing stays unknown.  Each structure is marked where it
+    lies."""
+    def run(a: pd.DataFrame, bonds: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values("atom_idx", ignore_index=True)
+        place = {int(x): i for i, x in enumerate(a["atom_idx"])}
+        pairs = [(place[int(x)], place[int(y)]) for x, y in zip(bonds["a"], bonds["b"])]
+        return a[[KEY, "atom_idx"]].assign(mark=_mark_structure(a, pairs, n_monomers).astype("int32"))
+
+    ship(atoms.sparkSession)
+    rows = atoms.select(KEY, "atom_idx", "chain_id", "res_id", "res_name", "hetero", "x", "y", "z")
+    bonds = covalent_bonds(atoms, split_chains=True).select(F.col(KEY).alias("bond_of"), F.col("a").alias("a"), F.col("b").alias("b"))
+    return rows.groupBy(KEY).cogroup(bonds.groupBy("bond_of")).applyInPandas(run, f"{KEY} string, atom_idx int, mark int")
+
+
 def observed_fraction(atoms: DataFrame) -> DataFrame:
     """``structure_id, chain_id, res_id, missing, observed``: canonical heavy atoms a
     residue lacks, and the fraction it has; null for unknown residues."""

@@ -363,6 +363,12 @@ def _(spark, d):
     return A.mark_atoms(atoms(spark, d)).select("structure_id", "atom_idx", F.col("mark").bitwiseAND(~64).alias("mark"))
 
 
+@reg.add("op_2_6_23_component_marking")
+def _(spark, d):
+    """All bits of the marks, from the components of the bond graph."""
+    return A.mark_components(atoms(spark, d))
+
+
 @reg.add("op_2_7_8_residue_boundaries", f"{W} SELECT structure_id, min(atom_idx) AS first_atom, max(atom_idx) AS last_atom FROM atoms GROUP BY structure_id, res_id")
 def _(spark, d):
     return A.residue_runs(atoms(spark, d)).groupBy("structure_id", "run").agg(F.min("atom_idx").alias("first_atom"), F.max("atom_idx").alias("last_atom")).drop("run")

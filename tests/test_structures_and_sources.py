@@ -93,6 +93,19 @@ def test_covalent_mark_and_bonds(spark):
     assert A.covalent_bonds(atom_rows(spark, rows)).count() == 1 and A.covalent_bonds(atom_rows(spark, alt)).count() == 0
 
 
+def test_component_marks(spark):
+    def chain(ch, first, k, names, y, hetero=False):
+        return [("s", first + i, ch, k + i // 3, names[i // 3], f"C{i % 3}", "C", "", 1.5 * i, y, 0.0, hetero) for i in range(3 * len(names))]
+
+    rows = chain("A", 0, 1, ["ALA"] * 6, 0.0) + chain("B", 20, 1, ["NAG", "NAG"], 4.0) + chain("C", 30, 1, ["DA", "DC"], -4.0)
+    rows += chain("D", 40, 1, ["UNX"], 80.0) + chain("E", 50, 1, ["QQQ"] * 2, 90.0) + [("s", 60, "F", 1, "HOH", "O", "O", "", 0.0, 50.0, 0.0, True)]
+    rows += [("s", 70 + i, "G", 1, "QQQ", f"C{i}", "C", "", 1.5 * i, 0.0, 4.0, True) for i in range(6)]
+    plain = atom_rows(spark, [r[:11] for r in rows])
+    flags = spark.createDataFrame([(r[1], r[11]) for r in rows], "atom_idx int, h boolean")
+    got = {r.atom_idx: r.mark for r in A.mark_components(plain.join(flags, "atom_idx").withColumn("hetero", F.col("h"))).collect()}
+    assert [got[i] for i in (0, 17, 20, 25, 30, 35, 50, 60, 70)] == [8, 8, 4 | 32, 4 | 32, 4 | 16, 4 | 16, 1, 2, 4]
+
+
 def test_pocket_language(spark):
     df = spark.createDataFrame([(1, "CA", True, 3.0), (1, "CB", True, 4.0), (2, "CA", False, 9.0), (3, "CA", True, 5.5)], "res_id int, atom_name string, is_contact boolean, dist double")
     cases = {
