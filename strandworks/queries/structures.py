@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandworks.functions.tables import AMINO
+from strandworks.functions.tables import AMINO, BACKBONE, SIDE_CHAIN
 from strandworks.operators import atoms as A
 from strandworks.operators import interface as I
 from strandworks.operators import residues as R
@@ -293,6 +293,20 @@ def _(spark, d):
     return extra.join(seen, ["structure_id", "res_id"], "left_semi")
 
 
+_CANONICAL = ", ".join(f"('{r}', {_LIST([*BACKBONE, *SIDE_CHAIN[r].split()])})" for r in RESIDUES)
+
+
+@reg.add(
+    "op_2_5_15_observed_fractions",
+    f"""{W}, have AS (SELECT structure_id, chain_id, res_id, res_name, list(DISTINCT atom_name) AS names FROM atoms WHERE element <> 'H' AND atom_name <> 'OXT' GROUP BY 1, 2, 3, 4),
+want AS (SELECT * FROM (VALUES {_CANONICAL}) t(res_name, wanted)), m AS (SELECT have.*, wanted, list_sort(list_filter(wanted, lambda x: NOT list_contains(names, x))) AS gone FROM have LEFT JOIN want USING (res_name))
+SELECT structure_id, chain_id, res_id, array_to_string(gone, ',') AS missing, (len(wanted) - len(gone)) / CAST(len(wanted) AS DOUBLE) AS observed FROM m""",
+)
+def _(spark, d):
+    """Missing names and the observed fraction of all residues, null for unknown ones."""
+    return A.observed_fraction(atoms(spark, d))
+
+
 @reg.add("op_2_5_16_residue_count", f"{W} SELECT structure_id, count(DISTINCT res_id) AS n_residues, count(DISTINCT chain_id) AS n_chains FROM atoms GROUP BY 1")
 def _(spark, d):
     return A.residue_runs(atoms(spark, d)).groupBy("structure_id").agg(F.max("run").alias("n_residues"), F.count_distinct("chain_id").alias("n_chains"))

@@ -106,6 +106,13 @@ def test_component_marks(spark):
     assert [got[i] for i in (0, 17, 20, 25, 30, 35, 50, 60, 70)] == [8, 8, 4 | 32, 4 | 32, 4 | 16, 4 | 16, 1, 2, 4]
 
 
+def test_observed_query_has_every_residue(spark):
+    import __spark_entry__ as e
+
+    got = e.queries()["op_2_5_15_observed_fractions"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 64 and any(r.observed is None for r in got) and any(r.missing for r in got)
+
+
 def test_pocket_language(spark):
     df = spark.createDataFrame([(1, "CA", True, 3.0), (1, "CB", True, 4.0), (2, "CA", False, 9.0), (3, "CA", True, 5.5)], "res_id int, atom_name string, is_contact boolean, dist double")
     cases = {
