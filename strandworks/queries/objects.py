@@ -67,6 +67,16 @@ def _(spark, d):
     return dumps.join_structures(seqs, sizes, links).select("seq_id", "structure_id", "n")
 
 
+@reg.add("op_2_1_13_split_structures", f"{W}, l AS (SELECT DISTINCT seq_id, 's' || (seq_id % (SELECT count(DISTINCT structure_id) FROM atoms)) AS structure_id FROM chain_sequences) SELECT seq_id, l.structure_id, count(*) AS n FROM l JOIN atoms a ON a.structure_id = l.structure_id GROUP BY 1, 2")
+def _(spark, d):
+    """Sequences dealt out to all structures there are."""
+    seqs = table(spark, d, "chain_sequences").select("seq_id").distinct()
+    sizes = atoms(spark, d).groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"))
+    count = sizes.agg(F.count(F.lit(1)).alias("k"))
+    links = seqs.crossJoin(count).select("seq_id", F.concat(F.lit("s"), F.col("seq_id") % F.col("k")).alias("structure_id"))
+    return dumps.join_structures(seqs, sizes, links).select("seq_id", "structure_id", "n")
+
+
 @reg.add("op_2_1_19_chain_from_sequence", f"{SEQ} SELECT seq_id, 'chain_' || seq_id || '|1-' || length(s) AS id, s FROM sequences")
 def _(spark, d):
     name = F.concat(F.lit("chain_"), F.col("seq_id"))

@@ -144,6 +144,16 @@ def _(spark, d):
     return s.select(F.concat(F.lit("PF"), F.col("seq_id")).alias("acc"), F.length("s").alias("n")).join(dat.where("category = 'Family'"), "acc")
 
 
+@reg.add("op_2_1_26_family_models", f"{SEQ} SELECT 'PF' || seq_id AS acc, 'f' || seq_id AS id, 'chain ' || coalesce(chain_id, '-') AS description, CASE WHEN length(s) < 200 THEN 'Domain' ELSE 'Family' END AS category, 'm' || seq_id AS name, CAST(length(s) AS INTEGER) AS length FROM sequences")
+def _(spark, d):
+    """Metadata and models of every sequence, written as texts, parsed and joined."""
+    kind = F.when(F.length("s") < 200, "Domain").otherwise("Family")
+    dat = F.concat(F.lit("# STOCKHOLM 1.0\n#=GF ID   f"), F.col("seq_id"), F.lit("\n#=GF AC   PF"), F.col("seq_id"), F.lit(".3\n#=GF DE   chain "), F.coalesce("chain_id", F.lit("-")), F.lit("\n#=GF GA   20.0; 20.0;\n#=GF TP   "), kind, F.lit("\n//\n"))
+    hmm = F.concat(F.lit("HMMER3/f\nNAME  m"), F.col("seq_id"), F.lit("\nACC   PF"), F.col("seq_id"), F.lit(".3\nLENG  "), F.length("s"), F.lit("\n//\n"))
+    texts = sequences(spark, d).select("seq_id", dat.alias("dat"), hmm.alias("hmm"))
+    return records.read_families(records.parse_families(texts, "seq_id", "dat"), records.parse_models(texts, "seq_id", "hmm"))
+
+
 _SIFTS = """rows AS (SELECT DISTINCT upper(trim(pdb, ' ')) AS pdb, trim(chain, ' ') AS chain, upper(trim(uniprot_id, ' ')) AS uniprot_id, pdb_start, pdb_end, uniprot_start, uniprot_end
   FROM sifts WHERE pdb IS NOT NULL AND chain IS NOT NULL AND uniprot_id IS NOT NULL)"""
 

@@ -77,6 +77,25 @@ def parse_models(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("source", field("NAME").alias("name"), field("ACC").alias("acc"), field("LENG").try_cast("int").alias("length"))
 
 
+def parse_families(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Family metadata of ``dat`` texts, blocks split at comment lines: ``source, id,
+    acc, description, category``; accessions without their versions."""
+    one = F.explode(F.split(F.col(text_col), r"(?m)^# .*$")).alias("m")
+    rows = texts.select(F.col(id_col).alias("source"), one).where(F.col("m").rlike(r"(?m)^#=GF AC\s"))
+    field = lambda n: F.regexp_extract("m", rf"(?m)^#=GF {n}\s+(.*?)\s*$", 1)
+    acc = F.split_part(field("AC"), F.lit("."), F.lit(1))
+    return rows.select("source", field("ID").alias("id"), acc.alias("acc"), field("DE").alias("description"), field("TP").alias("category"))
+
+
+def read_families(families: DataFrame, models: DataFrame, accessions: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """Metadata joined to the models of the same accession, optionally only some
+    accessions or categories: ``acc, id, description, category, name, length``."""
+    for column, wanted in (("acc", accessions), ("category", categories)):
+        families = families.where(F.col(column).isin(wanted)) if wanted else families
+    models = models.select(F.split_part("acc", F.lit("."), F.lit(1)).alias("acc"), "name", "length")
+    return families.drop("source").join(models, "acc").select("acc", "id", "description", "category", "name", "length")
+
+
 def parse_sifts(spark: SparkSession, path: str) -> DataFrame:
     """Segment table of a CSV file with one comment line above its header: names made
     uniform, digits-only bounds, upper-case structures, distinct, null chains dropped."""

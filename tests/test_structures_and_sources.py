@@ -113,6 +113,17 @@ def test_observed_query_has_every_residue(spark):
     assert len(got) == 64 and any(r.observed is None for r in got) and any(r.missing for r in got)
 
 
+def test_families(spark):
+    dat = "".join(f"# STOCKHOLM 1.0\n#=GF ID   n{k}\n#=GF AC   PF{k}.2\n#=GF DE   two words\n#=GF GA   1; 1;\n#=GF TP   {t}\n//\n" for k, t in ((1, "Family"), (7000, "Domain"), (8000, "Family")))
+    hmm = "".join(f"HMMER3/f\nNAME  m{k}\nACC   PF{k}.5\nLENG  {k}\n//\n" for k in (1, 7000, 9000))
+    texts = spark.createDataFrame([("f", dat, hmm)], "f string, dat string, hmm string")
+    sides = records.parse_families(texts, "f", "dat"), records.parse_models(texts, "f", "hmm")
+    got = sorted(tuple(r) for r in records.read_families(*sides).collect())
+    assert got == [("PF1", "n1", "two words", "Family", "m1", 1), ("PF7000", "n7000", "two words", "Domain", "m7000", 7000)]
+    assert [r.acc for r in records.read_families(*sides, categories=["Domain"]).collect()] == ["PF7000"]
+    assert [r.acc for r in records.read_families(*sides, accessions=["PF1"]).collect()] == ["PF1"]
+
+
 def test_pocket_language(spark):
     df = spark.createDataFrame([(1, "CA", True, 3.0), (1, "CB", True, 4.0), (2, "CA", False, 9.0), (3, "CA", True, 5.5)], "res_id int, atom_name string, is_contact boolean, dist double")
     cases = {
