@@ -57,6 +57,27 @@ def _(spark, d):
     return S.parse_structures(texts, "structure_id", "text").select("structure_id", "atom_name", "res_name", "res_id", "x", "y", "z")
 
 
+# every distinct text of a name, not only the least one
+_VERSIONS = _CIF.replace("min(content) AS content", "md5(content) AS digest, content").replace("GROUP BY 1)", "GROUP BY ALL)").replace("SELECT structure_id, string_split", "SELECT structure_id, digest, string_split").replace("(SELECT structure_id, unnest", "(SELECT structure_id, digest, unnest")
+
+
+def _versions(spark, d, where="content is not null"):
+    """``structure_id, digest, key, text``: each distinct text of a structure."""
+    name = F.regexp_extract(F.regexp_extract("file_path", r"([^/]*)$", 1), r"^([^.]*)", 1)
+    rows = table(spark, d, "collection_files").where("area = 'structure_files'").where(where).select(name.alias("structure_id"), F.md5("content").alias("digest"), F.col("content").alias("text"))
+    return rows.dropDuplicates(["structure_id", "digest"]).withColumn("key", F.concat_ws(".", "structure_id", "digest"))
+
+
+@reg.add(
+    "op_2_1_6_structure_versions",
+    _VERSIONS + " SELECT structure_id, digest, p[2] AS atom_name, p[3] AS res_name, CAST(p[4] AS INTEGER) AS res_id, CAST(p[5] AS DOUBLE) AS x, CAST(p[6] AS DOUBLE) AS y, CAST(p[7] AS DOUBLE) AS z FROM l WHERE len(p) = 7 AND regexp_full_match(p[1], '[0-9]+')",
+)
+def _(spark, d):
+    """Atoms of every distinct text of a structure, keyed by the text's digest."""
+    rows = S.parse_structures(_versions(spark, d), "key", "text").withColumnRenamed("structure_id", "key")
+    return rows.select(F.substring_index("key", ".", 1).alias("structure_id"), F.substring_index("key", ".", -1).alias("digest"), "atom_name", "res_name", "res_id", "x", "y", "z")
+
+
 @reg.add("op_2_1_7_structure_round_trip", f"WITH {ATOMS_SQL} SELECT structure_id, atom_idx, chain_id, res_id, res_name, atom_name, element, hetero, altloc_id, x, y, z FROM atoms")
 def _(spark, d):
     """Write structures as text, parse them back."""
@@ -129,6 +150,14 @@ def _(spark, d):
     return records.parse_components(texts, "comp_id", "text").where("grp = 'atom_site' and field = 'id'").groupBy("comp_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@reg.add("op_2_1_25_component_versions", _VERSIONS.replace(" AND content IS NOT NULL", " AND content IS NOT NULL AND content LIKE '%loop_%'") + " SELECT structure_id AS comp_id, digest, count(*) AS n_rows FROM l WHERE len(p) = 7 AND regexp_full_match(p[1], '[0-9]+') GROUP BY 1, 2")
+def _(spark, d):
+    """The same of every distinct text, keyed by its digest."""
+    found = records.parse_components(_versions(spark, d, "content like '%loop_%'"), "key", "text").where("grp = 'atom_site' and field = 'id'")
+    found = found.groupBy(F.col("comp_id").alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.select(F.substring_index("key", ".", 1).alias("comp_id"), F.substring_index("key", ".", -1).alias("digest"), "n_rows")
+
+
 @reg.add("op_2_1_27_model_iterator", f"{SEQ} SELECT chain_id AS source, 'm' || seq_id AS name, 'PF' || seq_id AS acc, CAST(length(s) AS INTEGER) AS length FROM sequences WHERE chain_id IS NOT NULL")
 def _(spark, d):
     one = F.concat(F.lit("HMMER3/f\nNAME  m"), F.col("seq_id"), F.lit("\nACC   PF"), F.col("seq_id"), F.lit("\nLENG  "), F.length("s"), F.lit("\n//\n"))

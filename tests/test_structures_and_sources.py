@@ -124,6 +124,18 @@ def test_families(spark):
     assert [r.acc for r in records.read_families(*sides, accessions=["PF1"]).collect()] == ["PF1"]
 
 
+def test_every_version_is_parsed(spark, tmp_path):
+    import __spark_entry__ as e
+
+    text = CIF.rstrip("#\n") + "\n#\n"
+    rows = [("x/AB.cif", text), ("y/AB.cif", text.replace("1.0 2.0 3.0", "8.0 2.0 3.0")), ("z/AB.cif", text), ("z/CD.cif", None)]
+    spark.createDataFrame([("structure_files", *r) for r in rows], "area string, file_path string, content string").write.parquet(str(tmp_path / "collection_files.parquet"))
+    got = e.queries()["op_2_1_6_structure_versions"](spark, str(tmp_path)).collect()
+    assert {r.structure_id for r in got} == {"AB"} and len({r.digest for r in got}) == 2 and {r.x for r in got} >= {1.0, 8.0}
+    seen = e.queries()["op_2_1_25_component_versions"](spark, str(tmp_path)).collect()
+    assert len({r.digest for r in seen}) == len(seen) == 2
+
+
 def test_pocket_language(spark):
     df = spark.createDataFrame([(1, "CA", True, 3.0), (1, "CB", True, 4.0), (2, "CA", False, 9.0), (3, "CA", True, 5.5)], "res_id int, atom_name string, is_contact boolean, dist double")
     cases = {
