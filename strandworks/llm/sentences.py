@@ -1,629 +1,216 @@
 """Sentence boundaries across scripts with a hidden-event language model.
 
-A text is words with hidden events between them: a boundary or none.  Events are
-possible after marks that can end a sentence; empty lines, the end of a text and
-white space between Thai letters are boundaries as they are.  The model has the
-probability of the event given the words before it, and of the words after it
-given the event: sentence openings on one side, continuations on the other.  It
-is trained without labels on the corpus itself, by expectation maximisation from
-the sure places; forward-backward posteriors over the events of a text serve
-both for training and for the decision.  The sentence may go on after a quotation
-or bracket that holds marks; then these end nothing, which couples the events
-inside it with the one at its close.
+A text is words with hidden events in the gaps between them: a boundary or none.
+The model has the probability of a boundary given the words before the gap and its
+mark, and of the words after the gap given a boundary or none, each by n-grams of up
+to three words that back off to shorter ones and to shapes.  Forward-backward
+posteriors over the events of a text decide.  A sentence ends only at a mark, at an
+empty line, at white space between Thai letters or at the end of its text; by that
+definition every other gap holds no boundary, its factors are the same in all
+readings and cancel, so the chain runs over the remaining gaps.
+
+There are no word lists and no labels.  Sentences begin and end for sure at the ends
+of texts and paragraphs, and a context that never stands there however often it
+stands at marks inside texts is a continuation, such as an abbreviation's.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandworks.llm.sentence_events import EVENT, find_events
+from strandworks.llm.sentence_model import CLASSES, WIDTH, Model, count, expect
 from strandworks.plans.scratch import Scratch
 from strandworks.plans.spread import spread
 
-#: Marks that can end a sentence, and paired quotes and brackets.
-MARKS = ".!?…。！？।؟"
-PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“"}
-CLOSERS = set(PAIRS.values()) | {'"', "’"}
-#: What no sentence begins with.
-NO_START = set(",;:،؛、，；：%)]}）」』】》〉»›”’-–—/&+=*_~")
-#: Common abbreviations, as evidence that the corpus can outweigh;
-#: first those that announce what follows, then those that may also end a sentence.
-BINDING = frozenset(
-    "<i> <ord> mr mrs ms dr prof st mt vs no nos fig figs vol cf e.g i.e approx dept p pp ch sec min max gen col lt capt rev hon "
-    "z b z.b d h d.h bzw ca vgl nr str abs s inkl exkl fa abb tab taf evtl bd tel hr fr art kap "
-    "m mme mlle p.ex ex env réf av bd sra srta dra avda núm pág págs p.ej ej ref n.º cap fil aprox "
-    "रु डॉ श्री कि द أ ص د م".split()
-)
-OPEN_ENDED = frozenset("etc inc ltd co corp jr sr a.m p.m hrs usw ggf u.a o.ä u.s u.k u.s.a est bis कि.ग्रा".split())
-#: Words before a number that its dot makes an ordinal.
-ORDINAL_LEADS = frozenset("am im der die das den dem des zum zur vom beim ab bis seit jeden jede".split())
-#: Model entries are kept from this part of all events on, so a table has a
-#: bounded number of entries whatever the corpus.
-KEEP = 5e-6
-ROUNDS = 3
-
-_RUN = regex.compile(f"[{regex.escape(MARKS)}]+")
-_BLANK = regex.compile(r"(?>\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
-_THAI = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
-_CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}ー]"
-_TOKEN = regex.compile(
-    rf"{_CJK}{{1,2}}|\p{{Thai}}{{1,4}}|(?:(?!{_CJK}|\p{{Thai}})[\p{{L}}\p{{M}}­​-‍])+|\p{{N}}+(?:[.,:]\p{{N}}+)*|\S"
-)
-_TAIL = regex.compile(rf"(?r){_CJK}{{1,2}}|[^\s\p{{Ps}}\p{{Pi}}\"\p{{Han}}\p{{Hiragana}}\p{{Katakana}}ー]{{1,32}}")
-_QUOTES = regex.compile("[" + regex.escape("".join(PAIRS) + "".join(PAIRS.values()) + '"') + "]")
-_SOFT = regex.compile("[­​-‍⁠﻿]")
-_DIGITS = regex.compile(r"\p{N}+(?:[.,:]\p{N}+)*")
-_EMOJI = regex.compile(r"[\p{So}\p{Sk}️‍]$")
-_CASED = regex.compile(r"[\p{Lu}\p{Lt}\p{Ll}]")
-
-
-@dataclass(slots=True)
-class Event:
-    """A place where a sentence may end: its span in the text and its context."""
-
-    start: int
-    end: int
-    mark: str
-    gap: str
-    left2: str
-    left: str
-    right: str
-    right2: str
-    case: str
-    near: int
-    forced: int  # -1 never, 1 always, 0 open
-    within: int  # the event that closes the quotation around it, or -1
-    closes: bool
-
-
-def _spans(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    """Matched quotes and brackets of a paragraph as ``(open, close)`` places."""
-    stack: list[tuple[str, int]] = []
-    out = []
-    for m in _QUOTES.finditer(text, lo, hi):
-        ch, at = m.group(), m.start()
-        before = text[at - 1] if at > lo else " "
-        if ch == '"':
-            top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if top is None:
-                if before.isspace() or not (before.isalnum() or before in MARKS):
-                    stack.append(('"', at))
-            else:
-                out.append((stack[top][1], at))
-                del stack[top:]
-            continue
-        top = next((k for k in range(len(stack) - 1, -1, -1) if PAIRS.get(stack[k][0]) == ch), None)
-        if top is not None:
-            out.append((stack[top][1], at))
-            del stack[top:]
-        elif ch in PAIRS:
-            stack.append((ch, at))
-    return sorted(out)
-
-
-@lru_cache(1 << 16)
-def _word(token: str) -> str:
-    if token[0].isdigit():
-        return "<n>"
-    return _SOFT.sub("", token).lower() or token
-
-
-def _left(text: str, lo: int, at: int) -> tuple[str, int]:
-    """The chunk that ends before ``at`` within ``lo`` and where it begins."""
-    end = at
-    while end > lo and text[end - 1].isspace():
-        end -= 1
-    m = _TAIL.match(text, lo, end)
-    if not m:
-        return "^", end
-    begin, chunk = m.start(), m.group()
-    if chunk.isascii() and chunk.isalpha() and (len(chunk) > 1 or chunk.islower()):
-        return chunk.lower()[-20:], begin
-    if _EMOJI.search(chunk):
-        return "<e>", begin
-    if len(chunk) == 1 and chunk.isupper():
-        return "<i>", begin
-    chunk = _DIGITS.sub(lambda d: "<n>" if len(d.group()) > 2 else "<nn>", _SOFT.sub("", chunk).lower())
-    return chunk[-20:] or "^", begin
-
-
-def _shape(left: str) -> str:
-    bare = left.replace("<nn>", "9").replace("<n>", "99")
-    if bare[-1:].isdigit():
-        return "num" + ("1" if left == "<nn>" else "2" if left == "<n>" else "3")
-    if not bare.isascii() and not bare.isalpha():
-        return f"o{min(len(bare), 5)}{'.' in bare}"
-    return f"w{min(len(bare), 6)}{'.' in bare}"
-
-
-def find_events(text: str) -> tuple[list[Event], list[tuple[int, int]]]:
-    """The events of a text, and its sure boundaries as white-space ranges."""
-    hard = [m.span() for m in _BLANK.finditer(text)]
-    sure = sorted(hard + [m.span() for m in _THAI.finditer(text)])
-    events: list[Event] = []
-    lo = 0
-    for hi in [a for a, _ in hard] + [len(text)]:
-        spans = _spans(text, lo, hi)
-        closes = {c: o for o, c in spans}
-        closing_event: dict[int, int] = {}
-        inside: list[tuple[int, int]] = []
-        last_end = lo
-        at = lo
-        while m := _RUN.search(text, at, hi):
-            s, e = m.span()
-            run = m.group()
-            at = e
-            if run == ".":
-                after = text[e] if e < hi else " "
-                if after.isdigit() and (s == lo or text[s - 1].isdigit() or text[s - 1].isspace()):
-                    continue  # a decimal, a version, a date
-            opened = None
-            while e < hi:
-                if e in closes and closes[e] < s:
-                    opened, e = closes[e], e + 1
-                elif e + 1 < hi and text[e] in "   " and e + 1 in closes and closes[e + 1] < s:
-                    opened, e = closes[e + 1], e + 2
-                elif text[e] in CLOSERS and e not in closes and text[e] not in PAIRS:
-                    e += 1
-                elif text[e] in MARKS and e > m.end():
-                    run += text[e]
-                    e += 1
-                else:
-                    break
-            at = e
-            nxt = e
-            while nxt < hi and text[nxt].isspace():
-                nxt += 1
-            gap = "0" if nxt == e else "n" if "\n" in text[e:nxt] or "\r" in text[e:nxt] else "1"
-            mark = "d" if "…" in run or ".." in run else "!" if any(c in "!?！？؟" for c in run) else "." if "." in run else "s"
-            forced, right, right2, case = 0, "$", "$", "$"
-            if nxt >= hi:
-                forced = 1
-            else:
-                t = _TOKEN.match(text, nxt, hi)
-                token = t.group()
-                right = _word(token)
-                t2 = _TOKEN.search(text, t.end(), hi)
-                right2 = _word(t2.group()) if t2 else "$"
-                c = token[0]
-                case = _case(token)
-                if c in NO_START:
-                    forced = -1
-                elif case == "l" and (mark == "d" or opened is not None):
-                    forced = -1  # goes on after dots or a quotation
-                elif mark in "!s" and opened is None and not (gap == "0" and case in "ld"):
-                    forced = 1  # unless a quotation around it goes on, see below
-            if opened is not None:
-                o = opened
-                while o > lo and text[o - 1].isspace():
-                    o -= 1
-                lead = "0" if o == lo or text[o - 1] in MARKS or text[o - 1] in CLOSERS else "2" if text[o - 1] in ":：" else "1"
-                left, left2 = f"<c{'b' if text[opened] in '([{（［【' else 'q'}{lead}>", mark
-                mark = "c"
-            else:
-                left, b = _left(text, lo, s)
-                left2 = _left(text, lo, b)[0] if b > lo else "^"
-                if left == "<nn>" and mark == "." and gap != "0" and left2.rsplit(".", 1)[-1] in ORDINAL_LEADS:
-                    left = "<ord>"
-            far = text[last_end:s]
-            near = 0 if len(far) < 14 and len(far.split()) <= 1 else 1 if len(far) < 24 and len(far.split()) <= 2 else 2
-            k = len(events)
-            events.append(Event(s, e, mark, gap, left2, left, right, right2, case, near, forced, -1, opened is not None))
-            if opened is not None:
-                for c in range(m.end(), e):
-                    if c in closes:
-                        closing_event[closes[c]] = k
-            outer = next(((o, c) for o, c in spans if o < s and c >= e), None)
-            if outer:
-                inside.append((k, outer[0]))
-            last_end = e
-        for k, o in inside:
-            if o in closing_event:
-                events[k].within = closing_event[o]
-                events[k].mark += "'"
-                events[k].forced = min(events[k].forced, 0)
-            else:
-                events[k].forced = -1  # the quotation ends without a mark, so the sentence goes on
-        lo = next((b for a, b in hard if a == hi), hi)
-    return events, sure
-
-
-def first_guess(e: Event) -> float:
-    """The probability of a boundary before anything is learned."""
-    if e.forced:
-        return float(e.forced > 0)
-    if e.closes:
-        if e.case == "U":
-            return 0.9
-        if e.left[2] == "b":
-            return 0.9 if e.left[3] == "0" else 0.05
-        return 0.1 if e.gap == "0" or e.left[3] == "1" else 0.3 if e.left[3] == "2" else 0.5
-    if e.within >= 0:
-        return 0.3
-    if e.mark == "d":
-        return 0.8 if e.case != "l" else 0.05
-    if e.mark in "!s":
-        return 0.3
-    short = e.left in BINDING or e.left in OPEN_ENDED or len(e.left) == 1 or "." in e.left
-    if e.gap == "0":
-        return 0.9 if e.case == "U" and not short and e.left[:1] != "<" else 0.05
-    if e.left in BINDING:
-        return 0.05
-    if e.case == "U":
-        return 0.3 if short else 0.9 if len(e.left) > 3 else 0.6
-    if e.case == "l":
-        return 0.05 if short or e.left[:1] == "<" else 0.3
-    return 0.2 if short else 0.35 if e.case == "d" else 0.6
-
-
-class Model:
-    """Counts ``key -> (with boundary, without)`` and the probabilities from them.
-
-    ``t`` all openings and all words inside sentences; ``w`` first words, ``v`` pairs
-    of first words, ``h`` their letter case, ``y`` case and second word; ``l s m f``
-    events by ever longer left context; ``x r`` continuations after a word with a
-    mark; ``n`` events by distance from and kind of the event before.
-    """
-
-    #: Words seen less often are taken as unknown.
-    RARE = 5
-    #: What follows a word with a mark counts as its continuation from this part of
-    #: its occurrences on; below, openings would pass for continuations.
-    GOES_ON = 0.3
-
-    def __init__(self, counts: dict[str, tuple[float, float]]):
-        self.counts = counts
-        self.total = counts.get("t", (1.0, 1.0))
-        # what follows what: types, for Witten-Bell weights, and how common a second word is
-        self.kinds: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-        self.second: dict[str, float] = defaultdict(float)
-        known = [0.0, 0.0]
-        seen = 0.0
-        for key, (b, n) in counts.items():
-            kind = key[0]
-            if kind in "vy":
-                _, first, second = key.split("|", 2)
-                kinds = self.kinds[f"{kind}|{first}"]
-                kinds[0] += min(b, 1.0)
-                kinds[1] += min(n, 1.0)
-                if kind == "v":
-                    self.second[second] += b + n
-                    seen += b + n
-            elif kind == "r":
-                self.kinds["x|" + key.split("|", 2)[1]][1] += min(n, 1.0)
-            elif kind == "w" and b + n >= self.RARE:
-                known[0] += b
-                known[1] += n
-        self.seen = seen + 1.0
-        self.unknown = [max(t - k, 1.0) / (t + 1.0) for t, k in zip(self.total, known)]
-        near = [[counts.get(f"n|{d}|{p}", (1.0, 1.0)) for p in (0, 1)] for d in (0, 1, 2)]
-        b, n = (sum(x[i] for row in near for x in row) for i in (0, 1))
-        base = (b + 1) / (b + n + 2)
-        self.near = []
-        for by in near:
-            row = []
-            for b, n in by:
-                p = (b + 20 * base) / (b + n + 20)
-                row.append((math.log((1 - p) / (1 - base)), math.log(p / base)))
-            self.near.append(row)
-
-    def odds(self, e: Event) -> float:
-        """Log odds of a boundary from the words around an event."""
-        get, none = self.counts.get, (0.0, 0.0)
-        p = min(0.98, max(0.02, first_guess(e)))
-        for key in (f"l|{e.mark}|{e.gap}", f"s|{e.mark}|{e.gap}|{_shape(e.left)}", f"m|{e.mark}|{e.gap}|{e.left}", f"f|{e.mark}|{e.gap}|{e.left}|{e.left2}"):
-            b, n = get(key, none)
-            if key[0] == "m" and e.mark[0] == ".":
-                if e.left in BINDING:
-                    b, n = b + 0.1, n + 10
-                elif e.left in OPEN_ENDED:
-                    b, n = b + 1, n + 1
-            p = (b + 2 * p) / (b + n + 2)
-        out = math.log(p + 1e-6) - math.log(1 - p + 1e-6)
-        if e.right == "$":
-            return out
-        tb, tn = self.total[0] + 1, self.total[1] + 1
-        hb, hn = get(f"h|{e.case}", none)
-        if e.left not in BINDING or e.case == "l":  # capitals and numbers are what these announce
-            out += math.log((hb + 0.5) / (tb + 2)) - math.log((hn + 0.5) / (tn + 2))
-        b1, n1 = get(f"w|{e.right}", none)
-        if b1 + n1 >= self.RARE:
-            pb, pn = (b1 + 0.2) / tb, (n1 + 0.2) / tn
-            first = f"v|{e.right}"
-        else:
-            pb, pn = (u * 1e-3 for u in self.unknown)
-            first = f"y|{e.case}"
-            b1, n1 = hb, hn
-        after = get(f"x|{e.left}", none)[1]
-        if after > self.GOES_ON * sum(get(f"m|{e.mark}|{e.gap}|{e.left}", none)):
-            kinds = self.kinds.get(f"x|{e.left}", none)[1] + 1
-            pn = (get(f"r|{e.left}|{e.right}", none)[1] + kinds * pn) / (after + kinds)
-        out += math.log(pb) - math.log(pn)
-        b2, n2 = get(f"{first}|{e.right2}", none)
-        tb, tn = self.kinds.get(first, none)
-        base = (self.second.get(e.right2, 0.0) + 0.5) / self.seen
-        out += math.log((b2 + (tb + 1) * base) / (b1 + tb + 1)) - math.log((n2 + (tn + 1) * base) / (n1 + tn + 1))
-        return out
-
-    def _chain(self, events: list[Event], scores: list[tuple[float, float]]) -> list[float]:
-        """Forward-backward where no quotation couples events."""
-        weights = []
-        for e, (a, b) in zip(events, scores):
-            weights.append((0.0, 1.0) if e.forced > 0 else (1.0, 0.0) if e.forced else (math.exp(a), math.exp(b)))
-        steps = [((math.exp(r[0][0]), math.exp(r[0][1])), (math.exp(r[1][0]), math.exp(r[1][1]))) for r in self.near]
-        forward = [weights[0]]
-        for e, (w0, w1) in zip(events[1:], weights[1:]):
-            f0, f1 = forward[-1]
-            t0, t1 = steps[e.near]
-            a, b = w0 * (f0 * t0[0] + f1 * t1[0]), w1 * (f0 * t0[1] + f1 * t1[1])
-            total = a + b or 1.0
-            forward.append((a / total, b / total))
-        out, b0, b1 = [], 1.0, 1.0
-        for k in range(len(events) - 1, -1, -1):
-            f0, f1 = forward[k]
-            out.append(f1 * b1 / ((f0 * b0 + f1 * b1) or 1.0))
-            if k:
-                t0, t1 = steps[events[k].near]
-                w0, w1 = weights[k]
-                b0, b1 = t0[0] * w0 * b0 + t0[1] * w1 * b1, t1[0] * w0 * b0 + t1[1] * w1 * b1
-                total = b0 + b1 or 1.0
-                b0, b1 = b0 / total, b1 / total
-        return out[::-1]
-
-    def posteriors(self, events: list[Event]) -> list[float]:
-        """Forward-backward over ``(event, guess)`` states: the guess is the event at
-        the close of the quotation around, kept from its first event to its close."""
-        if not events:
-            return []
-        scores = []
-        for e in events:
-            if e.forced:  # the state that is not allowed is never read
-                scores.append((0.0, 0.0))
-                continue
-            x = max(-30.0, min(30.0, self.odds(e)))
-            scores.append((-math.log1p(math.exp(x)), -math.log1p(math.exp(-x))))
-        if all(e.within < 0 for e in events):
-            return self._chain(events, scores)
-        n = len(events)
-        closing = {e.within for e in events if e.within >= 0}
-
-        def local(k: int, ev: int, guess: int) -> float | None:
-            e = events[k]
-            if e.forced and (e.forced > 0) != bool(ev):
-                return None
-            if e.within >= 0 and not guess and ev:
-                return None
-            if k in closing and e.within < 0 and ev != guess:
-                return None
-            return scores[k][ev]
-
-        def linked(k: int, g: int, h: int) -> bool:
-            """May the guess change from event k to k+1?"""
-            a = events[k].within
-            return g == h if a >= 0 else True
-
-        states = [(0, 0), (0, 1), (1, 0), (1, 1)]
-        forward = []
-        for k in range(n):
-            near = self.near[events[k].near]
-            row = []
-            for ev, g in states:
-                x = local(k, ev, g)
-                if x is None:
-                    row.append(0.0)
-                    continue
-                w = math.exp(x)
-                if k:
-                    w *= sum(forward[-1][i] * math.exp(near[p][ev]) for i, (p, h) in enumerate(states) if forward[-1][i] and linked(k - 1, h, g))
-                row.append(w)
-            total = sum(row)
-            forward.append([v / total for v in row] if total else [0.25] * 4)
-        backward = [[1.0] * 4]
-        for k in range(n - 2, -1, -1):
-            near = self.near[events[k + 1].near]
-            row = []
-            for p, h in states:
-                v = 0.0
-                for i, (ev, g) in enumerate(states):
-                    if linked(k, h, g) and (x := local(k + 1, ev, g)) is not None:
-                        v += math.exp(x) * math.exp(near[p][ev]) * backward[0][i]
-                row.append(v)
-            total = sum(row) or 1.0
-            backward.insert(0, [v / total for v in row])
-        out = []
-        for k in range(n):
-            mass = [f * b for f, b in zip(forward[k], backward[k])]
-            out.append((mass[2] + mass[3]) / (sum(mass) or 1.0))
-        return out
-
-
-def _case(token: str) -> str:
-    c = token[0]
-    return "U" if c.isupper() or c.istitle() else "l" if c.islower() else "d" if c.isdigit() else "o" if c.isalpha() else "p"
-
-
-def _goes_on(add, prefix: str, word: str, after: str, case: str, r: float) -> None:
-    add(f"{prefix}t", 0, r)
-    add(f"{prefix}w|{word}", 0, r)
-    add(f"{prefix}h|{case}", 0, r)
-    add(f"{prefix}v|{word}|{after}", 0, r)
-    add(f"{prefix}y|{case}|{after}", 0, r)
-
-
-def spread_inner(inner: dict, into: dict) -> None:
-    """Turn counts of ``(word, case, next word)`` inside sentences into entries."""
-
-    def add(key: str, b: float, n: float) -> None:
-        into[key][1] += n
-
-    for (word, case, after), n in inner.items():
-        _goes_on(add, "+", word, after, case, n)
-    inner.clear()
-
-
-def tally(text: str, events: list[Event], sure: list[tuple[int, int]], beliefs: list[float], into: dict, inner: dict | None = None) -> None:
-    """Add a text's expected counts; with ``inner`` also, there, those of the words
-    that no event can precede, which do not depend on beliefs."""
-
-    def add(key: str, b: float, n: float) -> None:
-        v = into[key]
-        v[0] += b
-        v[1] += n
-
-    def opens(word: str, after: str, case: str, q: float) -> None:
-        add("t", q, 0)
-        add(f"w|{word}", q, 0)
-        add(f"h|{case}", q, 0)
-        add(f"v|{word}|{after}", q, 0)
-        add(f"y|{case}|{after}", q, 0)
-
-    before = None
-    for e, q in zip(events, beliefs):
-        r = 1 - q
-        add(f"l|{e.mark}|{e.gap}", q, r)
-        add(f"s|{e.mark}|{e.gap}|{_shape(e.left)}", q, r)
-        add(f"m|{e.mark}|{e.gap}|{e.left}", q, r)
-        add(f"f|{e.mark}|{e.gap}|{e.left}|{e.left2}", q, r)
-        if e.right != "$":
-            opens(e.right, e.right2, e.case, q)
-            if q < 0.5:
-                _goes_on(add, "", e.right, e.right2, e.case, r)
-                add(f"x|{e.left}", 0, r)
-                add(f"r|{e.left}|{e.right}", 0, r)
-        if before is not None:
-            add(f"n|{e.near}|1", before * q, before * r)
-            add(f"n|{e.near}|0", (1 - before) * q, (1 - before) * r)
-        before = q
-    starts = {0, *(b for _, b in sure)}
-    for at in starts:
-        if m := _TOKEN.search(text, at):
-            m2 = _TOKEN.search(text, m.end())
-            opens(_word(m.group()), _word(m2.group()) if m2 else "$", _case(m.group()), 1.0)
-    if inner is not None:
-        skip = sorted({e.end for e in events} | starts)
-        skip.append(len(text) + 1)
-        last, fresh, nxt = None, False, 0
-        for m in _TOKEN.finditer(text):
-            token = m.group()
-            while skip[nxt] <= m.start():
-                nxt, fresh = nxt + 1, True
-            word = _word(token)
-            if last is not None:
-                inner[(*last, word)] += 1
-            last = None if fresh or token in MARKS else (word, _case(token))
-            fresh = False
-
-
-def beliefs_of(events: list[Event], model: Model | None) -> list[float]:
-    """Training beliefs: the first guesses, then the model's posteriors."""
-    return [first_guess(e) for e in events] if model is None else model.posteriors(events)
-
-
-def sentences_of(text: str | None, model: Model) -> list[tuple[int, int]]:
-    """``(start, end)`` of the sentences of a text; none for null and blank."""
-    if not text or text.isspace():
-        return []
-    events, sure = find_events(text)
-    cuts = [a for a, _ in sure] + [e.end for e, q in zip(events, model.posteriors(events)) if q > 0.5]
-    out, begin = [], 0
-    for end in sorted(cuts) + [len(text)]:
-        a, b = begin, end
-        while a < b and text[a].isspace():
-            a += 1
-        while b > a and text[b - 1].isspace():
-            b -= 1
-        if a < b:
-            out.append((a, b))
-        begin = max(begin, end)
-    return out
-
-
-def merge_inner(counts: dict, inner: dict, first: bool) -> dict:
-    """Keep the counts of words inside sentences from the first round on."""
-    if first:
-        inner.update((k[1:], n) for k, (_, n) in counts.items() if k[0] == "+")
-    out = {k: v for k, v in counts.items() if k[0] != "+"}
-    for k, n in inner.items():
-        b, m = out.get(k, (0.0, 0.0))
-        out[k] = (b, m + n)
+#: Counts travel in blocks of so many slots.
+BLOCK = 1 << 15
+#: Texts are worked on together up to so many characters; a longer text alone.
+CHARS = 1 << 20
+#: Passes that fit the frequencies of boundaries by mark, gap and distance.
+ROUNDS = 1
+
+
+def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``CHARS`` characters together."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > CHARS:
+            yield begin, k
+            begin, size = k, 0
+        size += len(t)
+    if texts:
+        yield begin, len(texts)
+
+
+def _real(text: str | None) -> bool:
+    return isinstance(text, str) and bool(text) and not text.isspace()
+
+
+def _blocks(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The parts of a count table that are not empty, as ``(slice, places and values)``."""
+    per = -(-WIDTH // BLOCK)
+    for column in range(len(counts)):
+        for k in range(per):
+            part = counts[column, k * BLOCK : (k + 1) * BLOCK]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield column * per + k, at.astype("<u2").tobytes() + part[at].astype("<f8").tobytes()
+
+
+def _place(slices: list[int], blobs: list[bytes], into: np.ndarray) -> None:
+    per = -(-WIDTH // BLOCK)
+    for s, blob in zip(slices, blobs):
+        n = len(blob) // 10
+        at = np.frombuffer(blob, "<u2", n).astype(np.int64)
+        into[s // per, (s % per) * BLOCK + at] += np.frombuffer(blob, "<f8", n, 2 * n)
+
+
+def _extract(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """Stage the events of every text as ``(key, first, last, events)`` and, in rows of
+    their own, the counts of each task as ``(slice, counts)``.  Texts without a
+    sentence have no row."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((3, WIDTH))
+        names = ["key", "first", "last", "events", "slice", "counts"]
+        of = None
+        for batch in batches:
+            of = batch.column(0).type
+            texts = batch.column(1).to_pylist()
+            at = [k for k, t in enumerate(texts) if _real(t)]
+            texts = [texts[k] for k in at]
+            for a, b in _batches(texts):
+                ev, per, span, inner = find_events(texts[a:b])
+                count(ev, per, inner, counts)
+                ends = np.cumsum(per) * EVENT.itemsize
+                raw = ev.tobytes()
+                blobs = pa.array([raw[p:q] for p, q in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())], pa.binary())
+                none = pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at[a:b], pa.int64())), pa.array(span[:, 0], pa.int32()), pa.array(span[:, 1], pa.int32()), blobs, *none], names
+                )
+        found = list(_blocks(counts))
+        n = len(found)
+        if n:
+            nothing = pa.nulls(n, of), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array([s for s, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names)
+
+    rows = spread(docs.select(key, text), key).mapInArrow(run, f"key {kind}, first int, last int, events binary, slice int, counts binary")
+    return scratch.save(rows, "events")
+
+
+def _gather(staged: DataFrame) -> np.ndarray:
+    """The sum of all tasks' counts.  A slice has at most ``BLOCK`` places, so a
+    table of bounded size reaches the driver, whatever the corpus."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(BLOCK)
+        for blob in rows["counts"].tolist():
+            n = len(blob) // 10
+            total[np.frombuffer(blob, "<u2", n)] += np.frombuffer(blob, "<f8", n, 2 * n)
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [at.astype("<u2").tobytes() + total[at].tobytes()]})
+
+    sums = staged.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary").toPandas()
+    out = np.zeros((3, WIDTH))
+    _place(sums["slice"].tolist(), sums["counts"].tolist(), out)
+    return out.astype(np.float32)
+
+
+def _read(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = [x.as_py() for x in blobs]
+    return np.frombuffer(b"".join(raw), EVENT), np.array([len(x) // EVENT.itemsize for x in raw], np.int64)
+
+
+def _expected(staged: DataFrame, counts, classes: np.ndarray | None) -> np.ndarray:
+    """Expected counts of boundaries by mark, gap and distance over all events."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(counts.value, classes)
+        into = np.zeros((2, CLASSES + 6))
+        for batch in batches:
+            ev, per = _read(batch.column(0))
+            expect(ev, per, model.posteriors(ev, per), into)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES + 6), pa.int32()), pa.array(into[0]), pa.array(into[1])], ["at", "b", "n"])
+
+    sums = staged.where("events is not null").select("events").mapInArrow(run, "at int, b double, n double")
+    out = np.zeros((2, CLASSES + 6))
+    for at, b, n in sums.groupBy("at").agg(F.sum("b"), F.sum("n")).collect():
+        out[:, at] = b, n
     return out
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, keep: float = KEEP) -> dict[str, tuple[float, float]]:
-    """Counts of a model fitted to all texts.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, np.ndarray | None]:
+    """Stage the events of all texts and fit the model to them: ``(events, counts,
+    classes)``.
 
-    Each round is one pass over the corpus; tasks emit their summed counts, which
-    are combined before and after one shuffle by key.  Only entries that hold at
-    least ``keep`` of all openings come to the driver: each of the dozen tables has
-    at most a few times ``1/keep`` of them, whatever the corpus.
+    Texts are read once.  The counts lie in a table of fixed size that every event and
+    word of every text is added to; each further pass reads the staged events.
     """
     scratch = Scratch(docs.sparkSession, "sentences")
-    counts: dict[str, tuple[float, float]] | None = None
-    inner: dict[str, float] = {}
-    for k in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(counts)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared, first=k == 0) -> Iterator[pd.DataFrame]:
-            model = Model(shared.value) if shared.value is not None else None
-            into: dict = defaultdict(lambda: [0.0, 0.0])
-
-            inside: dict | None = defaultdict(int) if first else None
-
-            def emit() -> pd.DataFrame:
-                if inside:
-                    spread_inner(inside, into)
-                return pd.DataFrame([(k, b, n) for k, (b, n) in into.items()], columns=["key", "b", "n"])
-
-            for batch in batches:
-                for body in batch.iloc[:, 0].tolist():
-                    if not isinstance(body, str) or not body or body.isspace():
-                        continue
-                    events, sure = find_events(body)
-                    tally(body, events, sure, beliefs_of(events, model), into, inside)
-                    if len(into) + len(inside or ()) > 200_000:
-                        yield emit()
-                        into.clear()
-            yield emit()
-
-        sums = spread(docs.select(text), text, 2).mapInPandas(run, "key string, b double, n double").groupBy("key").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
-        sums = scratch.save(sums, "counts")
-        total = sums.where("key = 't'").select(F.col("b")).first()
-        least = keep * total[0] if total else 0.0
-        kept = sums.where((F.col("b") + F.col("n") >= least) | F.col("key").isin("t", "+t", *[f"n|{d}|{p}" for d in (0, 1, 2) for p in (0, 1)])).toPandas()
-        found = zip(kept["key"].tolist(), kept["b"].tolist(), kept["n"].tolist())
-        counts = merge_inner({key: (b, n) for key, b, n in found}, inner, k == 0)
-        scratch.drop(sums)
-    return counts or {}
-
-
-def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: dict | None = None) -> DataFrame:
+    staged = _extract(docs, key, text, scratch)
+    counts = _gather(staged)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    classes = None
+    for _ in range(rounds):
+        classes = _expected(staged, shared, classes)
+    return staged, counts, classes
+
+
+def cut(ev: np.ndarray, per: np.ndarray, first: np.ndarray, last: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, start, end)`` of the sentences between the events with ``q > 0.5``;
+    ``first`` and ``last`` are the ends of each text without white space."""
+    of = np.repeat(np.arange(len(per)), per)
+    yes = (q > 0.5) & (ev["end"] > first[of]) & (ev["end"] < last[of])
+    k = np.concatenate([np.arange(len(per)), of[yes]])
+    start = np.concatenate([first, ev["next"][yes].astype(np.int64)])
+    stop = np.concatenate([last, ev["end"][yes].astype(np.int64)])
+    begins, ends = np.lexsort((start, k)), np.lexsort((stop, k))
+    keep = start[begins] < stop[ends]
+    return k[begins][keep], start[begins][keep], stop[ends][keep]
+
+
+def sentences_of(texts: list[str | None], counts: np.ndarray, classes: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
+    """``(start, end)`` of the sentences of each text; none for null and blank."""
+    model = Model(counts, classes)
+    at = [k for k, t in enumerate(texts) if _real(t)]
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if at:
+        ev, per, span, _ = find_events([texts[k] for k in at])
+        for k, a, b in zip(*cut(ev, per, span[:, 0], span[:, 1], model.posteriors(ev, per))):
+            out[at[k]].append((int(a), int(b)))
+    return out
+
+
+def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, start_pos, end_pos)``: one row per sentence of every text.
 
     Positions are code points, the end exclusive; white space at the ends belongs to
     no sentence, all other text to exactly one.  Null, empty and blank texts have no
-    sentence.  A text without any mark is one sentence per paragraph.  Rows are
-    treated one by one, whole, however long; repeated keys give repeated rows.
-    ``counts`` is a trained model; by default one is fitted to ``docs``.
+    sentence.  A text without any mark is one sentence per paragraph.  Texts are
+    treated whole, however long; repeated keys give repeated rows, a null key is kept.
+    The model is fitted to ``docs``.
     """
-    counts = train(docs, text) if counts is None else counts
+    staged, counts, classes = train(docs, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(shared.value, classes)
         for batch in batches:
-            rows = [
-                (k, a, b)
-                for k, body in zip(batch.iloc[:, 0].tolist(), batch.iloc[:, 1].tolist())
-                for a, b in sentences_of(body if isinstance(body, str) else None, model)
-            ]
-            yield pd.DataFrame(rows, columns=[key, "start_pos", "end_pos"])
-
-    return spread(docs.select(key, text), key, 2).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, start_pos int, end_pos int")
+            ev, per = _read(batch.column(3))
+            first, last = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 2))
+            of, start, stop = cut(ev, per, first, last, model.posteriors(ev, per))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of)), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], [key, "start_pos", "end_pos"]
+            )
+
+    rows = staged.where("events is not null").select("key", "first", "last", "events")
+    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, start_pos int, end_pos int")
