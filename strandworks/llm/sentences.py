@@ -61,15 +61,15 @@ def _blocks(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
             part = counts[column, k * BLOCK : (k + 1) * BLOCK]
             at = np.flatnonzero(part)
             if len(at):
-                yield column * per + k, at.astype("<u2").tobytes() + part[at].astype("<f8").tobytes()
+                yield column * per + k, at.astype("<u2").tobytes() + part[at].astype("<f4").tobytes()
 
 
 def _place(slices: list[int], blobs: list[bytes], into: np.ndarray) -> None:
     per = -(-WIDTH // BLOCK)
     for s, blob in zip(slices, blobs):
-        n = len(blob) // 10
+        n = len(blob) // 6
         at = np.frombuffer(blob, "<u2", n).astype(np.int64)
-        into[s // per, (s % per) * BLOCK + at] += np.frombuffer(blob, "<f8", n, 2 * n)
+        into[s // per, (s % per) * BLOCK + at] += np.frombuffer(blob, "<f4", n, 2 * n)
 
 
 def _extract(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
@@ -114,8 +114,8 @@ def _gather(staged: DataFrame) -> np.ndarray:
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK)
         for blob in rows["counts"].tolist():
-            n = len(blob) // 10
-            total[np.frombuffer(blob, "<u2", n)] += np.frombuffer(blob, "<f8", n, 2 * n)
+            n = len(blob) // 6
+            total[np.frombuffer(blob, "<u2", n)] += np.frombuffer(blob, "<f4", n, 2 * n)
         at = np.flatnonzero(total)
         return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [at.astype("<u2").tobytes() + total[at].tobytes()]})
 
