@@ -3,17 +3,22 @@
 The links are walked with splitters.  A node is a splitter if its hash says so,
 if it has no parent, or if it has several; every other node has one parent, so
 the walk from it is a plain pointer chase that ends at the next splitter.  The
-walks are far shorter than the hierarchy is deep, and their strides double.
-What remains is a small pointer graph of splitters, solved the same way down to
-the nodes with several parents, which are settled from the top.  Paths are then
-put together from the pieces.  Circles without a splitter, whose walks never
-end, are found when a round of strides settles nothing, and handled apart.
+walks are far shorter than the hierarchy is deep, and their strides quadruple.
+What remains is a small pointer graph of splitters.  If it has few enough links for
+one task, that task solves it; a larger one is walked again down to the nodes with
+several parents, and what is still too large is settled from the top in rounds.
+Paths are then put together from the pieces.  Circles without a splitter, whose
+walks never end, are found when a round of strides settles nothing, and handled
+apart.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,9 @@ from strandworks.plans.scratch import Scratch, rows
 
 #: One node in so many is a splitter by its hash.
 SPLITTER_EVERY = 8
+#: A reduced graph of up to so many links is solved in one task; its pieces stay where
+#: they are, so a link is two ids there.
+SOLO = 500_000
 
 
 def _is_splitter(node: Column, every: int) -> Column:
@@ -37,12 +45,24 @@ class Walks:
     n_endless: int
 
 
+def _stride(state: DataFrame, known: DataFrame) -> DataFrame:
+    """Carry every pointer on to where its stop points, if that is known to point on."""
+    on = known.select(F.col("id").alias("via"), F.col("stop").alias("stop2"), F.col("piece").alias("piece2"), F.col("done").alias("done2"))
+    moved = F.col("via").isNotNull()
+    return state.join(on, state["stop"] == on["via"], "left").select(
+        "id",
+        F.when(moved, F.col("stop2")).otherwise(F.col("stop")).alias("stop"),
+        F.when(moved, F.concat("piece2", "piece")).otherwise(F.col("piece")).alias("piece"),
+        F.coalesce("done2", "done").alias("done"),
+    )
+
+
 def walk(pointers: DataFrame, scratch: Scratch, name: str) -> Walks:
     """Follow ``(id, stop, piece)`` pointers until ``stop`` has no pointer itself.
 
-    A round doubles the strides.  Nodes at distance d from their end settle in the
-    round of d's highest bit, and a node at distance d implies one at every smaller
-    distance, so a round that settles nothing proves that the rest go in circles.
+    A round follows the pointers twice.  A node at distance d implies one at every
+    smaller distance, and a round settles those up to a distance that grows, so a
+    round that settles nothing proves that the rest go in circles.
     """
     first = pointers.alias("a").join(pointers.select(F.col("id").alias("to")).alias("b"), F.col("a.stop") == F.col("b.to"), "left")
     state, seen = scratch.save(first.select("id", "stop", "piece", F.col("to").isNull().alias("done")), f"{name}-walk", open=F.count_if(~F.col("done")))
@@ -51,10 +71,7 @@ def walk(pointers: DataFrame, scratch: Scratch, name: str) -> Walks:
         known = going
         for part in done:
             known = known.unionByName(part)
-        known = known.select(F.col("id").alias("via"), F.col("stop").alias("stop2"), F.col("piece").alias("piece2"), F.col("done").alias("done2"))
-        step = going.join(known, going["stop"] == known["via"]).select(
-            "id", F.col("stop2").alias("stop"), F.concat("piece2", "piece").alias("piece"), F.col("done2").alias("done")
-        )
+        step = _stride(_stride(going, known), known)
         state, seen = scratch.save(step, f"{name}-walk", open=F.count_if(~F.col("done")))
         if seen["open"] == open_:
             break
@@ -101,18 +118,20 @@ def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     those that the owner of that id reaches backwards within its colour are the
     owner's component.  Found components leave, and it starts again.
     """
-    found, edges = [], scratch.save(edges.distinct(), "core")
+    found = []
+    edges, seen = scratch.save(edges.distinct(), "core", n=rows())
     while True:
+        n_edges = seen["n"]
         # peel
         while True:
             kids = edges.select(F.col("child").alias("k")).distinct()
             folks = edges.select(F.col("parent").alias("k")).distinct()
             kept = edges.join(kids, edges["parent"] == kids["k"], "left_semi").join(folks, edges["child"] == folks["k"], "left_semi")
-            before = edges.count()
             kept, seen = scratch.save(kept, "core", n=rows())
             scratch.drop(edges)
-            edges = kept
-            if seen["n"] in (0, before):
+            edges, before = kept, n_edges
+            n_edges = seen["n"]
+            if n_edges in (0, before):
                 break
         if not seen["n"]:
             break
@@ -149,7 +168,7 @@ def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         found.append(part)
         gone = scratch.save(reached.select("id"), "gone")
         rest = edges.join(gone, edges["child"] == gone["id"], "left_anti").join(gone, edges["parent"] == gone["id"], "left_anti")
-        edges = scratch.save(rest, "core")
+        edges, seen = scratch.save(rest, "core", n=rows())
     if not found:
         return edges.select(F.col("child").alias("id"), F.col("child").alias("component"))
     out = found[0]
@@ -158,51 +177,187 @@ def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _settle_junctions(legs: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Top-down over the nodes with several parents.
+def _settle_in_rounds(legs: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Top-down over the nodes with several parents, one level of them a round.
 
-    ``legs`` has ``(id, stop, piece)`` for each parent link of a junction, ``stop``
-    null if the link leads into a splitterless circle.  A junction settles when all
-    its legs stop at settled nodes.  Returns the paths ``(id, root, path)`` of the
-    settled, one row per path, and the legs of the others.
+    ``legs`` has ``(id, stop, piece)`` for each parent link, ``stop`` null if the link
+    leads into a splitterless circle.  A node settles when all its legs stop at
+    settled nodes; the paths found for it until then wait in one table.  Returns
+    the paths ``(id, root, path)`` of the settled, one row per path, and the legs of
+    the others.
     """
-    legs = scratch.save(legs, "legs")
-    # legs that stop at a root are complete from the start
-    known = roots.select("id", F.col("id").alias("root"), F.array("id").alias("path"))
+    front = roots.select("id", F.col("id").alias("root"), F.array("id").alias("path"))
+    open_ = legs
+    waiting = legs.select("id", F.col("id").alias("root"), F.col("piece").alias("path")).where("false")
     settled: list[DataFrame] = []
-    front, open_legs = known, legs
-    done_legs = None
-    n_open = open_legs.count()
-    while n_open:
-        hit = open_legs.join(front.select(F.col("id").alias("stop"), "root", "path"), "stop")
-        hit = hit.select("id", "stop", "root", F.concat("path", "piece").alias("path"), F.col("piece"))
-        hit = scratch.save(hit, "hit")
-        keys = hit.select("id", "stop", "piece").distinct()
-        rest, seen = scratch.save(
-            open_legs.join(keys, (open_legs["id"] == keys["id"]) & (open_legs["stop"] == keys["stop"]) & (open_legs["piece"] == keys["piece"]), "left_anti"),
-            "open", n=rows(),
-        )
-        done_legs = hit.select("id", "root", "path") if done_legs is None else done_legs.unionByName(hit.select("id", "root", "path"))
-        waiting = rest.select("id").distinct()
-        ready = done_legs.join(waiting, "id", "left_anti")
-        for part in settled:
-            ready = ready.join(part.select("id"), "id", "left_anti")
-        ready, got = scratch.save(ready, "ready", n=rows())
-        open_legs, n_open = rest, seen["n"]
+    while True:
+        stops = front.select(F.col("id").alias("stop")).distinct()
+        hit = open_.join(front.select(F.col("id").alias("stop"), "root", "path"), "stop")
+        paths = scratch.save(waiting.unionByName(hit.select("id", "root", F.concat("path", "piece").alias("path"))), "waiting")
+        rest, seen = scratch.save(open_.join(stops, "stop", "left_anti").select("id", "stop", "piece"), "open", n=rows())
+        held = rest.select("id").distinct()
+        ready, got = scratch.save(paths.join(held, "id", "left_anti"), "ready", n=rows())
         if not got["n"]:
             break
         settled.append(ready)
-        front = ready
-    paths = legs.select("id", F.col("id").alias("root"), "piece").where("false").withColumnRenamed("piece", "path")
-    for part in settled:
-        paths = paths.unionByName(part)
-    unsettled = legs
+        if len(settled) == 16:  # keeps the plan of the union short
+            merged = settled[0]
+            for part in settled[1:]:
+                merged = merged.unionByName(part)
+            settled = [scratch.save(merged, "settled")]
+        front, open_, waiting = ready, rest, paths.join(held, "id", "left_semi")
+        if not seen["n"]:
+            break
+    out = waiting.where("false")
     for part in settled:
-        unsettled = unsettled.join(part.select("id").distinct(), "id", "left_anti")
-    return paths, unsettled
+        out = out.unionByName(part)
+    return out, legs.join(out.select("id").distinct(), "id", "left_anti")
 
 
-def hierarchy(links: DataFrame, nodes: DataFrame, splitter_every: int = SPLITTER_EVERY) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _solve_links(ids: list[str], stops: list[str | None], leg: list[int]) -> tuple[list[int], list[int], list[int], list[int], list[str], dict[int, str]]:
+    """Solve a graph of links ``id -> stop`` in memory.
+
+    Returns the paths, each as the path above it (or -1), its last link, its node (or
+    -1, if the node never settles) and its top, the names of the nodes, and for each
+    node in a circle the least name among those that are both its ancestors and
+    descendants.
+    """
+    names: list[str] = []
+    code: dict[str, int] = {}
+
+    def at(name: str) -> int:
+        k = code.setdefault(name, len(names))
+        if k == len(names):
+            names.append(name)
+        return k
+
+    child = [at(x) for x in ids]
+    parent = [-1 if x is None else at(x) for x in stops]
+    n = len(names)
+    missing = [0] * n  # links whose upper end is not settled
+    below: list[list[int]] = [[] for _ in range(n)]
+    for k, (c, p) in enumerate(zip(child, parent)):
+        missing[c] += 1
+        if p >= 0:
+            below[p].append(k)
+    has = [m > 0 for m in missing]
+    above_path: list[int] = []
+    last_leg: list[int] = []
+    node_of: list[int] = []
+    top_of: list[int] = []
+    of_node: list[list[int]] = [[] for _ in range(n)]
+    ready = [v for v in range(n) if not has[v]]
+    while ready:
+        v = ready.pop()
+        for k in below[v]:
+            c = child[k]
+            for above in of_node[v] if has[v] else [-1]:
+                of_node[c].append(len(node_of))
+                above_path.append(above)
+                last_leg.append(leg[k])
+                node_of.append(c)
+                top_of.append(v if above < 0 else top_of[above])
+            missing[c] -= 1
+            if not missing[c]:
+                ready.append(c)
+    node_of = [-1 if missing[v] else v for v in node_of]
+    # what is left is in a circle or below one: components by depth-first search
+    ups: dict[int, list[int]] = {}
+    for c, p in zip(child, parent):
+        if missing[c] and p >= 0 and missing[p]:
+            ups.setdefault(c, []).append(p)
+    order: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack: list[int] = []
+    on: set[int] = set()
+    circle: dict[int, str] = {}
+    for start in ups:
+        if start in order:
+            continue
+        work = [(start, iter(ups.get(start, ())))]
+        order[start] = low[start] = len(order)
+        stack.append(start)
+        on.add(start)
+        while work:
+            v, rest = work[-1]
+            for p in rest:
+                if p not in order:
+                    order[p] = low[p] = len(order)
+                    stack.append(p)
+                    on.add(p)
+                    work.append((p, iter(ups.get(p, ()))))
+                    break
+                if p in on:
+                    low[v] = min(low[v], order[p])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == order[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(stack.pop())
+                        on.discard(part[-1])
+                    if len(part) > 1 or v in ups.get(v, ()):
+                        least = min(names[x] for x in part)
+                        circle.update((x, least) for x in part)
+    return above_path, last_leg, node_of, top_of, names, circle
+
+
+def _solve_alone(legs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Paths ``(id, root, path)`` and circles ``(id, component)`` of ``legs`` ``(leg, id,
+    stop, piece)`` that are few enough for one task, which gets their ends alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leg, ids, stops = [], [], []
+        for b in batches:
+            leg += b.column(0).to_pylist()
+            ids += b.column(1).to_pylist()
+            stops += b.column(2).to_pylist()
+        above, last, node, top, names, circle = _solve_links(ids, stops, leg)
+        columns = ["no", "id", "root", "legs"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], columns)
+
+        for k in range(len(node)):
+            if node[k] < 0:
+                continue
+            path, j = [], k
+            while j >= 0:
+                path.append(last[j])
+                j = above[j]
+            held.append((k, names[node[k]], names[top[k]], path[::-1]))
+            size += len(path)
+            if size > 1 << 18:
+                yield flush()
+                held, size = [], 0
+        held += [(None, names[v], least, None) for v, least in circle.items()]
+        if held:
+            yield flush()
+
+    solved = legs.select("leg", "id", "stop").repartition(1).mapInArrow(run, "no long, id string, root string, legs array<long>")
+    solved = scratch.save(solved, "solved")
+    steps = solved.where("no is not null").select("no", "id", "root", F.posexplode("legs").alias("at", "leg")).join(legs.select("leg", "piece"), "leg")
+    paths = steps.groupBy("no").agg(F.first("id").alias("id"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    paths = paths.select("id", "root", F.concat(F.array("root"), F.flatten(F.col("p.piece"))).alias("path"))
+    return paths, solved.where("no is null").select("id", F.col("root").alias("component"))
+
+
+def _solve(legs: DataFrame, n: int, roots: DataFrame, scratch: Scratch, solo: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(paths, unsettled legs, circles)`` of a reduced graph of ``n`` legs."""
+    if n <= solo:
+        paths, components = _solve_alone(legs, scratch)
+        inside = legs.where("stop is not null").join(components, "id")
+        return scratch.save(paths, "paths"), inside, components
+    paths, unsettled = _settle_in_rounds(legs, roots, scratch)
+    return paths, unsettled, strong_components(unsettled.where("stop is not null").select(F.col("id").alias("child"), F.col("stop").alias("parent")), scratch)
+
+
+def hierarchy(links: DataFrame, nodes: DataFrame, splitter_every: int = SPLITTER_EVERY, solo: int = SOLO) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Solve ``links`` ``(parent, child)`` over ``nodes`` ``(id)``.
 
     Both must be distinct and without nulls, and ``nodes`` hold every id of the
@@ -215,7 +370,7 @@ def hierarchy(links: DataFrame, nodes: DataFrame, splitter_every: int = SPLITTER
     * ``below`` ``(id)``: the rest, which have an ancestor in a circle.
 
     Empty links make every node a tree of its own; a link from a node to itself is
-    a circle of one.
+    a circle of one.  Reduced graphs of at most ``solo`` links are solved in one task.
     """
     scratch = Scratch(links.sparkSession, "hierarchy")
     hashed = _is_splitter(F.col("id"), splitter_every)
@@ -237,7 +392,7 @@ def hierarchy(links: DataFrame, nodes: DataFrame, splitter_every: int = SPLITTER
         )
     )
 
-    def extend(legs: DataFrame, walks: Walks, name: str) -> DataFrame:
+    def extend(legs: DataFrame, walks: Walks, name: str) -> tuple[DataFrame, dict]:
         """Carry legs on over the walk that starts at their stop; null stop if it never ends."""
         on = walks.ended.select(F.col("id").alias("via"), F.col("stop").alias("stop2"), F.col("piece").alias("piece2"))
         out = legs.join(on, legs["stop"] == on["via"], "left")
@@ -247,30 +402,34 @@ def hierarchy(links: DataFrame, nodes: DataFrame, splitter_every: int = SPLITTER
             out = out.join(lost, out["stop"] == lost["lost"], "left").select(
                 "id", F.when(F.col("lost").isNull(), F.col("stop")).alias("stop"), "piece"
             )
-        return scratch.save(out, name)
-
-    legs = extend(starts, low, "legs")
-    is_single = single.where("hashed").select("id")
-    reduced = legs.join(is_single, "id", "left_semi")
-    into_circle = reduced.where("stop is null").select("id")
-    high = walk(reduced.where("stop is not null"), scratch, "high")
-    # walks that ended at a splitter which itself leads into a splitterless circle
-    bad = scratch.save(into_circle, "bad")
-    junction_legs = extend(legs.join(junctions, "id", "left_semi"), high, "junction_legs")
-    junction_legs = junction_legs.join(bad.select(F.col("id").alias("b")), F.col("stop") == F.col("b"), "left").select(
-        "id", F.when(F.col("b").isNull(), F.col("stop")).alias("stop"), "piece"
-    )
+        return scratch.save(out.withColumn("leg", F.monotonically_increasing_id()), name, n=rows())
+
+    legs, seen = extend(starts, low, "legs")
+    alone = seen["n"] <= solo
+    if alone:
+        inner_legs, n_legs, high = legs, seen["n"], None
+    else:
+        is_single = single.where("hashed").select("id")
+        reduced = legs.join(is_single, "id", "left_semi").drop("leg")
+        into_circle = reduced.where("stop is null").select("id")
+        high = walk(reduced.where("stop is not null"), scratch, "high")
+        # walks that ended at a splitter which itself leads into a splitterless circle
+        bad = scratch.save(into_circle, "bad")
+        inner_legs, seen = extend(legs.join(junctions, "id", "left_semi").drop("leg"), high, "junction_legs")
+        n_legs = seen["n"]
+        inner_legs = inner_legs.join(bad.select(F.col("id").alias("b")), F.col("stop") == F.col("b"), "left").select(
+            "leg", "id", F.when(F.col("b").isNull(), F.col("stop")).alias("stop"), "piece"
+        )
 
-    paths, unsettled = _settle_junctions(junction_legs, roots, scratch)
+    paths, unsettled, components = _solve(inner_legs, n_legs, roots, scratch, solo)
     top = roots.select("id", F.col("id").alias("root"), F.array("id").alias("path")).unionByName(paths)
-    top = scratch.save(top, "top")
 
     # expand: hashed splitters from the tops, then the rest from all splitters
     def expand(walks: Walks, above: DataFrame) -> DataFrame:
         above = above.select(F.col("id").alias("stop"), "root", F.col("path").alias("above"))
         return walks.ended.join(above, "stop").select("id", "root", F.concat("above", "piece").alias("path"))
 
-    middle = scratch.save(top.unionByName(expand(high, top)), "splitter_paths")
+    middle = top if high is None else scratch.save(top.unionByName(expand(high, top)), "splitter_paths")
     tree = middle.unionByName(expand(low, middle))
     tree = scratch.save(tree.select("id", "root", (F.size("path") - 1).alias("depth"), "path"), "tree")
 
@@ -278,22 +437,25 @@ def hierarchy(links: DataFrame, nodes: DataFrame, splitter_every: int = SPLITTER
     circles = []
     if low.n_endless:
         inner = single.join(low.endless, "id", "left_semi").select("id", F.col("parent").alias("stop"))
-        circles.append(rings(inner, scratch, "low").select("id", F.col("ring").alias("root")))
-    if high.n_endless:
+        if low.n_endless <= solo:
+            around = _solve_alone(inner.select(F.lit(0).cast("long").alias("leg"), "id", "stop", F.array("id").alias("piece")), scratch)[1]
+            circles.append(around.select("id", F.col("component").alias("root")))
+        else:
+            circles.append(rings(inner, scratch, "low").select("id", F.col("ring").alias("root")))
+    if high is not None and high.n_endless:
         inner = scratch.save(reduced.join(high.endless, "id", "left_semi"), "endless")
         around = rings(inner.select("id", "stop"), scratch, "high")
         members = around.join(inner, "id").select("ring", F.explode("piece").alias("id"))
         circles.append(_least(members))
-    components = strong_components(unsettled.where("stop is not null").select(F.col("id").alias("child"), F.col("stop").alias("parent")), scratch)
     ends = components.select(F.col("id").alias("stop"), F.col("component").alias("c2"))
-    inside = unsettled.join(components, "id").join(ends, "stop").where("component = c2")
+    inside = (unsettled if "component" in unsettled.columns else unsettled.join(components, "id")).join(ends, "stop").where("component = c2")
     circles.append(_least(inside.select(F.col("component").alias("ring"), F.explode("piece").alias("id")).distinct()))
     circle = circles[0]
     for part in circles[1:]:
         circle = circle.unionByName(part)
     circle = scratch.save(circle, "circle")
     settled = tree.select("id").union(circle.select("id"))
-    below = nodes.join(settled, "id", "left_anti")
+    below = info.select("id").join(settled, "id", "left_anti")
     return tree, circle, below
 
 
@@ -302,6 +464,21 @@ def _least(members: DataFrame) -> DataFrame:
     return members.join(least, "ring").select("id", "root")
 
 
+def _solve_chains(ids: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`hierarchy` over trimmed keys; ``ids`` are those of the catalog."""
+    ends = parents.select(F.trim("chain_id_parent").alias("parent"), F.trim("chain_id_child").alias("child"))
+    links = ends.where("parent is not null and child is not null").distinct()
+    nodes = ids.select("id").union(ends.select("parent")).union(ends.select("child")).where("id is not null").distinct()
+    return hierarchy(Scratch(parents.sparkSession, "chains").save(links, "links"), nodes)
+
+
+def chain_descendants(chains: DataFrame, parents: DataFrame) -> DataFrame:
+    """``(ancestor, id, distance)``: all descendants of every chain of a tree, at each
+    distance at which they stand below it.  Chains in or below a circle have none
+    and are none; keys are treated as by :func:`chain_hierarchy`."""
+    return descendants(_solve_chains(chains.select(F.trim("id").alias("id")), parents)[0])
+
+
 def chain_hierarchy(chains: DataFrame, parents: DataFrame) -> DataFrame:
     """Paths, levels and circles of a catalog of chains and its parent links.
 
@@ -311,13 +488,8 @@ def chain_hierarchy(chains: DataFrame, parents: DataFrame) -> DataFrame:
     spaces and compared as they are; links with a null end do not count, but their
     other end is a node; repeated links and rows change nothing.
     """
-    p, c = F.trim("chain_id_parent"), F.trim("chain_id_child")
-    ends = parents.select(p.alias("parent"), c.alias("child"))
-    links = ends.where("parent is not null and child is not null").distinct()
     catalog = chains.select(F.trim("id").alias("id"), "level").groupBy("id").agg(F.min("level").alias("lo"), F.max("level").alias("hi"))
-    nodes = catalog.select("id").union(ends.select("parent")).union(ends.select("child")).where("id is not null").distinct()
-    scratch = Scratch(parents.sparkSession, "chains")
-    tree, circle, below = hierarchy(scratch.save(links, "links"), scratch.save(nodes, "nodes"))
+    tree, circle, below = _solve_chains(catalog, parents)
     leveled = tree.join(catalog, "id", "left")
     kinds = F.when((F.col("lo") != F.col("depth")) | (F.col("hi") != F.col("depth")), F.array(F.lit("tree"), F.lit("level"))).otherwise(F.array(F.lit("tree")))
     found = leveled.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.operators.compaction import consolidate_files
-from strandworks.operators.hierarchy import chain_hierarchy
+from strandworks.operators.hierarchy import chain_descendants, chain_hierarchy
 from strandworks.operators.orphans import orphan_references
 from strandworks.operators.periods import periods_and_gaps
 from strandworks.plans.tables import table
@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_hierarchy(table(spark, sf_dir, "chains"), table(spark, sf_dir, "parents"))
 
 
+def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chain_descendants(table(spark, sf_dir, "chains"), table(spark, sf_dir, "parents"))
+    return found.select(F.col("ancestor").alias("ancestor_id"), F.col("id").alias("chain_id"), "distance")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periods_and_gaps(table(spark, sf_dir, "sifts"), F.upper(F.trim("uniprot_id")), "uniprot_start", "uniprot_end")
     return found.select(
@@ -36,7 +41,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ref_field", F.col("key").alias("chain_id"), "kind", F.col("month").alias("ref_month"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_descendants, p3_found, p4_found, p6_found)}
 
 SQL = {
     "p1_found": """
@@ -66,6 +71,19 @@ SELECT n, 'level', root, CAST(depth AS INTEGER), path FROM walk
 WHERE EXISTS (SELECT 1 FROM chains WHERE trim(id, ' ') = n AND level <> depth)
 UNION ALL SELECT n, 'cycle', root, -1, '' FROM ring
 UNION ALL SELECT n, 'below', '', -1, '' FROM under
+""",
+    "p1_descendants": """
+WITH RECURSIVE links AS (
+  SELECT DISTINCT trim(chain_id_parent, ' ') AS p, trim(chain_id_child, ' ') AS c FROM parents
+  WHERE chain_id_parent IS NOT NULL AND chain_id_child IS NOT NULL),
+reach(a, d) AS (
+  SELECT p, c FROM links UNION SELECT r.a, l.c FROM reach r JOIN links l ON l.p = r.d),
+circle AS (SELECT DISTINCT a AS n FROM reach WHERE a = d),
+off AS (SELECT n FROM circle UNION SELECT d FROM reach WHERE a IN (SELECT n FROM circle)),
+free AS (SELECT p, c FROM links WHERE c NOT IN (SELECT n FROM off)),
+found(a, n, far) AS (
+  SELECT p, c, 1 FROM free UNION SELECT f.a, l.c, f.far + 1 FROM found f JOIN free l ON l.p = f.n)
+SELECT a AS ancestor_id, n AS chain_id, CAST(far AS INTEGER) AS distance FROM found
 """,
     "p3_found": """
 WITH segs AS (

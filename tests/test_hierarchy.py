@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 
+import strandworks.operators.hierarchy as H
 from strandworks.operators.hierarchy import chain_hierarchy, descendants, hierarchy
 
 CHAINS = "id string, chain_type int, level int, root string, added_at timestamp"
@@ -70,8 +71,10 @@ def test_empty(spark):
     assert run(spark, [], []) == set()
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_graphs(spark, seed):
+@pytest.mark.parametrize(("seed", "solo"), [(0, 1000), (1, 1000), (2, 20), (3, 0)])
+def test_random_graphs(spark, seed, solo, monkeypatch):
+    """With the reduced graph solved alone, after a second walk, and in rounds."""
+    monkeypatch.setattr(H.hierarchy, "__defaults__", (8, solo))
     rng = random.Random(seed)
     n = 60
     parents = [(f"n{rng.randrange(max(1, i - 9), i + 1)}", f"n{i}") for i in range(1, n)]
@@ -88,3 +91,21 @@ def test_descendants(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     tree, _, _ = hierarchy(links, nodes)
     assert {tuple(r) for r in descendants(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+def test_links_of_a_deep_ladder_and_a_long_circle():
+    """A ladder of 1,000 nodes with two parents each, and a circle of 10,000."""
+    ladder = [(f"j{i}", f"j{i - 1}" if i else "top") for i in range(1000)]
+    side = [(f"j{i}", f"s{i}") for i in range(1000)]
+    ring = [(f"o{i:05}", f"o{(i + 1) % 10_000:05}") for i in range(10_000)] + [("under", "o00007"), ("lost", None)]
+    links = ladder + side + ring
+    above, last, node, top, names, circle = H._solve_links([a for a, _ in links], [b for _, b in links], list(range(len(links))))
+    found = [names[v] for v in node if v >= 0]
+    assert len(found) == sum(i + 2 for i in range(1000))
+    assert {names[v]: least for v, least in circle.items()} == {f"o{i:05}": "o00000" for i in range(10_000)}
+    deepest = max(k for k, v in enumerate(node) if v >= 0 and names[v] == "j999" and names[top[k]] == "top")
+    path, k = [], deepest
+    while k >= 0:
+        path.append(last[k])
+        k = above[k]
+    assert path[::-1] == list(range(1000))
