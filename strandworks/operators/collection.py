@@ -3,18 +3,20 @@
 Tables: ``chains (id, chain_type, level)``, ``parents (parent_id, child_id)``,
 ``variables (chain_id, variable_id, value, ok)``, ``paths (chain_id, path)`` and
 ``structures (chain_id, structure_id)``.  Inserts append what is new; everything
-else writes the table anew and swaps folders, so readers see one state or the other.
+else writes the table anew and swaps its files; a table is there at every moment, and
+a swap that broke off is carried to its end before the table is read again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandworks.plans.scratch import delete_path, path_exists, rename_path
+from strandworks.plans.scratch import delete_path, finish_swap, path_exists, swap_files
 
 SCHEMAS = {
     "chains": "id string, chain_type int, level int",
@@ -44,6 +46,8 @@ class Catalog:
 
     def table(self, name: str, where: str | Column | None = None) -> DataFrame:
         """A table, empty if nothing was stored; ``where`` reaches the scan."""
+        if path_exists(self.spark, f"{self._path(name)}/_swap"):
+            finish_swap(self.spark, self._path(name))
         if not path_exists(self.spark, self._path(name)):
             df = self.spark.createDataFrame([], SCHEMAS[name])
         else:
@@ -65,14 +69,9 @@ class Catalog:
 
     def _swap(self, name: str, df: DataFrame) -> None:
         names = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-        new, old = f"{self._path(name)}.new", f"{self._path(name)}.old"
-        delete_path(self.spark, new)
-        df.select(*names).write.parquet(new)
-        if path_exists(self.spark, self._path(name)):
-            delete_path(self.spark, old)
-            rename_path(self.spark, self._path(name), old)
-        rename_path(self.spark, new, self._path(name))
-        delete_path(self.spark, old)
+        staging = f"{self._path(name)}/.staging-{uuid.uuid4().hex}"
+        df.select(*names).write.parquet(staging)
+        swap_files(self.spark, staging, self._path(name))
 
     def _insert(self, name: str, df: DataFrame, key: list[str]) -> None:
         fresh = df.dropDuplicates(key).join(self.table(name).select(*key), key, "left_anti")

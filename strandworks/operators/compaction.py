@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.plans.scratch import Scratch, rows, delete_path, path_exists, rename_path
+from strandworks.plans.scratch import Scratch, delete_path, rows, swap_files
 
 #: The white space of Unicode, as a character class.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -70,8 +71,9 @@ def distinct_records(files: DataFrame) -> DataFrame:
 
 
 def _checksums(keys: list[str]) -> dict[str, Column]:
-    digest = F.xxhash64(*keys)
-    return {"n": rows(), "low": F.sum(digest.bitwiseAND(0xFFFFFFFF)), "high": F.sum(F.shiftright(digest, 32))}
+    """Row count and two checksums of whole rows: one adds up digests as decimals of 38
+    places, which 10^19 rows do not fill, the other folds another digest by XOR."""
+    return {"n": rows(), "added": F.sum(F.xxhash64(*keys).cast("decimal(38,0)")), "folded": F.bit_xor(F.xxhash64(F.lit("folded"), *keys))}
 
 
 def compact(df: DataFrame, path: str, keys: list[str], target_bytes: int = TARGET_BYTES, size: Column | None = None) -> int:
@@ -80,9 +82,10 @@ def compact(df: DataFrame, path: str, keys: list[str], target_bytes: int = TARGE
     Rows are range-partitioned by ``keys`` at boundaries that Spark samples; the
     number of ranges follows from the total of ``size`` (bytes of a row; by
     default the length of its text columns) and ``target_bytes``.  The files go to
-    a folder beside ``path``.  Only if count and checksums of what was written
-    equal those of the source does it take the place of ``path``; otherwise it is
-    removed and an error raised.  Give keys that are close to unique: rows equal in
+    a hidden folder inside ``path``.  Only if count and checksums of what was written
+    equal those of the source do its files take the place of those in ``path``, which
+    exists and can be read at every moment; otherwise they are removed and an error
+    raised.  Give keys that are close to unique: rows equal in
     all keys cannot be split over files.
     """
     spark = df.sparkSession
@@ -91,26 +94,31 @@ def compact(df: DataFrame, path: str, keys: list[str], target_bytes: int = TARGE
         size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(8 * len(df.columns)))
     before = df.agg(F.sum(size).alias("bytes"), *[c.alias(k) for k, c in _checksums(df.columns).items()]).first().asDict()
     ranges = max(1, math.ceil((before.pop("bytes") or 0) / target_bytes))
-    staging, old = f"{path}.staging", f"{path}.old"
-    delete_path(spark, staging)
+    staging = f"{path}/.staging-{uuid.uuid4().hex}"
     df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).write.parquet(staging)
     after = spark.read.schema(df.schema).parquet(staging).agg(*[c.alias(k) for k, c in _checksums(df.columns).items()]).first().asDict()
     if after != before:
         delete_path(spark, staging)
         raise RuntimeError(f"compaction does not reconcile: {before} became {after}")
-    if path_exists(spark, path):
-        delete_path(spark, old)
-        rename_path(spark, path, old)
-    rename_path(spark, staging, path)
-    delete_path(spark, old)
+    swap_files(spark, staging, path)
     return ranges
 
 
+def _source_sums(files: DataFrame) -> dict:
+    """Count and checksums of the distinct record keys, straight from the source rows
+    and without their bodies."""
+    keys = ["area", "record_id", "content_md5"]
+    found = split_records(files).select("area", "record_id", F.md5("body").alias("content_md5")).distinct()
+    return found.agg(*[c.alias(k) for k, c in _checksums(keys).items()]).first().asDict()
+
+
 def consolidate_files(files: DataFrame, path: str | None = None, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Compact all records of small-file rows; the table of them, read back.
 
     Columns ``area, record_id, content_md5, body``.  ``path`` defaults to a folder
-    in the shared checkpoint directory.
+    in the shared checkpoint directory.  The keys of what is read back are reconciled
+    with those of the source rows, which are split once more for that, so a record
+    lost on the way to the sorted files shows as well.
     """
     spark = files.sparkSession
     scratch = Scratch(spark, "compaction")
@@ -118,4 +126,8 @@ def consolidate_files(files: DataFrame, path: str | None = None, target_bytes: i
     path = path or scratch.path("compacted")
     compact(records, path, ["area", "record_id", "content_md5"], target_bytes)
     scratch.drop(records)
-    return spark.read.schema(records.schema).parquet(path)
+    out = spark.read.schema(records.schema).parquet(path)
+    wrote = out.agg(*[c.alias(k) for k, c in _checksums(["area", "record_id", "content_md5"]).items()]).first().asDict()
+    if wrote != (source := _source_sums(files)):
+        raise RuntimeError(f"compaction does not reconcile with its source: {source} became {wrote}")
+    return out

@@ -49,11 +49,43 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def rename_path(spark: SparkSession, source: str, target: str) -> None:
-    """Move a folder within one file system; raises if the move is refused."""
-    fs, jpath = _fs(spark, source)
-    if not fs.rename(jpath, _fs(spark, target)[1]):
-        raise OSError(f"cannot rename {source} to {target}")
+def swap_files(spark: SparkSession, staging: str, path: str) -> None:
+    """Put the Parquet files of ``staging``, a hidden folder below ``path``, in the place
+    of those in ``path``.
+
+    What is to come and to go is written down first.  New files are then renamed into
+    ``path`` before old ones are deleted, so at no moment is there no table; a reader
+    in between may see rows twice, none is missing.  A swap that broke off is carried
+    to its end by :func:`finish_swap`.
+    """
+    fs, root = _fs(spark, path)
+    old = [f.getPath().getName() for f in fs.listStatus(root) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    plan = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_swap.tmp")
+    out = fs.create(plan, True)
+    out.write("\n".join([staging.rsplit("/", 1)[-1], *old]).encode())
+    out.close()
+    fs.rename(plan, _fs(spark, f"{path}/_swap")[1])
+    finish_swap(spark, path)
+
+
+def finish_swap(spark: SparkSession, path: str) -> None:
+    """Carry out the swap that is written down in ``path``, if one is."""
+    fs, plan = _fs(spark, f"{path}/_swap")
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not fs.exists(plan):
+        return
+    source = fs.open(plan)
+    staging, *old = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8").split("\n")
+    source.close()
+    folder = jpath(f"{path}/{staging}")
+    if fs.exists(folder):
+        for f in fs.listStatus(folder):
+            if not f.getPath().getName().startswith(("_", ".")) and not fs.rename(f.getPath(), jpath(f"{path}/{f.getPath().getName()}")):
+                raise OSError(f"cannot move {f.getPath()} to {path}")
+    for name in filter(None, old):
+        fs.delete(jpath(f"{path}/{name}"), False)
+    fs.delete(folder, True)
+    fs.delete(plan, False)
 
 
 def _forget(spark: SparkSession, root: str) -> None:

@@ -6,7 +6,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from strandworks.operators.compaction import compact, consolidate_files
+from strandworks.operators.compaction import _checksums, compact, consolidate_files
+from strandworks.plans.scratch import finish_swap, swap_files
 from strandworks.operators.orphans import beyond_runs, key_runs, orphan_references
 from strandworks.operators.periods import BLOCK, periods_and_gaps
 
@@ -78,6 +79,31 @@ def test_compact_sizes_order_and_swap(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["table"]
 
 
+def test_checksums_pass_the_range_of_a_long(spark):
+    """Digests of one sign add up past 2**63 within a few rows."""
+    ids = [r.id for r in spark.range(400).where(F.xxhash64("id") > (1 << 62)).collect()]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    sums = df.agg(*[c.alias(k) for k, c in _checksums(["id"]).items()]).first()
+    assert sums.n == len(ids) and sums.added > 1 << 63
+    assert sums.folded != df.where(F.col("id") != ids[0]).agg(_checksums(["id"])["folded"]).first()[0]
+
+
+def test_a_swap_that_broke_off_is_carried_to_its_end(spark, tmp_path, monkeypatch):
+    import strandworks.plans.scratch as S
+
+    path = f"file://{tmp_path}/table"
+    spark.range(10).coalesce(1).write.parquet(path)
+    spark.range(20, 25).coalesce(1).write.parquet(f"{path}/.staging-x")
+    with monkeypatch.context() as m:
+        m.setattr(S, "finish_swap", lambda *_: None)
+        swap_files(spark, f"{path}/.staging-x", path)
+    assert spark.read.parquet(path).count() == 10
+    finish_swap(spark, path)
+    finish_swap(spark, path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [20, 21, 22, 23, 24]
+    assert not [p.name for p in (tmp_path / "table").iterdir() if "staging" in p.name or p.name == "_swap"]
+
+
 def test_runs_and_as_of(spark):
     have = sorted({1, 2, 3, 7, 65535, 65536, 65537, 200000})
     codes = spark.createDataFrame([(c,) for c in have], "code long")
