@@ -10,44 +10,77 @@ the spans to remove.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 
 from strandworks.plans.spread import spread
 
 WINDOW = 32
 #: Normalised characters of a shard; longer documents are cut into overlapping
-#: pieces, so that no window is lost.
-SHARD_CHARS = 1 << 20
+#: pieces, so that no window is lost.  Three ranks of its suffixes fit into 63 bits.
+SHARD_CHARS = 2_000_000
 SAMPLE = 32
-#: Held-out characters searched at a time; more are searched in blocks.
-BLOCK_CHARS = 1 << 22
-_DROP = regex.compile(r"[^\p{L}\p{N}]+")
+#: Held-out windows searched at a time, of 4 bytes a character: 32 MB.  Each index
+#: meets all blocks of windows in turn.
+BLOCK_WINDOWS = 1 << 18
+#: Held-out characters that go to the tasks at a time; more are searched in rounds.
+ROUND_CHARS = 1 << 24
 
 
-def normalise(text: str | None) -> str:
-    """Lower case, letters and digits only; empty for null."""
-    return _DROP.sub("", text.lower()) if text else ""
+class _Letters:
+    """By code point: whether it is a letter or digit, and how many of the characters of
+    its lower-case form are; filled in for those met."""
 
+    def __init__(self):
+        self.known = np.zeros(0x110000, bool)
+        self.kept = np.zeros(0x110000, bool)
+        self.count = np.zeros(0x110000, np.uint8)
 
-def _origins(text: str) -> tuple[np.ndarray, int]:
-    """The place in ``text`` of each normalised character."""
-    at: list[int] = []
-    for i, ch in enumerate(text):
-        at.extend([i] * len(_DROP.sub("", ch.lower())))
-    return np.array(at, np.int64), len(text)
+    def meet(self, points: np.ndarray) -> None:
+        new = ~self.known[points]
+        for c in np.unique(points[new]).tolist():
+            self.kept[c] = unicodedata.category(chr(c))[0] in "LN"
+            self.count[c] = sum(unicodedata.category(x)[0] in "LN" for x in chr(c).lower())
+            self.known[c] = True
+
+
+_LETTERS = _Letters()
 
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def normalise_all(texts: list[str | None]) -> list[np.ndarray]:
+    """Code points of each text in lower case, letters and digits only; none for null."""
+    low = [t.lower() if isinstance(t, str) else "" for t in texts]
+    points = _points("".join(low))
+    _LETTERS.meet(points)
+    keep = _LETTERS.kept[points]
+    ends = np.cumsum([len(t) for t in low])
+    cuts = np.concatenate([[0], np.cumsum(keep)])[ends]
+    return np.split(points[keep], cuts[:-1]) if len(texts) else []
+
+
+def normalise(text: str | None) -> str:
+    """Lower case, letters and digits only; empty for null."""
+    return normalise_all([text])[0].tobytes().decode("utf-32-le")
+
+
+def _origins(text: str) -> np.ndarray:
+    """The place in ``text`` of each normalised character."""
+    points = _points(text)
+    _LETTERS.meet(points)
+    return np.repeat(np.arange(len(points)), _LETTERS.count[points])
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of integers by prefix doubling over unsettled groups only."""
+    """Sorted suffixes of integers by prefix doubling over unsettled groups only; a round
+    triples the prefix where three ranks fit into one key."""
     n = len(s)
     bits = max(1, int(s.max()).bit_length()) if n else 1
     per = max(1, 62 // bits)
@@ -57,7 +90,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         key[: n - j] |= s[j:]
     if per > n:
         key <<= bits * (per - n)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    triple = (n + 2) ** 3 < 1 << 63
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     slots, k, h = np.arange(n), key[order], per
@@ -74,9 +108,11 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
             return order
         which = order[slots]
         k = start * (n + 1) + rank[np.minimum(which + h, n)] + 1
-        by = np.argsort(k, kind="stable")
+        if triple:
+            k = k * (n + 1) + rank[np.minimum(which + 2 * h, n)] + 1
+        by = np.argsort(k)
         order[slots], k = which[by], k[by]
-        h *= 2
+        h *= 3 if triple else 2
 
 
 class WaveletTree:
@@ -183,10 +219,9 @@ class FMIndex:
 class Windows:
     """The distinct windows of held-out texts, and the items each stands in."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int, np.ndarray]], window: int = WINDOW):
         parts, owners = [], []
-        for item, text in items:
-            points = _points(text)
+        for item, points in items:
             if len(points) >= window:
                 parts.append(np.lib.stride_tricks.sliding_window_view(points, window))
                 owners.append(np.full(len(points) - window + 1, item, np.int64))
@@ -203,94 +238,132 @@ class Windows:
         self.bounds = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
 
 
-def _shard_hits(docs: list[tuple[object, str, int]], windows: Windows) -> Iterator[tuple]:
-    """``(key, item, start, end)`` in normalised offsets; docs are ``(key, piece, offset)``."""
-    index = FMIndex([_points(t) for _, t, _ in docs])
+def window_blocks(items: list[tuple[int, np.ndarray]], window: int, most: int) -> Iterator[Windows]:
+    """All windows of the items, at most ``most`` at a time; a long item is cut into
+    overlapping parts."""
+    block: list[tuple[int, np.ndarray]] = []
+    room = most
+    for item, points in items:
+        at, n = 0, len(points) - window + 1
+        while at < n:
+            take = min(room, n - at)
+            block.append((item, points[at : at + take + window - 1]))
+            at, room = at + take, room - take
+            if not room:
+                yield Windows(block, window)
+                block, room = [], most
+    if block:
+        yield Windows(block, window)
+
+
+def _hits(index: FMIndex, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, item, position)`` of every window in every text of the index."""
     which, lo, hi = index.search(index.encode(windows.points))
-    if not len(which):
-        return
     sizes = hi - lo
     rows = np.repeat(lo, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at, window = index.locate(rows), np.repeat(which, sizes)
     n_items = windows.bounds[window + 1] - windows.bounds[window]
     item = windows.owners[np.repeat(windows.bounds[window], n_items) + np.arange(int(n_items.sum())) - np.repeat(np.cumsum(n_items) - n_items, n_items)]
     at = np.repeat(at, n_items)
-    doc = np.searchsorted(index.starts, at, "right") - 1
+    return np.searchsorted(index.starts, at, "right") - 1, item, at
+
+
+def _shard_hits(shard: list[tuple[int, np.ndarray, int]], blocks: Iterator[Windows], window: int) -> tuple[np.ndarray, ...]:
+    """``(document, item, start, end)`` of the merged spans, in normalised offsets; the
+    shard is ``(document, piece, offset)``.  One index meets all blocks."""
+    index = FMIndex([t for _, t, _ in shard])
+    found = [_hits(index, w) for w in blocks]
+    doc, item, at = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
     by = np.lexsort((at, item, doc))
     doc, item, at = doc[by], item[by], at[by]
-    cut = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] > at[:-1] + windows.window))
+    cut = np.ones(len(doc), bool)
+    cut[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] > at[:-1] + window)
     first = np.flatnonzero(cut)
-    last = np.append(first[1:], len(at)) - 1
-    for d, i, a, b in zip(doc[first].tolist(), item[first].tolist(), at[first].tolist(), at[last].tolist()):
-        key, _, offset = docs[d]
-        base = offset - int(index.starts[d])
-        yield key, i, a + base, b + base + windows.window
-
-
-def leaked_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    key, offset = np.array([k for k, _, _ in shard], np.int64), np.array([o for _, _, o in shard], np.int64)
+    base = offset[doc[first]] - index.starts[doc[first]]
+    return key[doc[first]], item[first], at[first] + base, at[last] + base + window
+
+
+def _shards(pieces: Iterator[tuple[int, np.ndarray, int]], most: int) -> Iterator[list]:
+    shard, size = [], 0
+    for piece in pieces:
+        if size + len(piece[1]) > most and shard:
+            yield shard
+            shard, size = [], 0
+        shard.append(piece)
+        size += len(piece[1])
+    if shard:
+        yield shard
+
+
+def leaked_spans(
+    docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW,
+    places: bool = True, shard_chars: int = SHARD_CHARS, block_windows: int = BLOCK_WINDOWS, round_chars: int = ROUND_CHARS,
+) -> DataFrame:
     """``(doc_key, item_key, span_start, span_end)``: where held-out passages stand.
 
     A span is a stretch of the document, in code points of the text as it is, all
-    of whose windows of ``window`` normalised characters stand in the item.  Null,
-    empty and short texts on either side have no span; items that occur under two
-    ids are reported under both; repeated documents are reported each.  Documents
-    are not shuffled, unless they are too few to fill all cores.  The held-out set is the query side: it is searched against
-    all rows in blocks of bounded size, each broadcast.
+    of whose windows of ``window`` normalised characters stand in the item; without
+    ``places`` both ends are null.  Null, empty and short texts on either side have no
+    span; items that occur under two ids are reported under both; repeated documents
+    are reported each.  Documents are not shuffled, unless they are too few to fill
+    all cores.  The held-out set is the query side: ``round_chars`` characters of it
+    at a time are broadcast as they are, and each index of ``shard_chars`` characters
+    is built once for them and searched with blocks of ``block_windows`` windows.
     """
-    held = [(r[0], normalise(r[1])) for r in items.select(item_key, text).toLocalIterator() if r[0] is not None]
-    blocks: list[list] = [[]]
-    size = 0
-    for item, norm in held:
-        if size + len(norm) > BLOCK_CHARS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, norm))
-        size += len(norm)
     spark = docs.sparkSession
     schema = f"`{doc_key}` {docs.schema[doc_key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, span_start int, span_end int"
 
-    def searched(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Windows(block, window))
+    def searched(part: list[tuple[int, np.ndarray]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            windows = shared.value
-
-            def flush(shard: list, raw: dict) -> pd.DataFrame:
-                found, maps = [], {}
-                for key, item, a, b in _shard_hits(shard, windows):
-                    if key not in maps:
-                        maps[key] = _origins(raw[key])[0]
-                    doc = key[0]
-                    found.append((doc, item, int(maps[key][a]), int(maps[key][b - 1]) + 1))
-                return pd.DataFrame(found, columns=[doc_key, item_key, "span_start", "span_end"])
-
-            shard, raw, held_chars, n = [], {}, 0, 0
-            for batch in batches:
-                for key, body in zip(batch.iloc[:, 0].tolist(), batch.iloc[:, 1].tolist()):
-                    norm = normalise(body) if isinstance(body, str) else ""
-                    if len(norm) < window:
-                        continue
-                    n += 1
-                    for at in range(0, max(1, len(norm) - window + 1), SHARD_CHARS - window + 1):
-                        piece = norm[at : at + SHARD_CHARS]
-                        if held_chars + len(piece) > SHARD_CHARS and shard:
-                            yield flush(shard, raw)
-                            shard, raw, held_chars = [], {}, 0
-                        shard.append(((key, n), piece, at))
-                        raw[(key, n)] = body
-                        held_chars += len(piece)
-            if shard:
-                yield flush(shard, raw)
+            keys: list = []  # of the documents in the shard at hand
+            bodies: list = []
+
+            def pieces() -> Iterator[tuple[int, np.ndarray, int]]:
+                for batch in batches:
+                    texts = batch.iloc[:, 1].tolist()
+                    for key, body, norm in zip(batch.iloc[:, 0].tolist(), texts, normalise_all(texts)):
+                        if len(norm) < window:
+                            continue
+                        keys.append(key)
+                        bodies.append(body if places else None)
+                        for at in range(0, len(norm) - window + 1, shard_chars - window + 1):
+                            yield len(keys) - 1, norm[at : at + shard_chars], at
+
+            few = sum(len(p) for _, p in shared.value) <= block_windows
+            kept = list(window_blocks(shared.value, window, block_windows)) if few else None
+            for shard in _shards(pieces(), shard_chars):
+                doc, item, a, b = _shard_hits(shard, iter(kept) if few else window_blocks(shared.value, window, block_windows), window)
+                if places:
+                    for d in np.unique(doc).tolist():
+                        origin, mine = _origins(bodies[d]), doc == d
+                        a[mine], b[mine] = origin[a[mine]], origin[b[mine] - 1] + 1
+                ends = {"span_start": a, "span_end": b} if places else {"span_start": None, "span_end": None}
+                yield pd.DataFrame({doc_key: [keys[d] for d in doc.tolist()], item_key: item, **ends}, columns=[doc_key, item_key, "span_start", "span_end"])
+                for k in range(shard[-1][0]):  # a later shard may hold the rest of the last one
+                    bodies[k] = None
 
         return spread(docs.select(doc_key, text), doc_key).mapInPandas(run, schema)
 
-    out = searched(blocks[0])
-    for block in blocks[1:]:
-        out = out.unionByName(searched(block))
+    rounds: list[list] = [[]]
+    size = 0
+    for r in items.select(item_key, text).where(f"`{item_key}` is not null").toLocalIterator():
+        norm = normalise_all([r[1]])[0]
+        if size + len(norm) > round_chars and rounds[-1]:
+            rounds.append([])
+            size = 0
+        rounds[-1].append((r[0], norm))
+        size += len(norm)
+    out = searched(rounds[0])
+    for part in rounds[1:]:
+        out = out.unionByName(searched(part))
     return out
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Distinct ``(doc_id, item_id)`` pairs of :func:`leaked_spans`."""
-    spans = leaked_spans(docs, items, **options)
+    spans = leaked_spans(docs, items, places=False, **options)
     return spans.select(*spans.columns[:2]).distinct()

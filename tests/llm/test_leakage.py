@@ -51,14 +51,12 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 300])
-def test_leaks_equal_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "block", "at_once"), [(1 << 20, 1 << 18, 1 << 24), (300, 50, 3000)])
+def test_leaks_equal_brute_force(spark, shard, block, at_once):
     docs, items = corpus()
-    monkeypatch.setattr(leakage, "SHARD_CHARS", shard)
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 3000)
     d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string")
     i = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
-    got = [tuple(r) for r in leaked_items(d, i).collect()]
+    got = [tuple(r) for r in leaked_items(d, i, shard_chars=shard, block_windows=block, round_chars=at_once).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(docs, [x for x in items if x[0] is not None])
 
 
@@ -73,5 +71,25 @@ def test_spans_are_whole_and_in_place(spark):
 
 
 def test_windows_know_all_their_items():
-    w = Windows([(1, "a" * 33), (2, "a" * 32), (3, "b" * 5)])
+    w = Windows([(k, leakage._points(x)) for k, x in [(1, "a" * 33), (2, "a" * 32), (3, "b" * 5)]])
     assert len(w.points) == 1 and w.owners.tolist() == [1, 2]
+
+
+def test_blocks_hold_every_window_and_meet_one_index(monkeypatch):
+    items = [(k, leakage._points("".join(chr(97 + (i * i + k) % 23) for i in range(n)))) for k, n in ((1, 40), (2, 100), (3, 31), (4, 500))]
+    blocks = list(leakage.window_blocks(items, 32, 64))
+    assert len(blocks) > 5 and max(len(w.points) for w in blocks) <= 64
+    want = {tuple(p[i : i + 32].tolist()) for _, p in items for i in range(len(p) - 31)}
+    assert {tuple(r.tolist()) for w in blocks for r in w.points} == want
+    built = []
+    real = leakage.FMIndex
+    monkeypatch.setattr(leakage, "FMIndex", lambda texts: built.append(1) or real(texts))
+    doc, item, a, b = leakage._shard_hits([(0, items[3][1], 0)], iter(blocks), 32)
+    assert len(built) == 1 and (0, 4, 0, 500) in set(zip(doc.tolist(), item.tolist(), a.tolist(), b.tolist()))
+
+
+def test_normalised_characters_know_where_they_come_from():
+    text = "İx ΣΑΣ. 日本，ß!é"
+    points = leakage.normalise_all([text, None, "", "A b"])
+    assert [len(p) for p in points] == [len(leakage._origins(text)), 0, 0, 2]
+    assert [text[i] for i in leakage._origins(text)] == list("İxΣΑΣ日本ßé")
