@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +63,18 @@ def shingle_sets(texts: list[str], letters: int = LETTERS) -> tuple[np.ndarray,
 
 
 def signatures(codes: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """``n`` MinHash samples of each set, as 32-bit numbers; sets must not be empty."""
-    a, b = _constants(n)
-    x = _mix(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    out = np.empty((len(bounds) - 1, n), np.uint64)
+    """``n`` MinHash samples of each set, as 32-bit numbers; sets must not be empty.
+    Codes are scrambled once; each sample is the least of a permutation of 32 bits."""
+    a, b = (c.astype(np.uint32) for c in _constants(n))
+    x = (_mix(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((n, len(bounds) - 1), np.uint32)
+    y = np.empty_like(x)
     for i in range(n):
-        out[:, i] = np.minimum.reduceat((x * a[i] + b[i]) >> np.uint64(32), bounds[:-1])
-    return out
+        np.multiply(x, a[i] | np.uint32(1), out=y)
+        y ^= y >> np.uint32(15)
+        y *= b[i] | np.uint32(1)
+        out[i] = np.minimum.reduceat(y, bounds[:-1])
+    return out.T.astype(np.uint64)
 
 
 def band_keys(samples: np.ndarray, rows: int, salt: int) -> np.ndarray:
@@ -125,7 +131,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(counts, "key")
 
 
-def similar_classes(records: DataFrame, threshold: float = THRESHOLD, letters: int = LETTERS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def similar_classes(records: DataFrame, threshold: float = THRESHOLD, letters: int = LETTERS, hot: int = HOT, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts and the similar pairs between them.
 
     ``records`` has ``(id, text)``; texts must be A-Z only, ids unique.  Returns
@@ -137,7 +143,9 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD, letters: i
 
     Null, empty and shorter texts are in neither.  No bucket is cut: a hot one is
     banded again with fresh samples, which similar pairs survive and accidental
-    company does not, and what stays hot is paired in blocks.
+    company does not, and what stays hot is paired in blocks.  A pair at the threshold
+    that meets in a hot bucket alone is lost there with a chance of 1e-5; with
+    ``exact`` hot buckets are paired in blocks at once and lose none.
     """
     scratch = Scratch(records.sparkSession, "oddsketch")
     usable = records.where(F.length("text") >= letters)
@@ -145,7 +153,7 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD, letters: i
     reps = members.where("id = rep").select("rep", "text")
     n = ROWS_PER_BAND * BANDS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], again: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             begin = 0
@@ -156,40 +164,43 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD, letters: i
                     end += 1
                 codes, bounds = shingle_sets(texts[begin:end], letters)
                 samples = signatures(codes, bounds, max(2 * n, SAMPLES))
-                m = end - begin
                 lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(begin, m),
-                        lists(band_keys(samples[:, :n], ROWS_PER_BAND, 0)),
-                        lists(band_keys(samples[:, n : 2 * n], ROWS_PER_BAND, 1)),
-                        lists(odd_sketches(samples[:, :SAMPLES])),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(codes.astype(np.int32))),
-                    ],
-                    names=["id", "bands", "rebands", "sketch", "shingles"],
-                )
+                ours = ids.slice(begin, end - begin)
+                if again:
+                    yield pa.RecordBatch.from_arrays([ours, lists(band_keys(samples[:, n : 2 * n], ROWS_PER_BAND, 1))], names=["id", "rebands"])
+                else:
+                    sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(codes.astype(np.int32)))
+                    keys = lists(band_keys(samples[:, :n], ROWS_PER_BAND, 0))
+                    yield pa.RecordBatch.from_arrays([ours, keys, lists(odd_sketches(samples[:, :SAMPLES])), sets], names=["id", "bands", "sketch", "shingles"])
                 begin = end
 
     kind = records.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, bands array<long>, rebands array<long>, sketch array<long>, shingles array<int>"
-    table = scratch.save(reps.mapInArrow(run, schema), "sketches")
+    table = scratch.save(reps.mapInArrow(run, f"id {kind}, bands array<long>, sketch array<long>, shingles array<int>"), "sketches")
 
-    rows = scratch.save(_shared(table.select(F.explode("bands").alias("key"), "id")), "buckets")
+    rows, seen = scratch.save(_shared(table.select(F.explode("bands").alias("key"), "id")), "buckets", heavy=F.count_if(F.col("n") > hot))
     light, heavy = rows.where(F.col("n") <= hot), rows.where(F.col("n") > hot)
-    again = heavy.join(table.select("id", "rebands"), "id").select(F.col("key").alias("k1"), "id", F.explode("rebands").alias("k2"))
-    again = scratch.save(_shared(again.select(F.xxhash64("k1", "k2").alias("key"), "id")), "rebanded")
-    pairs = _pairs(light, None).unionByName(_pairs(again, hot)).distinct()
+    pairs = _pairs(light, None)
+    again = heavy if exact else None
+    if seen["heavy"] and not exact:
+        fresh = reps.join(heavy.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("rep", "text")
+        fresh = fresh.mapInArrow(partial(run, again=True), f"id {kind}, rebands array<long>")
+        again = heavy.join(fresh, "id").select(F.col("key").alias("k1"), "id", F.explode("rebands").alias("k2"))
+        again = scratch.save(_shared(again.select(F.xxhash64("k1", "k2").alias("key"), "id")), "rebanded")
+    pairs = (pairs if again is None else pairs.unionByName(_pairs(again, hot))).distinct()
 
     words = BITS // 64
     side = lambda s: table.select(F.col("id").alias(s), F.col("sketch").alias(f"{s}_sketch"))
     differ = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(words)), F.lit(0))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= sketch_limit(threshold)).select("a", "b")
     likely = scratch.save(likely, "likely")
+    scratch.drop(rows, again if seen["heavy"] and not exact else None)
     sets = lambda s: table.select(F.col("id").alias(s), F.col("shingles").alias(f"{s}_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - common
     links = likely.join(sets("a"), "a").join(sets("b"), "b").where(common >= threshold * union).select("a", "b")
-    return members.select("rep", "id"), scratch.save(links, "links")
+    links = scratch.save(links, "links")
+    scratch.drop(likely, table)
+    return members.select("rep", "id"), links
 
 
 def _with_rep(usable: DataFrame, scratch: Scratch) -> DataFrame:

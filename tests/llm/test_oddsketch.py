@@ -54,11 +54,11 @@ def test_sketches_estimate_similarity(similarity):
     assert hits == n if similarity >= 0.5 else hits < n / 10
 
 
-@pytest.mark.parametrize("hot", [256, 8])
-def test_pairs_equal_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "exact"), [(256, False), (8, False), (8, True)])
+def test_pairs_equal_brute_force(spark, hot, exact):
     rows = records()
     df = spark.createDataFrame([(*r, "x") for r in rows], "id long, text string, rep string")
-    got = [tuple(r) for r in similar_pairs(df, hot=hot).collect()]
+    got = [tuple(r) for r in similar_pairs(df, hot=hot, exact=exact).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
