@@ -8,14 +8,22 @@ then unwound, and whole components go to the splits by cumulative weight.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandworks.plans.scratch import Scratch, rows
+from strandworks.plans.scratch import Scratch
 
 #: Components heavier than this part of all rows are placed one by one.
 BIG = 1 / 1000
+#: Contractions, and doublings of pointers, for each table that is written.
+STEPS = 2
+#: From so many edges on down the rounds are tossed in one task.
+SOLO = 1 << 17
 BUCKETS = 1024
 
 
@@ -23,9 +31,52 @@ def _heads(vertex: Column, round_: int) -> Column:
     return F.xxhash64(F.lit(f"coin {round_}"), vertex) % 2 == 0
 
 
-def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+def _tidy(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _contract(edges: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
+    """One toss: the edges left between what is left, and the collapses ``(v, mate)``."""
+    ends = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))
+    both = edges.select(F.explode(ends).alias("x")).select("x.v", "x.w")
+    mates = both.where(~_heads(F.col("v"), round_) & _heads(F.col("w"), round_)).groupBy("v").agg(F.min("w").alias("mate"))
+    to = lambda end: mates.select(F.col("v").alias(end), F.col("mate").alias(f"{end}_mate"))
+    moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left")
+    return _tidy(moved.select(F.coalesce("a_mate", "a").alias("a"), F.coalesce("b_mate", "b").alias("b"))), mates
+
+
+def _toss_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rounds of a graph that fits in one task: ``(v, up)`` with ``up`` final."""
+    parts = list(batches)
+    if not parts:
+        return
+    both = pa.chunked_array([b.column(k) for k in (0, 1) for b in parts]).combine_chunks().dictionary_encode()
+    names, code = both.dictionary, both.indices.to_numpy()
+    a, b = code[: len(code) // 2].astype(np.int64), code[len(code) // 2 :].astype(np.int64)
+    up = np.arange(len(names))
+    rng = np.random.default_rng(0)
+    while len(a):
+        heads = rng.random(len(names)) < 0.5
+        v, w = np.concatenate([a, b]), np.concatenate([b, a])
+        pick = ~heads[v] & heads[w]
+        up[v[pick]] = w[pick]
+        a, b = up[a], up[b]
+        apart = a != b
+        low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        left = np.unique(low * len(names) + high)
+        a, b = left // len(names), left % len(names)
+    while not np.array_equal(top := up[up], up):
+        up = top
+    moved = np.flatnonzero(up != np.arange(len(up)))
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(moved)), names.take(pa.array(up[moved]))], ["v", "up"])
+
+
+def components(edges: DataFrame, vertices: DataFrame, solo: int = SOLO) -> DataFrame:
     """``(vertex, root)`` of every vertex by random-mate contraction.
 
+    Rounds are joins until ``solo`` edges are left; the remaining rounds are tossed in
+    one task, which needs no further joins for a graph of bounded size.
+
     ``edges`` has ``(a, b)``, ``vertices`` a column ``vertex`` with every end.
     Repeated edges and loops change nothing; a vertex without edges is its own root.
     A vertex collapses at most once, into one that stays for the round, so the
@@ -35,34 +86,35 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     on the edge side, which adaptive execution splits when skewed.
     """
     scratch = Scratch(edges.sparkSession, "mates")
-    tidy = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, seen = scratch.save(tidy(edges), "edges", n=rows())
+    kept, seen = scratch.save(_tidy(edges).select(F.lit(True).alias("edge"), "a", "b"), "edges", edges=F.count_if("edge"))
     collapsed: list[DataFrame] = []
     round_ = 0
-    while seen["n"]:
-        ends = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))
-        both = edges.select(F.explode(ends).alias("x")).select("x.v", "x.w")
-        mates = both.where(~_heads(F.col("v"), round_) & _heads(F.col("w"), round_)).groupBy("v").agg(F.min("w").alias("mate"))
-        mates = scratch.save(mates, "mates")
-        to = lambda end: mates.select(F.col("v").alias(end), F.col("mate").alias(f"{end}_mate"))
-        moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left")
-        moved = moved.select(F.coalesce("a_mate", "a").alias("a"), F.coalesce("b_mate", "b").alias("b"))
-        old = edges
-        edges, seen = scratch.save(tidy(moved), "edges", n=rows())
-        scratch.drop(old)
-        collapsed.append(mates)
-        round_ += 1
+    while seen["edges"] > solo:
+        now = kept.where("edge").select("a", "b")
+        found = None
+        for _ in range(STEPS):
+            now, mates = _contract(now, round_)
+            found = mates if found is None else found.unionByName(mates)
+            round_ += 1
+        both = now.select(F.lit(True).alias("edge"), "a", "b").unionByName(found.select(F.lit(False).alias("edge"), F.col("v").alias("a"), F.col("mate").alias("b")))
+        kept, seen = scratch.save(both, "edges", edges=F.count_if("edge"))
+        collapsed.append(kept.where("not edge").select(F.col("a").alias("v"), F.col("b").alias("up")))
+    if seen["edges"]:
+        last = kept.where("edge").select("a", "b").repartition(1).mapInArrow(_toss_alone, "v string, up string")
+        collapsed.append(scratch.save(last, "last"))
     if not collapsed:
         return vertices.select("vertex", F.col("vertex").alias("root"))
     tree = collapsed[0]
     for part in collapsed[1:]:
         tree = tree.unionByName(part)
-    tree = scratch.save(tree.select("v", F.col("mate").alias("up")), "tree")
     while True:
-        above = tree.select(F.col("v").alias("up"), F.col("up").alias("top"))
-        step = tree.join(above, "up", "left").select("v", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
+        step = tree.withColumn("moved", F.lit(False))
+        for _ in range(STEPS):
+            above = step.select(F.col("v").alias("up"), F.col("up").alias("top"))
+            step = step.join(above, "up", "left").select("v", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
+        old = tree
         step, seen = scratch.save(step, "tree", moved=F.count_if("moved"))
-        scratch.drop(tree)
+        scratch.drop(old)
         tree = step.select("v", "up")
         tree._scratch_path = step._scratch_path
         if not seen["moved"]:

@@ -20,14 +20,15 @@ def union_find(pairs, vertices):
     return {v: find(v) for v in vertices}
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "solo"), [(0, 0), (1, 60), (2, 1 << 17)])
+def test_components(spark, seed, solo):
+    """All rounds as joins, some, and none."""
     rng = random.Random(seed)
     n = 150
     pairs = [(f"v{rng.randrange(n)}", f"v{rng.randrange(n)}") for _ in range(110)] + [("hub", f"v{i}") for i in range(0, n, 4)]
     pairs += [(f"p{i}", f"p{i + 1}") for i in range(60)] + [("loop", "loop")] + pairs[:5]
     vertices = sorted({v for p in pairs for v in p} | {"alone"})
-    got = {r.vertex: r.root for r in components(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame([(v,) for v in vertices], "vertex string")).collect()}
+    got = {r.vertex: r.root for r in components(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame([(v,) for v in vertices], "vertex string"), solo).collect()}
     want = union_find(pairs, vertices)
     assert set(got) == set(vertices)
     assert len({(got[v], want[v]) for v in vertices}) == len(set(want.values())) == len(set(got.values()))
