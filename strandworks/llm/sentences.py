@@ -117,7 +117,7 @@ def _gather(staged: DataFrame) -> np.ndarray:
             n = len(blob) // 6
             total[np.frombuffer(blob, "<u2", n)] += np.frombuffer(blob, "<f4", n, 2 * n)
         at = np.flatnonzero(total)
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [at.astype("<u2").tobytes() + total[at].tobytes()]})
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [at.astype("<u2").tobytes() + total[at].astype("<f4").tobytes()]})
 
     sums = staged.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary").toPandas()
     out = np.zeros((3, WIDTH))
