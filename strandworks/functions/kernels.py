@@ -91,16 +91,42 @@ def surface_areas(xyz: np.ndarray, elements: list[str], probe: float = 1.4, poin
     radius = np.array([RADII.get(e.upper(), np.nan) for e in elements]) + probe
     out = np.full(len(xyz), np.nan)
     known = np.flatnonzero(~np.isnan(radius))
+    if not len(known):
+        return out
     base = sphere(points)
-    for i in known:
-        near = known[((xyz[known] - xyz[i]) ** 2).sum(1) < (radius[known] + radius[i]) ** 2]
-        near = near[near != i]
-        dots = xyz[i] + base * radius[i]
-        hidden = (((dots[:, None, :] - xyz[near][None, :, :]) ** 2).sum(2) < radius[near] ** 2).any(1)
-        out[i] = 4 * np.pi * radius[i] ** 2 * (1 - hidden.mean())
+    # cells as wide as two of the largest spheres: neighbours lie in the 27 around
+    cell = np.floor(xyz[known] / (2 * radius[known].max())).astype(np.int64)
+    held: dict[tuple[int, ...], list[int]] = {}
+    for c, i in zip(map(tuple, cell.tolist()), known.tolist()):
+        held.setdefault(c, []).append(i)
+    steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    for (x, y, z), members in held.items():
+        around = np.array([j for a, b, c in steps for j in held.get((x + a, y + b, z + c), ())])
+        for i in members:
+            near = around[((xyz[around] - xyz[i]) ** 2).sum(1) < (radius[around] + radius[i]) ** 2]
+            near = near[near != i]
+            dots = xyz[i] + base * radius[i]
+            hidden = (((dots[:, None, :] - xyz[near][None, :, :]) ** 2).sum(2) < radius[near] ** 2).any(1)
+            out[i] = 4 * np.pi * radius[i] ** 2 * (1 - hidden.mean())
     return out
 
 
+def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(vertices, least vertex of their component)`` of a graph of edges ``a - b``, by
+    hooking each root to the least root it meets and halving the paths."""
+    names, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = code[: len(a)], code[len(a) :]
+    up = np.arange(len(names))
+    while True:
+        x, y = up[u], up[v]
+        apart = x != y
+        if not apart.any():
+            return names, names[up]
+        np.minimum.at(up, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(top := up[up], up):
+            up = top
+
+
 def profile_scan(sequence: str, profile: np.ndarray, gap_open: float = -11.0, gap_extend: float = -1.0) -> tuple[float, int, int, int, int]:
     """Best local match of a sequence to a log-odds profile ``(M, 20)``.
 

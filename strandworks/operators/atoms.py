@@ -146,7 +146,7 @@ def first_dihedral(atoms: DataFrame, choices: list[tuple[str, str, str, str]]) -
 
 
 CHI1 = [("N", "CA", "CB", x) for x in ("CG", "CG1", "OG", "OG1", "SG")]
-CHI2 = [("CA", "CB", "CG", x) for x in ("CD", "CD1", "OD1", "ND1", "SD")] + [("CA", "CB", "CG1", "CD1")]
+CHI2 = [("CA", "CB", "CG", x) for x in ("CD", "OD1", "ND1")] + [("CA", "CB", "CG1", "CD")] + [("CA", "CB", "CG", x) for x in ("CD1", "SD")]
 
 
 def select_atoms(atoms: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -360,6 +360,14 @@ def compare_atoms(a: DataFrame, b: DataFrame, eps: float = 1e-3) -> DataFrame:
     return rows.groupBy(KEY).agg(F.bool_and(F.coalesce(near, F.lit(False))).alias("same"))
 
 
+def comparable(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``structure_id, same``: as many atoms, with the same names and chains in order."""
+    side = lambda df, s: df.select(KEY, "atom_idx", F.col("atom_name").alias(f"{s}_name"), F.col("chain_id").alias(f"{s}_chain"))
+    rows = side(a, "a").join(side(b, "b"), [KEY, "atom_idx"], "full")
+    equal = (F.col("a_name") == F.col("b_name")) & (F.col("a_chain") == F.col("b_chain"))
+    return rows.groupBy(KEY).agg(F.bool_and(F.coalesce(equal, F.lit(False))).alias("same"))
+
+
 def areas(atoms: DataFrame, probe: float = 1.4, points: int = 100) -> DataFrame:
     """Accessible surface of each atom, one structure per kernel call."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -370,15 +378,87 @@ def areas(atoms: DataFrame, probe: float = 1.4, points: int = 100) -> DataFrame:
     return atoms.select(KEY, "atom_idx", "element", "x", "y", "z").groupBy(KEY).applyInPandas(run, f"{KEY} string, atom_idx int, area double")
 
 
-def superpose_pairs(pairs: DataFrame) -> DataFrame:
-    """``fixed_id, mobile_id, n, rmsd`` of paired atoms ``(fixed_id, mobile_id,
-    fx, fy, fz, mx, my, mz)``, one pair of structures per kernel call."""
+PAIR = ("fixed_id", "mobile_id")
+_PAIRED = "fixed_id string, mobile_id string, n int, rmsd double, distance double, error string"
+
+
+def _superpose(paired: DataFrame, min_atoms: int) -> DataFrame:
+    """Superpose the paired atoms ``(fixed_id, mobile_id, fx, .., mz, role)``, one pair of
+    structures per kernel call.  Rows of role ``s`` are laid onto each other, those of
+    role ``d`` measured after, those of role ``x`` have no partner."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        *_, rmsd = superpose(pdf[["fx", "fy", "fz"]].to_numpy(float), pdf[["mx", "my", "mz"]].to_numpy(float))
-        return pd.DataFrame([(pdf["fixed_id"].iloc[0], pdf["mobile_id"].iloc[0], len(pdf), rmsd)], columns=["fixed_id", "mobile_id", "n", "rmsd"])
+        spp, far = pdf[pdf["role"] == "s"], pdf[pdf["role"] == "d"]
+        rmsd = distance_ = error = None
+        if (pdf["role"] == "x").any():
+            error = "selections differ"
+        elif len(spp) < min_atoms:
+            error = f"{len(spp)} atoms to superpose"
+        else:
+            fixed, mobile = (["fx", "fy", "fz"], ["mx", "my", "mz"])
+            rotation, shift, rmsd = superpose(spp[fixed].to_numpy(float), spp[mobile].to_numpy(float))
+            if len(far):
+                distance_ = float(np.sqrt(((far[mobile].to_numpy(float) @ rotation + shift - far[fixed].to_numpy(float)) ** 2).sum(1).mean()))
+        return pd.DataFrame([(pdf["fixed_id"].iloc[0], pdf["mobile_id"].iloc[0], len(spp), rmsd, distance_, error)], columns=[*PAIR, "n", "rmsd", "distance", "error"])
+
+    ship(paired.sparkSession)
+    return paired.groupBy(*PAIR).applyInPandas(run, _PAIRED)
 
-    ship(pairs.sparkSession)
-    return pairs.groupBy("fixed_id", "mobile_id").applyInPandas(run, "fixed_id string, mobile_id string, n int, rmsd double")
+
+def _sides(pairs: DataFrame, fixed: DataFrame, mobile: DataFrame, how: str) -> DataFrame:
+    """Atoms of both structures of each pair, by chain, residue and name.  Pairs come
+    first, so the join is by structure and no residue number is a hot key."""
+    at = ["chain_id", "res_id", "atom_name", "altloc_id"]
+    side = lambda df, s: pairs.join(df.select(F.col(KEY).alias(f"{'fixed' if s == 'f' else 'mobile'}_id"), *at, *[F.col(c).alias(f"{s}{c}") for c in "xyz"]), "fixed_id" if s == "f" else "mobile_id")
+    return side(fixed, "f").join(side(mobile, "m"), [*PAIR, *at], how)
+
+
+def superpose_strict(pairs: DataFrame, fixed: DataFrame, mobile: DataFrame, fixed_far: DataFrame | None = None, mobile_far: DataFrame | None = None, min_atoms: int = 3) -> DataFrame:
+    """``fixed_id, mobile_id, n, rmsd, distance, error`` of pairs ``(fixed_id, mobile_id)``
+    of structures whose selections must have the same atoms.
+
+    Pairs whose selections differ in any atom, or have fewer than ``min_atoms``, are
+    rows with an error.  ``distance`` is the deviation over a second selection moved
+    along; null without one.  Pairs without any atom on either side give no row.
+    """
+    rows = _sides(pairs, fixed, mobile, "full").withColumn("role", F.when(F.col("fx").isNull() | F.col("mx").isNull(), "x").otherwise("s"))
+    if fixed_far is not None:
+        rows = rows.unionByName(_sides(pairs, fixed_far, mobile_far, "inner").withColumn("role", F.lit("d")))
+    return _superpose(rows.select(*PAIR, "fx", "fy", "fz", "mx", "my", "mz", "role"), min_atoms)
+
+
+def superpose_flexible(pairs: DataFrame, fixed: DataFrame, mobile: DataFrame, fixed_far: DataFrame | None = None, mobile_far: DataFrame | None = None, min_atoms: int = 3) -> DataFrame:
+    """As :func:`superpose_strict`, for selections of different sequences: these are
+    aligned, aligned residues pair their atoms by name (with different residue names
+    only those around the alpha carbon), and what pairs is superposed."""
+    from strandworks.operators.msa import align
+
+    def residues(df: DataFrame, s: str) -> DataFrame:
+        letters = F.create_map(*[F.lit(x) for pair in AMINO.items() for x in pair])
+        one = df.groupBy(KEY, "chain_id", "res_id").agg(F.min_by("res_name", "atom_idx").alias("res_name"))
+        one = one.withColumn("letter", F.coalesce(F.try_element_at(letters, F.col("res_name")), F.lit("X")))
+        rows = F.array_sort(F.collect_list(F.struct("chain_id", "res_id", "letter", "res_name")))
+        return one.groupBy(F.col(KEY).alias(f"{s}_id")).agg(rows.alias(f"{s}_res"))
+
+    text = lambda c: F.array_join(F.transform(c, lambda r: r["letter"]), "")
+    both = pairs.join(residues(fixed, "fixed"), "fixed_id").join(residues(mobile, "mobile"), "mobile_id")
+    both = align(both.withColumns({"_a": text("fixed_res"), "_b": text("mobile_res")}), "_a", "_b")
+    met = both.select(*PAIR, "fixed_res", "mobile_res", F.posexplode("aln.numbers").alias("k", "to")).where("to is not null")
+    f, m = F.col("fixed_res")[F.col("k")], F.element_at("mobile_res", F.col("to"))
+    met = met.select(*PAIR, f["chain_id"].alias("f_chain"), f["res_id"].alias("f_res"), m["chain_id"].alias("m_chain"), m["res_id"].alias("m_res"), (f["res_name"] == m["res_name"]).alias("alike"))
+    side = lambda df, s, name: df.select(F.col(KEY).alias(name), F.col("chain_id").alias(f"{s}_chain"), F.col("res_id").alias(f"{s}_res"), "atom_name", *[F.col(c).alias(f"{s}{c}") for c in "xyz"])
+    rows = met.join(side(fixed, "f", "fixed_id"), ["fixed_id", "f_chain", "f_res"]).join(side(mobile, "m", "mobile_id"), ["mobile_id", "m_chain", "m_res", "atom_name"])
+    rows = rows.where(F.col("alike") | F.col("atom_name").isin("N", "CA", "C", "CB")).withColumn("role", F.lit("s"))
+    rows = rows.select(*PAIR, "fx", "fy", "fz", "mx", "my", "mz", "role")
+    if fixed_far is not None:
+        far = _sides(pairs, fixed_far, mobile_far, "inner").withColumn("role", F.lit("d"))
+        rows = rows.unionByName(far.select(rows.columns))
+    return _superpose(rows, min_atoms)
+
+
+def superpose_pairs(pairs: DataFrame) -> DataFrame:
+    """``fixed_id, mobile_id, n, rmsd`` of paired atoms ``(fixed_id, mobile_id,
+    fx, fy, fz, mx, my, mz)``."""
+    return _superpose(pairs.withColumn("role", F.lit("s")), 1).select(*PAIR, "n", "rmsd")
 
 
 def transform(xyz: np.ndarray, rotation: np.ndarray, translation: np.ndarray) -> np.ndarray:

@@ -7,19 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.functions.kernels import superpose
+from strandworks.errors import AmbiguousData, MissingData
+from strandworks.functions.kernels import components, superpose
 from strandworks.operators.atoms import KEY, grid_pairs, is_solvent
 from strandworks.plans.ship import ship
 
 
-class MissingData(Exception):
-    """A side names no chain."""
-
-
-class AmbiguousData(Exception):
-    """The sides share a chain."""
-
-
 def parse_partners(text: str) -> tuple[list[str], list[str]]:
     """``AB_C`` to chain lists; raises on empty or overlapping sides."""
     left, _, right = text.partition("_")
@@ -69,18 +62,8 @@ def contact_components(edges: DataFrame, min_nodes: int = 2) -> DataFrame:
     least atom as name.  Components never cross structures, so each structure is
     solved where its contacts lie."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        up: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for a, b in zip(pdf["a"], pdf["b"]):
-            x, y = find(int(a)), find(int(b))
-            up[max(x, y)] = min(x, y)
-        return pd.DataFrame([(pdf[KEY].iloc[0], v, find(v)) for v in list(up)], columns=[KEY, "atom", "component"])
+        atom, least = components(pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64))
+        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "atom": atom, "component": least})
 
     ship(edges.sparkSession)
     found = edges.select(KEY, "a", "b").groupBy(KEY).applyInPandas(run, f"{KEY} string, atom int, component int")

@@ -19,10 +19,6 @@ from strandworks.functions.tables import PFP
 _ID = re.compile(r"^\s*(\w+)\s*\((.*)\)\s*$")
 
 
-class FailedCalculation(Exception):
-    """A variable cannot be computed for an object."""
-
-
 @dataclass(frozen=True)
 class Variable:
     name: str

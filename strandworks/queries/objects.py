@@ -8,15 +8,17 @@ from pyspark.sql.window import Window
 
 from strandworks.functions import extension as E
 from strandworks.operators import atoms as A
+from strandworks.operators import ligands as L
 from strandworks.operators import msa as M
 from strandworks.operators import profiles as P
+from strandworks.operators import structure_variables as SV
 from strandworks.operators.segments import segment_id
 from strandworks.plans.scratch import Scratch
 from strandworks.plans.tables import table
 from strandworks.queries._base import SEQUENCES_SQL, Registry, sequences
 from strandworks.queries.collection import TREE, tree
 from strandworks.queries.msa_and_variables import W_MSA, msa
-from strandworks.queries.structures import ATOMS_SQL, _ligand_atoms, _LIGATOMS, _pairs_of, atoms
+from strandworks.queries.structures import ATOMS_SQL, _GYRATION, _grown, _LIGATOMS, atoms, is_lig, is_pol
 from strandworks.sources import dumps
 
 reg = Registry()
@@ -166,7 +168,10 @@ def _(spark, d):
 
 @reg.add("op_2_2_26_ligand_summary", f"{W}, {_LIGATOMS} SELECT structure_id, lig, count(*) AS n_polymer_atoms, round(min(dist), 6) AS nearest FROM ligatoms GROUP BY 1, 2")
 def _(spark, d):
-    return _ligand_atoms(spark, d).groupBy("structure_id", "lig").agg(F.count(F.lit(1)).alias("n_polymer_atoms"), F.round(F.min("dist"), 6).alias("nearest"))
+    rows = atoms(spark, d)
+    ligs = rows.where(is_lig()).select("structure_id", F.col("atom_idx").alias("a"), F.concat_ws("_", "chain_id", "res_id").alias("lig"))
+    near = L.nearest(rows.where(is_lig()), rows.where(is_pol())).join(ligs, ["structure_id", "a"]).groupBy("structure_id", "lig").agg(F.round(F.min("dist"), 6).alias("nearest"))
+    return near.join(rows.where(is_pol()).groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_polymer_atoms")), "structure_id")
 
 
 @reg.add("op_2_2_27_sequence_child_apply", f"{TREE} SELECT id, length(id) AS n FROM tree WHERE level = 2 AND id LIKE 'c%'")
@@ -201,25 +206,29 @@ def _(spark, d):
     return out.select("seq_id", (F.col("k") + 1).alias("from_i"), "to_i")
 
 
-@reg.add("op_2_6_20_chain_superposition", f"{W} SELECT structure_id AS fixed_id, structure_id || 't' AS mobile_id, CAST(count(*) AS INTEGER) AS n, 0.0::DOUBLE AS rmsd FROM atoms WHERE atom_name IN ('N', 'CA', 'C') AND chain_id = 'A' GROUP BY 1")
+@reg.add("op_2_6_20_chain_superposition", f"{W} SELECT structure_id AS fixed_id, structure_id || 't' AS mobile_id, CAST(count(*) AS INTEGER) AS n, round(0.1 * {_GYRATION}, 5) AS rmsd FROM atoms WHERE atom_name IN ('N', 'CA', 'C') AND chain_id = 'A' GROUP BY 1")
 def _(spark, d):
-    """Chain A onto its shifted copy by three atoms of each residue."""
-    rows = A.select_atoms(atoms(spark, d).where("chain_id = 'A'"), atoms(spark, d).select("res_id").distinct().withColumn("atom_name", F.explode(F.array(F.lit("N"), F.lit("CA"), F.lit("C")))))
-    pairs = rows.select(F.col("structure_id").alias("fixed_id"), F.concat("structure_id", F.lit("t")).alias("mobile_id"), *[F.col(c).alias(f"f{c}") for c in "xyz"], *[(F.col(c) + 7).alias(f"m{c}") for c in "xyz"])
-    return A.superpose_pairs(pairs).withColumn("rmsd", F.round("rmsd", 5))
+    """Chain A onto its grown copy by three atoms of each residue, renumbered by a map
+    that the mobile chain brings along."""
+    rows = atoms(spark, d).where("chain_id = 'A' and atom_name in ('N', 'CA', 'C')")
+    mobile = _grown(rows.withColumn("res_id", F.col("res_id") + 100))
+    to = mobile.select("structure_id", "res_id", (F.col("res_id") - 100).alias("position")).distinct()
+    pairs = rows.select(F.col("structure_id").alias("fixed_id"), F.concat("structure_id", F.lit("t")).alias("mobile_id")).distinct()
+    return A.superpose_strict(pairs, rows, SV.mapped(mobile, to)).select("fixed_id", "mobile_id", "n", F.round("rmsd", 5).alias("rmsd"))
 
 
-@reg.add("op_2_6_21_pair_protocols", "")
-def _(spark, d):
-    """Strict pairs: only structures with equal selections are superposed."""
-    return A.superpose_pairs(_pairs_of(spark, d)).where("n >= 3").withColumn("rmsd", F.round("rmsd", 6))
+_KINDS = {"Count": "int", "PFP": "float", "SeqEl": "str", "Contacts": "str", "ClosestLigandNames": "str", "ClosestLigandContactsCount": "int"} | dict.fromkeys(
+    "Dist AggDist Dihedral PseudoDihedral Phi Psi Omega Chi1 Chi2 SASA ClosestLigandDist LigandDist".split(), "float"
+)
 
 
-@reg.add("op_2_11_1_variable_contract", "SELECT * FROM (VALUES ('Count', 'int'), ('PFP', 'float'), ('SeqEl', 'str')) t(name, rtype)")
+@reg.add("op_2_11_1_variable_contract", f"SELECT * FROM (VALUES {', '.join(str(pair) for pair in _KINDS.items())}) t(name, rtype)")
 def _(spark, d):
+    """All registered kinds of variables and the types of their values."""
     from strandworks.operators.variables import REGISTRY
 
-    return spark.createDataFrame([(k, v[1]) for k, v in REGISTRY.items()], "name string, rtype string")
+    kinds = {k: v[1] for k, v in REGISTRY.items()} | {k: v.rtype for k, v in SV.REGISTRY.items()}
+    return spark.createDataFrame(list(kinds.items()), "name string, rtype string")
 
 
 @reg.add("op_2_11_9_user_callables", f"{SEQ} SELECT seq_id, unnest([1, 2]) AS part, CAST(length(s) AS BIGINT) * unnest([1, 2]) AS n FROM sequences")
