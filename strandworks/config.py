@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import logging
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
@@ -46,3 +49,38 @@ class Config:
         for t in texts:
             out = out.update_with(json.loads(t))
         return out
+
+
+@dataclass(frozen=True)
+class ConstructorConfig:
+    """Settings of a constructor: batch size, what a failure does, where things lie."""
+
+    output: str | None = None
+    batch_size: int = 1000
+    stop_on_failure: bool = True
+    structure_format: str = "mmcif"
+    kinds: tuple[str, ...] = ("sequence", "structure", "mapping")
+
+    def validate(self) -> ConstructorConfig:
+        """Raises where a setting without a default is missing or out of range."""
+        if self.output is None:
+            raise ConfigError("no value for output")
+        if self.batch_size < 1:
+            raise ConfigError("batch_size must be positive")
+        return self
+
+    def paths(self) -> dict[str, str]:
+        """The folders of a collection below its output."""
+        base = self.validate().output.rstrip("/")
+        return {"output": base, "sequence_files": f"{base}/sequences", "structure_files": f"{base}/structures", "mapping_files": f"{base}/mappings"}
+
+
+@contextmanager
+def quiet(level: int = logging.CRITICAL) -> Iterator[None]:
+    """No log records up to ``level`` inside the block."""
+    before = logging.root.manager.disable
+    logging.disable(level)
+    try:
+        yield
+    finally:
+        logging.disable(before)

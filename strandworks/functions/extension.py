@@ -53,3 +53,12 @@ def has_schema(df: DataFrame, expected: dict[str, str]) -> bool:
     """Whether columns are there with their types."""
     have: dict[str, Any] = dict(df.dtypes)
     return all(have.get(k) == v for k, v in expected.items())
+
+
+#: Columns that make a table one of chains of a kind.
+CHAIN_TABLES = {"sequence": {"seq_id", "s"}, "structure": {"structure_id", "chain_id", "atom_idx"}, "chain": {"id", "chain_type", "level"}}
+
+
+def chain_kind(df: DataFrame) -> str | None:
+    """The kind of chains a table holds, by its columns; none if it holds no chains."""
+    return next((k for k, names in CHAIN_TABLES.items() if names <= set(df.columns)), None)

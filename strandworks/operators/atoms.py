@@ -245,7 +245,7 @@ def _components(n: int, pairs, keep: np.ndarray) -> list[list[int]]:
     return list(out.values())
 
 
-def _mark_structure(a: pd.DataFrame, pairs: list[tuple[int, int]], n_monomers: int) -> np.ndarray:
+def _mark_structure(a: pd.DataFrame, pairs: list[tuple[int, int]], n_monomers: int, forced: str | None = None) -> np.ndarray:
     """Marks of one structure's atoms in order; ``pairs`` are bonded places."""
     n = len(a)
     xyz = a[["x", "y", "z"]].to_numpy(float).round(2)
@@ -287,7 +287,9 @@ def _mark_structure(a: pd.DataFrame, pairs: list[tuple[int, int]], n_monomers: i
             sizes[t] = sizes.get(t, 0) + k
     if not polymers:
         return marks
-    primary = max(sizes, key=sizes.get)
+    primary = forced or max(sizes, key=sizes.get)
+    if primary not in polymers:
+        return marks
     pol = np.zeros(n, bool)
     for mask in polymers[primary]:
         if hetero[mask].sum() < mask.sum() / 2:
@@ -314,17 +316,23 @@ def _mark_structure(a: pd.DataFrame, pairs: list[tuple[int, int]], n_monomers: i
     return marks
 
 
-def mark_components(atoms: DataFrame, n_monomers: int = 2) -> DataFrame:
+#: Structure subtypes and the polymer kind that each takes for primary.
+SUBTYPES = {"protein": "p", "nucleotide": "n", "carbohydrate": "c"}
+
+
+def mark_components(atoms: DataFrame, n_monomers: int = 2, subtype: str | None = None) -> DataFrame:
     """``structure_id, atom_idx, mark`` from the components of the bond graph within
     chains.  The polymer kind with the most monomers is the primary one; other polymers
     and molecules are ligands if they touch it enough, a hetero residue inside it is
     covalent, and what fits nothing stays unknown.  Each structure is marked where it
-    lies."""
+    lies.  A ``subtype`` fixes the primary kind; structures without it stay unknown."""
+    forced = SUBTYPES[subtype] if subtype else None
+
     def run(a: pd.DataFrame, bonds: pd.DataFrame) -> pd.DataFrame:
         a = a.sort_values("atom_idx", ignore_index=True)
         place = {int(x): i for i, x in enumerate(a["atom_idx"])}
         pairs = [(place[int(x)], place[int(y)]) for x, y in zip(bonds["a"], bonds["b"])]
-        return a[[KEY, "atom_idx"]].assign(mark=_mark_structure(a, pairs, n_monomers).astype("int32"))
+        return a[[KEY, "atom_idx"]].assign(mark=_mark_structure(a, pairs, n_monomers, forced).astype("int32"))
 
     ship(atoms.sparkSession)
     rows = atoms.select(KEY, "atom_idx", "chain_id", "res_id", "res_name", "hetero", "x", "y", "z")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandworks.plans.scratch import delete_path, finish_swap, path_exists, swap_files
+from strandworks.plans.scratch import Scratch, delete_path, finish_swap, path_exists, swap_files
 
 SCHEMAS = {
     "chains": "id string, chain_type int, level int",
@@ -189,32 +189,45 @@ def batch_status(items_in: DataFrame, items_out: DataFrame, key: str) -> DataFra
 class Constructor:
     """Runs batches into a catalog and keeps a ledger, so that it can resume.
 
-    ``build`` turns a batch of items into ``(chains, parents)``.  A batch that is in
-    the ledger and did not fail is not run again.  The driver only loops over batch
-    numbers; the work of a batch is a distributed plan.
+    ``build`` turns items, which have the columns of the batches, into ``(chains,
+    parents)``; chains that keep the column ``batch`` are counted by it, others by the
+    item whose key is their id.  All open batches are one plan: one anti-join with the
+    catalog, one write, and ledger rows from one aggregation.  Only if that plan fails
+    are the batches run one by one, to find those that do.
     """
 
     def __init__(self, catalog: Catalog, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], key: str):
         self.catalog, self.build, self.key = catalog, build, key
 
+    def _run(self, items: DataFrame) -> None:
+        chains, parents = self.build(items)
+        self.catalog.add(chains.drop("batch"), parents)
+        if "batch" not in chains.columns:
+            chains = chains.join(items.select(F.col(self.key).alias("id"), "batch"), "id")
+        made = chains.groupBy("batch").agg(F.count_distinct("id").alias("items_out"))
+        rows = items.groupBy("batch").agg(F.count(F.lit(1)).alias("items_in")).join(made, "batch", "left")
+        self.catalog._append("batches", rows.select("batch", F.col("items_in").cast("int"), F.coalesce("items_out", F.lit(0)).cast("int").alias("items_out"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("error")))
+
     def run(self, batches: DataFrame, stop_on_failure: bool = True) -> DataFrame:
-        done = {r.batch for r in self.catalog.table("batches").where("not failed").select("batch").collect()}
-        spark = self.catalog.spark
-        for number in sorted(r.batch for r in batches.select("batch").distinct().collect()):
-            if number in done:
-                continue
-            items = batches.where(F.col("batch") == number)
+        done = self.catalog.table("batches").where("not failed").select("batch").distinct()
+        left = Scratch(self.catalog.spark, "batches").save(batches.join(done, "batch", "left_anti"), "open")
+        if left.isEmpty():
+            return self.catalog.table("batches")
+        try:
+            self._run(left)
+        except Exception:
+            self._one_by_one(left, stop_on_failure)
+        return self.catalog.table("batches")
+
+    def _one_by_one(self, left: DataFrame, stop_on_failure: bool) -> None:
+        for number in sorted(r.batch for r in left.select("batch").distinct().collect()):
+            items = left.where(F.col("batch") == number)
             try:
-                chains, parents = self.build(items)
-                self.catalog.add(chains, parents)
-                row = (number, items.count(), chains.select("id").distinct().count(), False, None)
+                self._run(items)
             except Exception as e:
                 row = (number, items.count(), 0, True, f"{type(e).__name__}: {str(e)[:200]}")
-                self.catalog._append("batches", spark.createDataFrame([row], SCHEMAS["batches"]))
+                self.catalog._append("batches", self.catalog.spark.createDataFrame([row], SCHEMAS["batches"]))
                 if stop_on_failure:
                     raise
-                continue
-            self.catalog._append("batches", spark.createDataFrame([row], SCHEMAS["batches"]))
-        return self.catalog.table("batches")
 
     resume = run

@@ -23,6 +23,15 @@ def parse_partners(text: str) -> tuple[list[str], list[str]]:
     return list(left), list(right)
 
 
+def partner_columns(text: Column) -> list[Column]:
+    """``side_a, side_b, error`` of partner texts, as :func:`parse_partners` reads one:
+    ``missing`` if a side is empty, ``shared`` if a letter is on both."""
+    a, b = (F.split_part(text, F.lit("_"), F.lit(k)) for k in (1, 2))
+    letters = lambda c: F.split(c, "")
+    error = F.when((a == "") | (b == ""), "missing").when(F.arrays_overlap(letters(a), letters(b)), "shared")
+    return [a.alias("side_a"), b.alias("side_b"), error.alias("error")]
+
+
 def contacts(atoms: DataFrame, partners: str, cutoff: float = 6.0) -> DataFrame:
     """``structure_id, a, b, dist, a_chain, b_chain, a_res, b_res``: pairs of atoms of
     the two sides within ``cutoff``, solvents left out."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,19 +50,27 @@ def filter_gap_rows(msa: DataFrame, max_frac: float = 1.0) -> DataFrame:
 
 
 def gap_columns(msa: DataFrame, max_gaps: float = 1.0) -> DataFrame:
-    """``msa_id, pos0``: 0-based columns whose gap fraction is ``max_gaps`` or more."""
-    cells = msa.select("msa_id", F.posexplode(F.split("aligned", "")).alias("pos0", "c"))
-    share = F.count_if(F.col("c") == GAP) / F.count(F.lit(1))
-    return cells.groupBy("msa_id", "pos0").agg(share.alias("f")).where(F.col("f") >= max_gaps).select("msa_id", "pos0")
+    """``msa_id, pos0``: 0-based columns whose gap fraction is ``max_gaps`` or more.
+
+    Only the gaps are exploded; columns without one are added where ``max_gaps`` is
+    not above zero, as then every column counts."""
+    sizes = msa.groupBy("msa_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.length("aligned")).alias("width"))
+    if max_gaps <= 0:
+        return sizes.select("msa_id", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pos0")).where("width > 0")
+    chars = F.split("aligned", "")
+    gaps = F.filter(F.transform(chars, lambda x, i: F.when(x == GAP, i)), lambda i: i.isNotNull())
+    n = msa.select("msa_id", F.explode(gaps).alias("pos0")).groupBy("msa_id", "pos0").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(sizes, "msa_id").where(F.col("n") / F.col("rows") >= max_gaps).select("msa_id", "pos0")
 
 
 def remove_gap_columns(msa: DataFrame, max_gaps: float = 1.0) -> DataFrame:
     """The alignment without the columns of :func:`gap_columns`, which travel as one
-    array per alignment, so the rows themselves are not exploded again."""
+    array per alignment; each row is put together from the columns that stay."""
     bad = gap_columns(msa, max_gaps).groupBy("msa_id").agg(F.collect_set("pos0").alias("bad"))
-    kept = F.filter(F.split("aligned", ""), lambda x, i: ~F.array_contains(F.col("bad"), i))
-    out = msa.join(bad, "msa_id", "left")
-    return out.withColumn("aligned", F.when(F.col("bad").isNull(), F.col("aligned")).otherwise(F.array_join(kept, ""))).drop("bad")
+    out = msa.join(bad, "msa_id", "left").withColumn("_chars", F.split("aligned", ""))
+    kept = F.array_except(F.sequence(F.lit(0), F.length("aligned") - 1), F.col("bad"))
+    cut = F.array_join(F.transform(kept, lambda i: F.col("_chars")[i]), "")
+    return out.withColumn("aligned", F.when(F.col("bad").isNull() | (F.length("aligned") == 0), F.col("aligned")).otherwise(cut)).drop("bad", "_chars")
 
 
 def partition_gap_rows(msa: DataFrame, max_fraction: float = 1.0) -> DataFrame:
@@ -74,14 +83,20 @@ def remove_rows(msa: DataFrame, gone: DataFrame) -> DataFrame:
     return msa.join(gone.select("msa_id", "seq_id").distinct(), ["msa_id", "seq_id"], "left_anti")
 
 
+def _numbers(a: pd.Series, b: pd.Series) -> pd.Series:
+    def of(row: str) -> list[int | None]:
+        letter = np.frombuffer(row.encode("utf-32-le"), np.uint32) != ord(GAP)
+        return [n if x else None for n, x in zip(np.cumsum(letter).tolist(), letter.tolist())]
+
+    return pd.Series([list(zip(of(x), of(y))) for x, y in zip(a, b)])
+
+
 def pair_numbering(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """``key, col, n1, n2``: the numbers both rows of an alignment have in a column,
-    null on a gap."""
-    x, y = F.split(a, ""), F.split(b, "")
-    pairs = F.arrays_zip(x.alias("x"), y.alias("y"))
-    rows = df.where(F.length(a) == F.length(b)).select(key, F.posexplode(pairs).alias("k", "p"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-    number = lambda full, ch: F.when(ch != GAP, F.length(F.replace(F.substring(full, F.lit(1), F.col("k") + 1), F.lit(GAP), F.lit(""))))
-    return rows.select(key, (F.col("k") + 1).alias("col"), number(F.col("_a"), F.col("p.x")).alias("n1"), number(F.col("_b"), F.col("p.y")).alias("n2"))
+    null on a gap; one pass over each row."""
+    count = F.pandas_udf(_numbers, "array<struct<n1:int,n2:int>>")
+    rows = df.where(F.length(a) == F.length(b)).select(key, F.posexplode(count(F.col(a), F.col(b))).alias("k", "p"))
+    return rows.select(key, (F.col("k") + 1).alias("col"), "p.n1", "p.n2")
 
 
 def _align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -111,3 +126,86 @@ def annotate(msa: DataFrame, rows: DataFrame) -> DataFrame:
     at = F.instr(F.col("s"), F.col("bare"))
     ok = (at > 0) & (F.length("bare") > 0)
     return found.select("seq_id", F.when(ok, at).alias("start"), F.when(ok, at + F.length("bare") - 1).alias("end"))
+
+
+def annotate_columns(msa: DataFrame, rows: DataFrame) -> DataFrame:
+    """``seq_id, i, col``: for each letter of an aligned row its place in the whole
+    sequence of ``rows`` and its column; none for rows that are no part of theirs."""
+    at = annotate(msa, rows).where("start is not null").select("seq_id", "start")
+    cells = msa.join(at, "seq_id").select("seq_id", "start", F.posexplode(pair_columns(F.col("aligned"))).alias("k", "col"))
+    return cells.select("seq_id", (F.col("start") + F.col("k")).alias("i"), "col")
+
+
+def pair_columns(aligned: Column) -> Column:
+    """The 1-based columns of a row's letters, in order."""
+    places = F.transform(F.split(aligned, ""), lambda x, i: F.when(x != GAP, i + 1))
+    return F.filter(places, lambda i: i.isNotNull())
+
+
+def consensus(msa: DataFrame) -> DataFrame:
+    """``msa_id, consensus``: the most common letter of each column, the first of equals;
+    ``X`` where all are gaps."""
+    cells = msa.select("msa_id", F.posexplode(F.split("aligned", "")).alias("k", "c"))
+    per = cells.groupBy("msa_id", "k", "c").agg(F.count(F.lit(1)).alias("n"))
+    best = per.groupBy("msa_id", "k").agg(F.min(F.struct(F.when(F.col("c") == GAP, 1).otherwise(0).alias("gap"), (-F.col("n")).alias("n"), "c")).alias("m"))
+    letters = F.array_sort(F.collect_list(F.struct("k", F.when(F.col("m.gap") == 1, "X").otherwise(F.col("m.c")).alias("c"))))
+    return best.groupBy("msa_id").agg(F.array_join(F.transform(letters, lambda x: x["c"]), "").alias("consensus"))
+
+
+def _onto(seq: pd.Series, centre: pd.Series) -> pd.DataFrame:
+    rows = []
+    for s, c in zip(seq, centre):
+        if not isinstance(s, str) or not isinstance(c, str):
+            rows.append((None, None))
+            continue
+        a, b, _ = align_pair(s, c)
+        letters, extra = [], [[]]
+        for x, y in zip(a, b):
+            if y == GAP:
+                extra[-1].append(x)
+            else:
+                letters.append(x)
+                extra.append([])
+        rows.append(("".join(letters), ["".join(e) for e in extra]))
+    return pd.DataFrame(rows, columns=["letters", "extra"])
+
+
+def onto(df: DataFrame, seq: str, centre: str) -> DataFrame:
+    """Each row aligned to a text, as ``on``: ``letters``, one for each of the text's
+    places, and ``extra``, the letters that fall before the first, after the first, and
+    so on."""
+    aligner = F.pandas_udf(_onto, "letters string, extra array<string>")
+    return spread(df, seq, 4).withColumn("on", aligner(F.col(seq), F.col(centre)))
+
+
+def add_rows(msa: DataFrame, new: DataFrame) -> DataFrame:
+    """``msa_id, seq_id, aligned, n_dropped``: sequences ``(msa_id, seq_id, s)`` aligned
+    to the consensus of their alignment.  The alignment keeps its columns, so letters
+    between two of them are dropped and counted.  Sequences of alignments that are not
+    there give no row."""
+    rows = onto(new.where(F.col("s").isNotNull()).join(consensus(msa), "msa_id"), "s", "consensus")
+    dropped = F.aggregate("on.extra", F.lit(0), lambda n, x: n + F.length(x))
+    return rows.select("msa_id", "seq_id", F.col("on.letters").alias("aligned"), dropped.alias("n_dropped"))
+
+
+def star_align(rows: DataFrame) -> DataFrame:
+    """``msa_id, seq_id, aligned``: the sequences ``(msa_id, seq_id, s)`` of each group
+    aligned to its longest one, the least id of equals; once a gap, always a gap.
+
+    Rows are aligned one by one, wherever they lie; only the longest insertion at each
+    place of the centre is brought together, so no group meets in one task.  Null and
+    empty sequences are rows of gaps.
+    """
+    rows = rows.select("msa_id", "seq_id", F.coalesce("s", F.lit("")).alias("s"))
+    centre = rows.groupBy("msa_id").agg(F.max_by("s", F.struct(F.length("s"), -F.col("seq_id"))).alias("centre"))
+    on = onto(rows.join(centre, "msa_id"), "s", "centre").select("msa_id", "seq_id", "on.letters", "on.extra")
+    wide = on.select("msa_id", F.posexplode("extra").alias("k", "e")).where("e <> ''").groupBy("msa_id", "k").agg(F.max(F.length("e")).alias("n"))
+    wide = wide.groupBy("msa_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("wide"))
+    gap = lambda i: F.coalesce(F.try_element_at("wide", i), F.lit(0))
+    parts = F.transform("extra", lambda e, i: F.concat(F.rpad(e, gap(i), F.lit(GAP)), F.substring("letters", i + 1, F.lit(1))))
+    return on.join(wide, "msa_id", "left").select("msa_id", "seq_id", F.array_join(parts, "").alias("aligned"))
+
+
+def realign(msa: DataFrame) -> DataFrame:
+    """An alignment made anew from its rows without gaps."""
+    return star_align(msa.select("msa_id", "seq_id", F.replace("aligned", F.lit(GAP), F.lit("")).alias("s")))

@@ -10,6 +10,7 @@ from strandworks.operators import residues as R
 from strandworks.operators import tree as T
 from strandworks.operators.segments import segment_id
 from strandworks.plans.scratch import Scratch
+from strandworks.plans.rank import ranked
 from strandworks.plans.tables import table
 from strandworks.queries._base import SEQUENCES_SQL, Registry, sequences
 
@@ -141,7 +142,7 @@ def _(spark, d):
     """Delete one place, insert at another, number anew."""
     t = table(spark, d, "nation").where("n_nationkey <> 3").select((F.col("n_nationkey") * 2).alias("o"), F.col("n_name").alias("name"))
     both = t.unionByName(spark.createDataFrame([(9, "inserted")], "o int, name string"))
-    return both.select(F.row_number().over(Window.orderBy("o")).cast("long").alias("ord"), "name")
+    return ranked(both, "o").select("ord", "name")
 
 
 @reg.add("op_2_7_9_batches", f"{SEQ}, n AS (SELECT chain_id, seq_id, count(*) OVER (PARTITION BY chain_id) AS c, row_number() OVER (PARTITION BY chain_id ORDER BY seq_id) - 1 AS p FROM sequences WHERE chain_id IS NOT NULL) SELECT chain_id, seq_id, CAST(floor(p * ceil(c / 3.0) / c) AS INTEGER) AS chunk FROM n")
@@ -271,17 +272,28 @@ def _(spark, d):
     return cat.table("chains")
 
 
-@reg.add("op_2_10_11_structure_callback", f"{SEQ} SELECT chain_id, count(*) FILTER (length(s) > 100) AS kept FROM sequences WHERE chain_id IS NOT NULL GROUP BY 1")
+@reg.add("op_2_10_11_structure_callback", f"{SEQ} SELECT chain_id, count(*) AS n, count(*) FILTER (length(s) > 100 AND s LIKE '%W%') AS kept FROM sequences WHERE chain_id IS NOT NULL GROUP BY 1")
 def _(spark, d):
-    return sequences(spark, d).where("chain_id is not null").groupBy("chain_id").agg(F.count_if(F.length("s") > 100).alias("kept"))
+    """Callbacks that each drop structures of a chain; chains stay without any."""
+    from strandworks.functions.extension import fold
+
+    rows = sequences(spark, d).where("chain_id is not null")
+    kept = fold(rows, [lambda t: t.where(F.length("s") > 100), lambda t: t.where(F.contains("s", F.lit("W")))])
+    n = rows.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(kept.groupBy("chain_id").agg(F.count(F.lit(1)).alias("kept")), "chain_id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
 
 
-@reg.add("op_2_11_12_partner_parsing", "SELECT * FROM (VALUES ('A_BC', 'A', 'BC'), ('AB_C', 'AB', 'C')) t(partners, side_a, side_b)")
+@reg.add("op_2_11_12_partner_parsing", """WITH p AS (SELECT DISTINCT 'p' || doc_id AS k, upper(coalesce(lang, '')) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '_' END || upper(left(coalesce(source, ''), CAST(doc_id % 4 AS INTEGER))) AS t FROM documents)
+SELECT k, split_part(t, '_', 1) AS side_a, split_part(t, '_', 2) AS side_b,
+  CASE WHEN split_part(t, '_', 1) = '' OR split_part(t, '_', 2) = '' THEN 'missing' WHEN list_has_any(string_split(split_part(t, '_', 1), ''), string_split(split_part(t, '_', 2), '')) THEN 'shared' END AS error FROM p""")
 def _(spark, d):
-    from strandworks.operators.interface import parse_partners
+    """Texts of chain letters for two sides, with what is wrong with them."""
+    from strandworks.operators.interface import partner_columns
 
-    rows = [(p, *("".join(x) for x in parse_partners(p))) for p in ("A_BC", "AB_C")]
-    return spark.createDataFrame(rows, "partners string, side_a string, side_b string")
+    joint = F.when(F.col("doc_id") % 3 == 0, "").otherwise("_")
+    text = F.concat(F.upper(F.coalesce("lang", F.lit(""))), joint, F.upper(F.substring(F.coalesce("source", F.lit("")), F.lit(1), (F.col("doc_id") % 4).cast("int"))))
+    rows = table(spark, d, "documents").select(F.concat(F.lit("p"), "doc_id").alias("k"), text.alias("t")).distinct()
+    return rows.select("k", *partner_columns(F.col("t")))
 
 
 @reg.add("op_2_4_4_patched_sequences", f"{SEQ} SELECT seq_id, s AS seq1 FROM sequences WHERE regexp_matches(s, '[^WX]')")
@@ -297,3 +309,14 @@ def _(spark, d):
     lossy = lossy.where("lo is not null").select("seq_id", F.col("i").alias("num"), F.col("i").alias("link"), "aa").withColumn("i", F.row_number().over(w.orderBy("num")))
     out = R.patch(lossy, whole.select("seq_id", "i", "aa"), "seq_id", "num", "link", "aa")
     return R.collapse_sequence(out, "seq_id", "aa")
+
+
+@reg.add("op_2_10_10_constructor_support", "WITH r AS (SELECT DISTINCT area FROM collection_files WHERE area IS NOT NULL) SELECT area, '/data/' || CASE area WHEN 'sequence_files' THEN 'sequences' ELSE 'structures' END AS folder FROM r")
+def _(spark, d):
+    """The folders of a collection for the areas its files name."""
+    from strandworks.config import ConstructorConfig
+
+    paths = ConstructorConfig(output="/data/").paths()
+    folders = F.create_map(*[F.lit(x) for pair in paths.items() for x in pair])
+    areas = table(spark, d, "collection_files").where("area is not null").select("area").distinct()
+    return areas.select("area", F.try_element_at(folders, F.col("area")).alias("folder"))

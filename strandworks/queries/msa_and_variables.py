@@ -17,17 +17,19 @@ MSA_SQL = (
     + """,
 msa AS (
   SELECT chain_id AS msa_id, row_number() OVER (PARTITION BY chain_id ORDER BY seq_id) AS ord, seq_id,
-    rpad(s, CAST(max(length(s)) OVER (PARTITION BY chain_id) AS INTEGER), '-') AS aligned
+    substr(s, 1, seq_id % 7 + 1) || repeat('-', max(length(s)) OVER (PARTITION BY chain_id) - length(s)) || substr(s, seq_id % 7 + 2) AS aligned
   FROM sequences WHERE chain_id IS NOT NULL)"""
 )
 W_MSA = f"WITH {MSA_SQL}"
 
 
 def msa(spark, d):
-    """The sequences of each chain, padded to one length."""
+    """The sequences of each chain, brought to one length by gaps after some letters."""
     rows = sequences(spark, d).where("chain_id is not null")
     w = Window.partitionBy("chain_id")
-    aligned = F.rpad("s", F.max(F.length("s")).over(w), F.lit("-"))
+    k = (F.col("seq_id") % 7 + 1).cast("int")
+    gaps = F.repeat(F.lit("-"), F.max(F.length("s")).over(w) - F.length("s"))
+    aligned = F.concat(F.substring("s", F.lit(1), k), gaps, F.substring("s", k + 1, F.length("s")))
     return rows.select(F.col("chain_id").alias("msa_id"), F.row_number().over(w.orderBy("seq_id")).alias("ord"), "seq_id", aligned.alias("aligned"))
 
 
@@ -134,6 +136,34 @@ def _(spark, d):
     return M.annotate(msa(spark, d), sequences(spark, d).select("seq_id", "s"))
 
 
+@reg.add(
+    "op_2_6_5_msa_annotate_columns",
+    f"""{W_MSA}, c AS (SELECT seq_id, aligned, unnest(range(1, length(aligned) + 1)) AS col FROM (SELECT seq_id, substr(aligned, 3) AS aligned FROM msa))
+SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY col) + least(length(s), CASE WHEN seq_id % 7 + 1 < 2 AND length(s) < w THEN seq_id % 7 + 1 ELSE 2 END) AS i, CAST(col AS INTEGER) AS col
+FROM c JOIN (SELECT seq_id, s, length(m.aligned) AS w FROM msa m JOIN sequences USING (seq_id)) USING (seq_id) WHERE substr(c.aligned, col, 1) <> '-'""",
+)
+def _(spark, d):
+    """Rows without their first two columns: each letter's place in the whole sequence."""
+    part = msa(spark, d).withColumn("aligned", F.substring("aligned", 3, 1 << 30))
+    out = M.annotate_columns(part, sequences(spark, d).select("seq_id", "s"))
+    return out.withColumn("i", F.col("i").cast("long"))
+
+
+@reg.add("op_2_6_4_star_alignment")
+def _(spark, d):
+    """The sequences of each chain aligned to the longest one (no SQL: alignment)."""
+    return M.star_align(sequences(spark, d).where("chain_id is not null").select(F.col("chain_id").alias("msa_id"), "seq_id", "s"))
+
+
+@reg.add("op_2_6_4_star_alignment_keeps_letters", f"{W_MSA} SELECT msa_id, seq_id, s, true AS square FROM msa JOIN sequences USING (seq_id)")
+def _(spark, d):
+    """What an alignment must keep: the letters of each row, and one width for all."""
+    w = Window.partitionBy("msa_id")
+    out = M.star_align(sequences(spark, d).where("chain_id is not null").select(F.col("chain_id").alias("msa_id"), "seq_id", "s"))
+    width = F.length("aligned")
+    return out.select("msa_id", "seq_id", F.replace("aligned", F.lit("-"), F.lit("")).alias("s"), (F.min(width).over(w) == F.max(width).over(w)).alias("square"))
+
+
 @reg.add(
     "op_2_8_1_msa_set_operations",
     f"{W_MSA} SELECT msa_id, seq_id, 'first' AS part FROM msa WHERE ord = 1 UNION ALL SELECT msa_id, seq_id, 'rest' FROM msa WHERE ord > 1",

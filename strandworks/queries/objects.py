@@ -113,15 +113,18 @@ def _(spark, d):
     return _mapped(spark, d).select("chain_id", "seq_id", ((once == 1) & F.col("aln").isNotNull()).alias("added"))
 
 
-@reg.add("op_2_6_6_msa_add", f"{W_MSA} SELECT msa_id, seq_id, aligned FROM msa")
+@reg.add("op_2_6_6_msa_add", f"{W_MSA}, b AS (SELECT msa_id, max(length(aligned)) AS w, max(ord) AS last FROM msa GROUP BY 1) SELECT m.msa_id, m.seq_id, CAST(w AS INTEGER) AS n_cols, CASE WHEN ord < last OR last = 1 THEN aligned END AS kept FROM msa m JOIN b USING (msa_id)")
 def _(spark, d):
-    """Alignments without their last rows, and the rows added again at full width."""
+    """Alignments without their last rows, which are aligned to the rest and added: the
+    others keep their columns, and the added ones have as many."""
     rows = msa(spark, d)
-    last = rows.groupBy("msa_id").agg(F.max_by("seq_id", "ord").alias("seq_id"), F.max(F.length("aligned")).alias("width"))
+    last = rows.groupBy("msa_id").agg(F.max_by("seq_id", "ord").alias("seq_id"), F.max("ord").alias("n")).where("n > 1")
     rest = M.remove_rows(rows, last)
-    bare = last.join(sequences(spark, d).select("seq_id", "s"), "seq_id")
-    added = bare.select("msa_id", "seq_id", F.rpad("s", F.col("width"), F.lit("-")).alias("aligned"))
-    return rest.select("msa_id", "seq_id", "aligned").unionByName(added)
+    new = last.join(sequences(spark, d).select("seq_id", "s"), "seq_id").select("msa_id", "seq_id", "s")
+    added = M.add_rows(rest, new)
+    return rest.select("msa_id", "seq_id", F.length("aligned").alias("n_cols"), F.col("aligned").alias("kept")).unionByName(
+        added.select("msa_id", "seq_id", F.length("aligned").alias("n_cols"), F.lit(None).cast("string").alias("kept"))
+    )
 
 
 @reg.add(
@@ -240,9 +243,9 @@ def _(spark, d):
     return out
 
 
-@reg.add("op_2_2_21_realign_rows", f"{W_MSA} SELECT msa_id, seq_id, replace(aligned, '-', '') AS s FROM msa")
+@reg.add("op_2_2_21_realign_rows", f"{W_MSA} SELECT msa_id, seq_id, replace(aligned, '-', '') AS s, true AS square FROM msa")
 def _(spark, d):
-    """Rows without their gaps, as a realignment takes them."""
-    return msa(spark, d).select("msa_id", "seq_id", F.replace("aligned", F.lit("-"), F.lit("")).alias("s"))
-
-
+    """Alignments made anew from their letters: every row keeps them, all are as wide."""
+    out, w = M.realign(msa(spark, d)), Window.partitionBy("msa_id")
+    width = F.length("aligned")
+    return out.select("msa_id", "seq_id", F.replace("aligned", F.lit("-"), F.lit("")).alias("s"), (F.min(width).over(w) == F.max(width).over(w)).alias("square"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from strandworks.operators import residues as R
 from strandworks.operators import segments as S
+from strandworks.plans.rank import ranked
 from strandworks.plans.tables import table
 from strandworks.queries._base import RESIDUES_SQL, SEGMENTS_SQL, SEQUENCES_SQL, Registry, residues, segments, sequences
 
@@ -276,12 +277,7 @@ def _(spark, d):
 @reg.add("op_2_7_1_sort", "SELECT seq_id, row_number() OVER (ORDER BY chain_id NULLS FIRST, seq_id) AS ord FROM chain_sequences")
 def _(spark, d):
     """Global order by id with an explicit rank, from range partitions."""
-    t = table(spark, d, "chain_sequences").select("chain_id", "seq_id").orderBy(F.asc_nulls_first("chain_id"), "seq_id")
-    place = F.monotonically_increasing_id()
-    t = t.select("seq_id", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("at"))
-    sizes = t.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.join(F.broadcast(sizes.select("part", base.alias("base"))), "part").select("seq_id", (F.col("base") + F.col("at") + 1).alias("ord"))
+    return ranked(table(spark, d, "chain_sequences").select("chain_id", "seq_id"), F.asc_nulls_first("chain_id"), "seq_id").select("seq_id", "ord")
 
 
 @reg.add(

@@ -11,7 +11,7 @@ from strandworks.plans.scratch import Scratch
 from strandworks.plans.tables import table
 from strandworks.queries._base import SEQUENCES_SQL, Registry, sequences
 from strandworks.queries.structures import ATOMS_SQL, atoms
-from strandworks.sources import fasta, records, remote
+from strandworks.sources import fasta, records, remote, services
 from strandworks.sources import structure_text as S
 
 reg = Registry()
@@ -279,3 +279,91 @@ def _(spark, d):
 
     rows = I.contacts(atoms(spark, d), "A_BC", 10.0).select("structure_id", "a", "b", F.round("dist", 6).alias("dist"))
     return Scratch(spark, "interface").save(rows, "contacts")
+
+
+@reg.add("op_2_1_38_subprocess", f"{SEQ} SELECT seq_id, true AS ok, lower(s) AS output, NULL AS error FROM sequences WHERE seq_id % 2 = 1 UNION ALL SELECT seq_id, false, NULL, 'no-such-program is not installed' FROM sequences WHERE seq_id % 2 = 0")
+def _(spark, d):
+    """An external program over texts, and one that is not there."""
+    rows = sequences(spark, d)
+    run = lambda part, command: services.run_command(rows.where(F.col("seq_id") % 2 == part), "seq_id", "s", command)
+    return run(1, ["tr", "A-Z", "a-z"]).unionByName(run(0, ["no-such-program"]))
+
+
+@reg.add("op_2_1_24_secondary_structure_run", f"WITH {ATOMS_SQL} SELECT DISTINCT structure_id, false AS ok, 'no-such-program is not installed' AS error FROM atoms")
+def _(spark, d):
+    """The runner's answer where its program is missing, as it is in this box."""
+    texts = atoms(spark, d).groupBy("structure_id").agg(F.count(F.lit(1)).cast("string").alias("text"))
+    return services.secondary_structure(texts, "structure_id", "text", "no-such-program").select("structure_id", "ok", "error")
+
+
+@reg.add("op_2_6_4_external_alignment", f"{SEQ} SELECT DISTINCT chain_id, false AS ok, 'no-such-program is not installed' AS error FROM sequences WHERE chain_id IS NOT NULL")
+def _(spark, d):
+    rows = sequences(spark, d).where("chain_id is not null").groupBy("chain_id").agg(F.array_join(F.collect_list(F.concat(F.lit(">"), "seq_id", F.lit("\n"), "s")), "\n").alias("text"))
+    return services.external_alignment(rows, "chain_id", "text", "no-such-program").select("chain_id", "ok", "error")
+
+
+_WANTED = "wanted AS (SELECT DISTINCT upper(trim(uniprot_id, ' ')) AS id FROM sifts WHERE uniprot_id IS NOT NULL), have AS (SELECT id FROM wanted WHERE length(id) % 2 = 0 AND id < 'P')"
+
+
+def _wanted(spark, d):
+    rows = table(spark, d, "sifts").where("uniprot_id is not null").select(F.upper(F.trim("uniprot_id")).alias("id")).distinct()
+    return rows, rows.where("length(id) % 2 = 0 and id < 'P'")
+
+
+def _requests(spark, d, service, what, fmt):
+    """What a service is asked for: every missing key once, its address, and whether
+    its request has at most the keys that the service takes."""
+    plan = service.plan(*_wanted(spark, d), "id")
+    sizes = plan.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    return plan.join(sizes, "chunk").select("id", service.address(what, F.col("id"), fmt).alias("url"), (F.col("n") <= service.chunk).alias("fits"))
+
+
+for _name, _service, _what, _fmt, _url in (
+    ("op_2_1_29_uniprot_requests", services.UNIPROT, "fasta", "fasta", "'https://rest.uniprot.org/uniprotkb/stream?format=fasta&query=accession:' || id"),
+    ("op_2_1_30_pdb_requests", services.PDB, "structure", "cif", "'https://files.rcsb.org/download/' || id || '.cif'"),
+    ("op_2_1_31_alphafold_requests", services.ALPHAFOLD, "structure", "cif", "'https://alphafold.ebi.ac.uk/files/AF-' || id || '-F1-model_v4.cif'"),
+):
+    reg.add(_name, f"WITH {_WANTED} SELECT id, {_url} AS url, true AS fits FROM wanted WHERE id NOT IN (SELECT id FROM have)")(
+        lambda spark, d, a=_service, b=_what, c=_fmt: _requests(spark, d, a, b, c)
+    )
+
+
+@reg.add("op_2_1_33_api_base", f"WITH {_WANTED} SELECT id, false AS ok, 'offline: no network access' AS error FROM wanted WHERE id NOT IN (SELECT id FROM have)")
+def _(spark, d):
+    """Nothing is fetched without a network; what remains says why."""
+    fetched, remaining = services.UNIPROT.fetch(*_wanted(spark, d), "id")
+    return fetched.unionByName(remaining)
+
+
+@reg.add(
+    "op_2_1_32_orthologs",
+    "WITH r AS (SELECT DISTINCT upper(trim(uniprot_id, ' ')) AS u, upper(trim(pdb, ' ')) AS p, length(pdb_chain) % 2 AS odd FROM sifts WHERE uniprot_id IS NOT NULL AND pdb IS NOT NULL AND pdb_chain IS NOT NULL) SELECT DISTINCT u AS gene, p AS target, 'LDO' AS kind, 'MOUSE' AS organism FROM r WHERE odd = 0",
+)
+def _(spark, d):
+    """Stored responses, one per protein, read into a table of one kind of orthologs."""
+    rows = table(spark, d, "sifts").where("uniprot_id is not null and pdb is not null and pdb_chain is not null")
+    rows = rows.select(F.upper(F.trim("uniprot_id")).alias("u"), F.upper(F.trim("pdb")).alias("p"), (F.length("pdb_chain") % 2).alias("odd")).distinct()
+    one = F.struct(F.concat(F.lit("HUMAN|HGNC=1|UniProtKB="), "u").alias("gene"), F.concat(F.lit("MOUSE|MGI=1|UniProtKB="), "p").alias("target_gene"), F.when(F.col("odd") == 0, "LDO").otherwise("O").alias("ortholog"))
+    # a response is as long as a protein has partners; blocks keep those of hot proteins apart
+    stored = rows.groupBy("u", F.pmod(F.xxhash64("p"), F.lit(16)).alias("block")).agg(F.to_json(F.struct(F.struct(F.struct(F.collect_list(one).alias("mapped")).alias("mapping")).alias("search"))).alias("text"))
+    return services.orthologs(stored, "text").distinct()
+
+
+@reg.add(
+    "op_2_10_7_constructor_hooks",
+    f"""{SEQ}, k AS (SELECT *, seq_id % 3 = 0 AS have FROM sequences) SELECT CAST(seq_id AS VARCHAR) AS id, 'built' AS state, CAST(length(s) AS INTEGER) AS size FROM k WHERE have
+UNION ALL SELECT CAST(seq_id AS VARCHAR), 'offline: no network access', NULL FROM k WHERE NOT have""",
+)
+def _(spark, d):
+    """Items that are staged become objects, the others are asked for in vain."""
+
+    class Sequences(services.Hooks):
+        def init_inputs(self, staged):
+            one = staged.select(F.explode(fasta_entries(F.col("content"))).alias("x"))
+            return one.select(F.col("x.record_id").alias("id"), F.lit("built").alias("state"), F.length("x.body").alias("size"))
+
+    rows = sequences(spark, d).select(F.col("seq_id").cast("string").alias("id"), (F.col("seq_id") % 3 == 0).alias("have"), F.concat(F.lit(">"), "seq_id", F.lit("\n"), "s").alias("content"))
+    hooks = Sequences()
+    fetched, remaining = hooks.fetch_missing(rows.select("id"), rows.where("have").select("id"))
+    built = hooks.init_inputs(rows.where("have").select("id", "content"))
+    return built.unionByName(remaining.select("id", F.col("error").alias("state"), F.lit(None).cast("int").alias("size")))

@@ -683,3 +683,13 @@ def _(spark, d):
     pairs = rows.select(F.col("structure_id").alias("fixed_id"), F.concat("structure_id", F.lit("t")).alias("mobile_id")).distinct()
     out = A.superpose_flexible(pairs, rows.where(is_pol() & (F.col("chain_id") == "A")), other.where(is_pol() & (F.col("chain_id") == "A")), rows.where(is_lig()), other.where(is_lig()))
     return out.select("fixed_id", "mobile_id", "n", F.round("rmsd", 5).alias("rmsd"), F.round("distance", 5).alias("distance"), "error")
+
+
+@reg.add("op_2_6_25_structure_subtypes")
+def _(spark, d):
+    """Marks with each kind of polymer taken for primary (no SQL: components)."""
+    rows, out = atoms(spark, d), None
+    for name in A.SUBTYPES:
+        part = A.mark_components(rows, subtype=name).select("structure_id", "atom_idx", "mark", F.lit(name).alias("subtype"))
+        out = part if out is None else out.unionByName(part)
+    return out

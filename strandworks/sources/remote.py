@@ -11,6 +11,7 @@ URLS = {
     "pdb_file": "https://files.rcsb.org/download/{id}.{fmt}",
     "pdb_info": "https://data.rcsb.org/rest/v1/core/entry/{id}",
     "uniprot": "https://rest.uniprot.org/uniprotkb/stream?format={fmt}&query=accession:{id}",
+    "orthologs": "https://pantherdb.org/services/oai/pantherdb/ortholog/matchortho?geneInputList={id}",
     "predicted": "https://alphafold.ebi.ac.uk/files/AF-{id}-F1-model_v4.{fmt}",
 }
 OFFLINE = "offline: no network access"
