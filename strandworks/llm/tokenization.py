@@ -182,3 +182,18 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: st
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
 
     return spread(docs.select(key, text), key, 2).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+
+
+def decode_corpus(rows: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """``(key, text)``: the texts that rows of ids stand for; null for null, bytes that are
+    no UTF-8 replaced.  An id outside the vocabulary raises."""
+    tokens = read_vocabulary(vocabulary)
+    shared = rows.sparkSession.sparkContext.broadcast(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            texts = [None if x is None else b"".join(table[i] for i in x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return rows.select(key, ids).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, text string")
