@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandworks.functions.tables import AMINO, BACKBONE, NUCLEOTIDES, SIDE_CHAIN
+from strandworks.functions.tables import AMINO, BACKBONE, NUCLEOTIDES, RADII, SIDE_CHAIN
 from strandworks.operators import atoms as A
 from strandworks.operators import interface as I
 from strandworks.operators import ligands as L
@@ -452,7 +452,13 @@ def _(spark, d):
     return I.contact_components(_edges(spark, d))
 
 
-@reg.add("op_2_9_11_split_interface")
+@reg.add(
+    "op_2_9_11_split_interface",
+    f"""WITH RECURSIVE {ATOMS_SQL}, {_EDGES}, links AS (SELECT structure_id, a AS v, b AS w FROM edges UNION SELECT structure_id, b, a FROM edges),
+reach(structure_id, v, w) AS (SELECT structure_id, v, v FROM links UNION SELECT r.structure_id, r.v, l.w FROM reach r JOIN links l ON l.structure_id = r.structure_id AND l.v = r.w),
+part AS (SELECT structure_id, v, min(w) AS component FROM reach GROUP BY 1, 2)
+SELECT e.structure_id, a_chain, b_chain, count(DISTINCT component) AS n_components FROM edges e JOIN part p ON p.structure_id = e.structure_id AND p.v = e.a GROUP BY 1, 2, 3""",
+)
 def _(spark, d):
     return I.split_connected(_edges(spark, d), min_atoms=1, min_res=1)
 
@@ -488,12 +494,31 @@ def _(spark, d):
     return R.spawn_child(rows, "structure_id", ranges, F.concat("structure_id", F.lit("|3-8"))).select("structure_id", "child", "atom_idx")
 
 
-@reg.add("op_2_5_14_surface_area")
+def _areas_sql(rows: str, points: int = 100) -> str:
+    """Areas of the atoms of a table in SQL: dots on each sphere, those that a sphere
+    nearby covers, and the part of the sphere that the others stand for."""
+    radius = "CASE element " + " ".join(f"WHEN '{e}' THEN {r + 1.4!r}" for e, r in RADII.items()) + " END"
+    ball = f"SELECT structure_id, atom_idx, x, y, z, {radius} AS r FROM {rows}"
+    return f"""SELECT a.structure_id, a.atom_idx, 4 * pi() * r * r * (1 - coalesce(hidden, 0) / {points}.0) AS area FROM ({ball}) a LEFT JOIN (
+  SELECT structure_id, atom_idx, count(DISTINCT k) AS hidden FROM (
+    SELECT a.structure_id, a.atom_idx, a.r, a.x - b.x AS x, a.y - b.y AS y, a.z - b.z AS z, b.r AS br FROM ({ball}) a JOIN ({ball}) b ON a.structure_id = b.structure_id AND a.atom_idx <> b.atom_idx
+    WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < (a.r + b.r) ** 2) n,
+    (SELECT k, sqrt(1 - z * z) * cos(phi) AS ux, sqrt(1 - z * z) * sin(phi) AS uy, z AS uz FROM (SELECT k, 1 - 2 * k / {points}.0 AS z, k * pi() * (3 - sqrt(5)) AS phi FROM (SELECT unnest(range(0, {points})) + 0.5 AS k)))
+  WHERE (x + r * ux) ** 2 + (y + r * uy) ** 2 + (z + r * uz) ** 2 < br * br GROUP BY 1, 2) h ON h.structure_id = a.structure_id AND h.atom_idx = a.atom_idx"""
+
+
+@reg.add("op_2_5_14_surface_area", f"{W} SELECT structure_id, atom_idx, round(area, 6) AS area FROM ({_areas_sql('atoms')})")
 def _(spark, d):
     return A.areas(atoms(spark, d)).withColumn("area", F.round("area", 6))
 
 
-@reg.add("op_2_5_13_surface_totals")
+@reg.add(
+    "op_2_5_13_surface_totals",
+    f"""{W}, dry AS (SELECT * FROM atoms WHERE res_name <> 'HOH'), one AS (SELECT * FROM dry WHERE chain_id = 'A'),
+free AS (SELECT structure_id, sum(area) AS free FROM ({_areas_sql('one')}) GROUP BY 1),
+bound AS (SELECT structure_id, sum(area) AS bound FROM ({_areas_sql('dry')}) JOIN (SELECT structure_id, atom_idx FROM one) USING (structure_id, atom_idx) GROUP BY 1)
+SELECT structure_id, round(free, 4) AS free, round(bound, 4) AS bound, round(free - bound, 4) AS buried FROM free JOIN bound USING (structure_id)""",
+)
 def _(spark, d):
     """Free, complex and buried areas of chain A against the rest."""
     rows = atoms(spark, d).where("res_name <> 'HOH'")
@@ -634,7 +659,13 @@ def _(spark, d):
     return rows.select("object_id", "variable_id", "ok", number.alias("number"), F.when(F.col("rtype") == "str", F.col("value")).alias("text"))
 
 
-@reg.add("op_2_11_4_surface_variables")
+@reg.add(
+    "op_2_11_4_surface_variables",
+    f"""{W}, area AS ({_areas_sql('atoms')}), s AS (SELECT DISTINCT structure_id FROM atoms), v AS (SELECT structure_id, atom_name, area FROM area JOIN atoms USING (structure_id, atom_idx) WHERE res_id = 3)
+SELECT structure_id AS object_id, 'SASA(3)' AS variable_id, true AS ok, round(sum(area), 4) AS value, NULL AS error, 'float' AS rtype FROM v GROUP BY 1
+UNION ALL SELECT structure_id, 'SASA(3,CA)', true, round(sum(area), 4), NULL, 'float' FROM v WHERE atom_name = 'CA' GROUP BY 1
+UNION ALL SELECT structure_id, 'SASA(900)', false, NULL, 'empty selection', 'float' FROM s""",
+)
 def _(spark, d):
     """Areas of a residue, of one of its atoms, and of a residue that is not there."""
     return SV.calculate(atoms(spark, d), ["SASA(3)", "SASA(3,CA)", "SASA(900)"], is_lig()).withColumn("value", F.round(F.col("value").cast("double"), 4))
