@@ -95,8 +95,8 @@ def pair_numbering(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """``key, col, n1, n2``: the numbers both rows of an alignment have in a column,
     null on a gap; one pass over each row."""
     count = F.pandas_udf(_numbers, "array<struct<n1:int,n2:int>>")
-    rows = df.where(F.length(a) == F.length(b)).select(key, F.posexplode(count(F.col(a), F.col(b))).alias("k", "p"))
-    return rows.select(key, (F.col("k") + 1).alias("col"), "p.n1", "p.n2")
+    rows = df.where(F.length(a) == F.length(b)).select(key, F.posexplode(count(F.col(a), F.col(b))).alias("_k", "_p"))
+    return rows.select(key, (F.col("_k") + 1).alias("col"), "_p.n1", "_p.n2")
 
 
 def _align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
