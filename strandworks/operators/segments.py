@@ -7,7 +7,7 @@ filter, a join condition or a projection.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,24 +126,34 @@ def resolve_overlaps(df: DataFrame, group: str, s: str, e: str, value: str) -> D
 
 
 def _best_subset(island: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Weighted interval scheduling of ``(s, e, v)`` sorted by end."""
-    ends = [e for _, e, _ in island]
-    # (value, -count, starts negated): the greatest wins
-    table: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
-    came: list[tuple[int, bool]] = [(0, False)]
-    for i, (s, _, v) in enumerate(island):
-        k = bisect_left(ends, s)
-        total, n, starts = table[k]
-        take = (total + v, n - 1, (*starts, -s))
-        came.append((k, True) if take > table[-1] else (i, False))
-        table.append(max(take, table[-1]))
-    out, i = [], len(island)
-    while i:
-        k, taken = came[i]
-        if taken:
-            out.append(island[i - 1])
-        i = k
-    return out[::-1]
+    """Weighted interval scheduling of ``(s, e, v)``.
+
+    From the last start back, the best subset of what begins there or later either
+    takes the segment or not; a subset is kept as its first segment, from which the
+    rest follows, so memory grows with the segments alone.
+    """
+    island = sorted(island)
+    starts, n = [s for s, _, _ in island], len(island)
+    after = [bisect_right(starts, e) for _, e, _ in island]
+    total, fewer, head = [0.0] * (n + 1), [0] * (n + 1), [n] * (n + 1)
+
+    def earlier(i: int, j: int) -> bool:
+        """Whether the subset that begins with i has the smaller starts."""
+        while i < n and j < n:
+            if starts[i] != starts[j]:
+                return starts[i] < starts[j]
+            i, j = head[after[i]], head[after[j]]
+        return False
+
+    for i in range(n - 1, -1, -1):
+        take, skip = (island[i][2] + total[after[i]], fewer[after[i]] - 1), (total[i + 1], fewer[i + 1])
+        mine = take > skip or (take == skip and earlier(i, head[i + 1]))
+        (total[i], fewer[i]), head[i] = (take, i) if mine else (skip, head[i + 1])
+    out, i = [], head[0]
+    while i < n:
+        out.append(island[i])
+        i = head[after[i]]
+    return out
 
 
 def _solve_islands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

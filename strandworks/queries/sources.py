@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandworks.functions.tables import AMINO
 from strandworks.operators import sifts as X
 from strandworks.operators.compaction import fasta_entries
 from strandworks.plans.scratch import Scratch
@@ -86,6 +87,25 @@ def _(spark, d):
     return back.drop("ins_code")
 
 
+@reg.add("op_2_1_7_structure_round_trip_mmcif", f"WITH {ATOMS_SQL} SELECT structure_id, atom_idx, chain_id || 'x' AS chain_id, res_id + 100000 AS res_id, res_name, atom_name || '''' AS atom_name, element, hetero, altloc_id, x, y, z FROM atoms")
+def _(spark, d):
+    """Names and numbers that do not fit the older format, written as mmCIF and parsed."""
+    rows = atoms(spark, d).withColumns({"ins_code": F.lit(""), "chain_id": F.concat("chain_id", F.lit("x")), "res_id": F.col("res_id") + 100000, "atom_name": F.concat("atom_name", F.lit("'"))})
+    back = S.parse_structures(S.structure_texts(rows, "mmcif"), "structure_id", "text", "mmcif")
+    return back.drop("ins_code")
+
+
+@reg.add("op_2_1_6_structure_files", f"WITH {ATOMS_SQL} SELECT structure_id, atom_idx, chain_id, res_id, res_name, atom_name, x, y, z FROM atoms")
+def _(spark, d):
+    """Structures written as files of both formats and read back from their folder."""
+    rows = atoms(spark, d).withColumn("ins_code", F.lit(""))
+    path = Scratch(spark, "structures").path("files")
+    number = F.substring("structure_id", 2, 99).cast("int") % 2
+    S.write_structures(rows.where(number == 0), path, "pdb")
+    S.write_structures(rows.where(number == 1), path, "cif")
+    return S.read_structures(spark, path).select("structure_id", "atom_idx", "chain_id", "res_id", "res_name", "atom_name", "x", "y", "z")
+
+
 @reg.add("op_2_1_9_sequence_dump", f"{SEQ} SELECT seq_id, CAST(i AS INTEGER) AS i, substr(s, i, 1) AS aa FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM sequences)")
 def _(spark, d):
     """Tab-separated dumps in folders by chain type, read back by their paths."""
@@ -158,6 +178,25 @@ def _(spark, d):
     return found.select(F.substring_index("key", ".", 1).alias("comp_id"), F.substring_index("key", ".", -1).alias("digest"), "n_rows")
 
 
+_THREE = "CASE substr(s, 1, 1) " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in AMINO.items()) + " END"
+
+
+@reg.add("op_2_1_18_component_letters", f"{SEQ} SELECT 'C' || seq_id AS res_name, CASE WHEN seq_id % 3 = 0 THEN 'X' WHEN {_THREE} IS NULL AND seq_id % 3 = 1 THEN 'X' ELSE substr(s, 1, 1) END AS letter FROM sequences")
+def _(spark, d):
+    """Letters of components that are modified residues, have a code, or neither."""
+    rows, parent = sequences(spark, d), F.lit(None).cast("string")
+    for three, one in AMINO.items():
+        parent = F.when(F.substring("s", 1, 1) == one, three).otherwise(parent)
+    kind = F.col("seq_id") % 3
+    lines = [
+        F.concat(F.lit("data_C"), "seq_id"), F.concat(F.lit("_chem_comp.id C"), "seq_id"),
+        F.concat(F.lit("_chem_comp.one_letter_code "), F.when(kind == 2, F.substring("s", 1, 1)).otherwise("?")),
+        F.concat(F.lit("_chem_comp.mon_nstd_parent_comp_id "), F.coalesce(F.when(kind == 1, parent), F.lit("?"))),
+    ]
+    texts = rows.select(F.concat(F.lit("C"), "seq_id").alias("id"), F.concat_ws("\n", *lines).alias("text"))
+    return records.component_letters(records.parse_components(texts, "id", "text"))
+
+
 @reg.add("op_2_1_27_model_iterator", f"{SEQ} SELECT chain_id AS source, 'm' || seq_id AS name, 'PF' || seq_id AS acc, CAST(length(s) AS INTEGER) AS length FROM sequences WHERE chain_id IS NOT NULL")
 def _(spark, d):
     one = F.concat(F.lit("HMMER3/f\nNAME  m"), F.col("seq_id"), F.lit("\nACC   PF"), F.col("seq_id"), F.lit("\nLENG  "), F.length("s"), F.lit("\n//\n"))

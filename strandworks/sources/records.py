@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandworks.functions.tables import AMINO
 from strandworks.plans.ship import ship
 from strandworks.sources.structure_text import star_loops
 
@@ -69,6 +70,16 @@ def parse_components(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(id_col, text_col).mapInPandas(run, "comp_id string, grp string, field string, pos int, value string")
 
 
+def component_letters(components: DataFrame) -> DataFrame:
+    """``res_name, letter`` of parsed components: their one-letter code, or that of the
+    standard residue that they are modified from; ``X`` for those with neither."""
+    field = lambda name: F.max(F.when(F.col("field") == name, F.when(~F.col("value").isin("?", "."), F.col("value"))))
+    known = F.create_map(*[F.lit(x) for pair in AMINO.items() for x in pair])
+    rows = components.where("grp = 'chem_comp'").groupBy(F.col("comp_id").alias("res_name")).agg(field("one_letter_code").alias("code"), field("mon_nstd_parent_comp_id").alias("parent"))
+    code = F.when(F.length("code") == 1, F.col("code"))
+    return rows.select("res_name", F.coalesce(code, F.try_element_at(known, F.col("parent")), F.lit("X")).alias("letter"))
+
+
 def parse_models(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Profile models of text files split at ``//``: ``source, name, acc, length``."""
     one = F.explode(F.split(F.col(text_col), r"(?m)^//\s*$")).alias("m")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import gzip
 import shlex
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandworks.plans.scratch import _fs
 from strandworks.plans.ship import ship
 
 SCHEMA = (
@@ -98,15 +100,40 @@ def parse_pdb(text: str, structure_id: str) -> list[tuple]:
 
 
 def format_pdb(rows: list[tuple]) -> str:
-    """PDB text of atom rows."""
+    """PDB text of atom rows.  Serial numbers have five places and begin anew after
+    99,999; chains of more than one letter do not fit, write those as mmCIF."""
     lines = []
     for r in rows:
         _, i, chain, res, ins, res_name, name, element, het, alt, x, y, z = r
         padded = f" {name:<3}" if len(name) < 4 and len(element) < 2 else f"{name:<4}"
-        lines.append(f"{'HETATM' if het else 'ATOM  '}{i + 1:>5} {padded}{alt:1}{res_name:>3} {chain:1}{res:>4}{ins:1}   {x:8.3f}{y:8.3f}{z:8.3f}{1:6.2f}{0:6.2f}          {element:>2}")
+        lines.append(f"{'HETATM' if het else 'ATOM  '}{(i + 1) % 100_000:>5} {padded}{alt:1}{res_name:>3} {chain:1}{res:>4}{ins:1}   {x:8.3f}{y:8.3f}{z:8.3f}{1:6.2f}{0:6.2f}          {element:>2}")
     return "\n".join([*lines, "END"])
 
 
+#: The columns of a written ``_atom_site`` loop.
+_SITE = "group_PDB id type_symbol label_atom_id label_alt_id label_comp_id label_asym_id label_seq_id pdbx_PDB_ins_code Cartn_x Cartn_y Cartn_z auth_seq_id auth_comp_id auth_asym_id auth_atom_id pdbx_PDB_model_num".split()
+
+
+def _quoted(value) -> str:
+    """A value as one word of a STAR text."""
+    text = "" if value is None else str(value)
+    if not text:
+        return "."
+    if "'" in text or text[0] in "_#$[]\"":
+        return f'"{text}"'
+    return f"'{text}'" if any(c.isspace() for c in text) or text in (".", "?") else text
+
+
+def format_mmcif(rows: list[tuple], structure_id: str) -> str:
+    """mmCIF text of atom rows, with as many letters and numbers as they have."""
+    lines = [f"data_{structure_id}", "#", "loop_", *(f"_atom_site.{c}" for c in _SITE)]
+    for r in rows:
+        _, i, chain, res, ins, res_name, name, element, het, alt, x, y, z = r
+        words = ["HETATM" if het else "ATOM", i + 1, element, name, alt, res_name, chain, res, ins or "?", f"{x:.3f}", f"{y:.3f}", f"{z:.3f}", res, res_name, chain, name, 1]
+        lines.append(" ".join(w if w == "?" else _quoted(w) for w in words))
+    return "\n".join([*lines, "#", ""])
+
+
 def parse_structures(texts: DataFrame, id_col: str, text_col: str, fmt: str = "mmcif") -> DataFrame:
     """Atoms of structure texts held in a column; null and other texts give none."""
     parser = parse_mmcif if fmt in ("cif", "mmcif") else parse_pdb
@@ -139,16 +166,35 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, SCHEMA)
 
 
-def structure_texts(atoms: DataFrame) -> DataFrame:
-    """``structure_id, text``: each structure as PDB text."""
+def structure_texts(atoms: DataFrame, fmt: str = "pdb") -> DataFrame:
+    """``structure_id, text``: each structure as PDB or mmCIF text."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("atom_idx")
-        return pd.DataFrame([(pdf["structure_id"].iloc[0], format_pdb([tuple(r) for r in pdf[_COLUMNS].itertuples(index=False)]))], columns=["structure_id", "text"])
+        rows = [tuple(r) for r in pdf.sort_values("atom_idx")[_COLUMNS].itertuples(index=False)]
+        name = pdf["structure_id"].iloc[0]
+        return pd.DataFrame([(name, format_mmcif(rows, name) if fmt in ("cif", "mmcif") else format_pdb(rows))], columns=["structure_id", "text"])
 
     ship(atoms.sparkSession)
     return atoms.select(*_COLUMNS).groupBy("structure_id").applyInPandas(run, "structure_id string, text string")
 
 
+def write_structures(atoms: DataFrame, path: str, fmt: str = "cif") -> None:
+    """One file per structure below ``path``, named by its id and the format; written by
+    the executors, through a file system that all of them and the driver see."""
+    texts = structure_texts(atoms, fmt)
+    spark = atoms.sparkSession
+    staging = f"{path}/.writing-{uuid.uuid4().hex}"
+    texts.select("text", F.concat("structure_id", F.lit(f".{fmt}")).alias("file")).write.option("compression", "none").partitionBy("file").text(staging)
+    fs, folder = _fs(spark, staging)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for part in fs.listStatus(folder):
+        if part.isDirectory() and part.getPath().getName().startswith("file="):
+            name = part.getPath().getName()[5:]
+            for f in fs.listStatus(part.getPath()):
+                if f.getPath().getName().startswith("part-") and not fs.rename(f.getPath(), jpath(f"{path}/{name}")):
+                    raise OSError(f"cannot write {name}")
+    fs.delete(folder, True)
+
+
 def mark_flags(mark, names: dict[str, int]) -> dict:
     """Boolean columns of an integer mark, by bit."""
     return {n.lower(): mark.bitwiseAND(F.lit(b)) > 0 for n, b in names.items()}
