@@ -1,7 +1,7 @@
 """Queries on atoms, contacts, ligands and interfaces.
 
-The input has vectors instead of structures: 250 of them make one, their first three
-dimensions are coordinates, and names follow from the place in the structure.
+The input has vectors instead of structures: 250 of them make eight, each from three
+other dimensions as coordinates, and names follow from the place in the structure.
 """
 
 from __future__ import annotations
@@ -26,15 +26,16 @@ ELEMENTS = ["N", "C", "C", "O", "C", "C", "C", "S"]
 RESIDUES = sorted(AMINO)
 
 
-def atoms(spark, d):
+def atoms(spark, d, scale=100):
     """250 vectors a structure, eight atoms a residue, three chains; every tenth
     residue a ligand and the one before it water; some alternate locations."""
-    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), *[F.round(F.col("embedding")[k].cast("double") * 100, 3).alias(c) for k, c in enumerate("xyz")])
+    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    t = t.select("v", "k", *[F.round(F.col("embedding")[F.col("k") * 3 + i].cast("double") * scale, 3).alias(c) for i, c in enumerate("xyz")])
     at = F.col("v") % 250
     res = F.floor(at / 8).cast("int")
     pick = lambda items, i: F.element_at(F.array(*[F.lit(x) for x in items]), (i + 1).cast("int"))
     return t.select(
-        F.concat(F.lit("s"), F.floor(F.col("v") / 250).cast("string")).alias("structure_id"),
+        F.concat(F.lit("s"), (F.floor(F.col("v") / 250) * 8 + F.col("k")).cast("string")).alias("structure_id"),
         at.cast("int").alias("atom_idx"),
         F.when(res < 12, "A").when(res < 22, "B").otherwise("C").alias("chain_id"),
         res.alias("res_id"),
@@ -49,10 +50,10 @@ def atoms(spark, d):
 
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 ATOMS_SQL = f"""base AS (
-  SELECT vec_id AS v, CAST(vec_id % 250 AS INTEGER) AS atom_idx, CAST((vec_id % 250) // 8 AS INTEGER) AS res_id,
-    round(CAST(embedding[1] AS DOUBLE) * 100, 3) AS x, round(CAST(embedding[2] AS DOUBLE) * 100, 3) AS y, round(CAST(embedding[3] AS DOUBLE) * 100, 3) AS z FROM embeddings),
+  SELECT vec_id // 250 * 8 + k AS number, CAST(vec_id % 250 AS INTEGER) AS atom_idx, CAST((vec_id % 250) // 8 AS INTEGER) AS res_id,
+    round(CAST(embedding[3 * k + 1] AS DOUBLE) * 100, 3) AS x, round(CAST(embedding[3 * k + 2] AS DOUBLE) * 100, 3) AS y, round(CAST(embedding[3 * k + 3] AS DOUBLE) * 100, 3) AS z FROM embeddings, range(8) t(k)),
 atoms AS (
-  SELECT 's' || CAST(v // 250 AS VARCHAR) AS structure_id, atom_idx, CASE WHEN res_id < 12 THEN 'A' WHEN res_id < 22 THEN 'B' ELSE 'C' END AS chain_id, res_id,
+  SELECT 's' || CAST(number AS VARCHAR) AS structure_id, atom_idx, CASE WHEN res_id < 12 THEN 'A' WHEN res_id < 22 THEN 'B' ELSE 'C' END AS chain_id, res_id,
     CASE WHEN res_id % 10 = 9 THEN 'LIG' WHEN res_id % 10 = 8 THEN 'HOH' ELSE {_LIST(RESIDUES)}[res_id % 20 + 1] END AS res_name,
     {_LIST(NAMES)}[atom_idx % 8 + 1] AS atom_name, {_LIST(ELEMENTS)}[atom_idx % 8 + 1] AS element, res_id % 10 = 9 AS hetero,
     CASE WHEN atom_idx % 50 = 0 THEN 'A' WHEN atom_idx % 50 = 1 THEN 'B' ELSE '' END AS altloc_id, x, y, z FROM base),
@@ -177,9 +178,7 @@ def _bond_sql():
 @reg.add("op_2_4_17_bond_graph", f"{W.replace('* 100', '* 20')} {_bond_sql()}")
 def _(spark, d):
     """Covalent bonds, on coordinates scaled so that some atoms are that close."""
-    rows = atoms(spark, d)
-    t = table(spark, d, "embeddings").select(F.concat(F.lit("s"), F.floor(F.col("vec_id") / 250).cast("string")).alias("structure_id"), (F.col("vec_id") % 250).cast("int").alias("atom_idx"), *[F.round(F.col("embedding")[k].cast("double") * 20, 3).alias(c) for k, c in enumerate("xyz")])
-    return A.covalent_bonds(rows.drop("x", "y", "z").join(t, ["structure_id", "atom_idx"])).select("structure_id", "a", "b")
+    return A.covalent_bonds(atoms(spark, d, 20)).select("structure_id", "a", "b")
 
 
 @reg.add("op_2_5_4_distance_aggregate", f"{W} SELECT structure_id, round(min(dist), 6) AS lo, round(max(dist), 6) AS hi, round(avg(dist), 6) AS mean, round(median(dist), 6) AS med FROM pairs WHERE a_res = 3 AND b_res = 9 GROUP BY 1")
