@@ -121,7 +121,7 @@ JOIN (SELECT coalesce('0' || upper(trim(uniprot_id, ' ')), '1' || upper(trim(pdb
 """,
     "p5_split_shares": "SELECT split_name, true AS near FROM split_plan",
     "p7_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "p8_spans": """
+    "p8_spans": r"""
 WITH chars AS (
   SELECT doc_id, i, lower(substr(text, i, 1)) AS c FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents)),
 kept AS (
