@@ -115,7 +115,7 @@ def align(df: DataFrame, a: str, b: str) -> DataFrame:
     numbers)``; ``numbers`` maps the letters of ``a`` to places in ``b``, null on a
     gap.  Null texts give nulls.  The pair is one row, so spread pairs, not objects."""
     aligner = F.pandas_udf(_align, "a string, b string, score int, numbers array<int>")
-    return spread(df, a, 4).withColumn("aln", aligner(F.col(a), F.col(b)))
+    return spread(df, per_core=4).withColumn("aln", aligner(F.col(a), F.col(b)))
 
 
 def annotate(msa: DataFrame, rows: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def onto(df: DataFrame, seq: str, centre: str) -> DataFrame:
     places, and ``extra``, the letters that fall before the first, after the first, and
     so on."""
     aligner = F.pandas_udf(_onto, "letters string, extra array<string>")
-    return spread(df, seq, 4).withColumn("on", aligner(F.col(seq), F.col(centre)))
+    return spread(df, per_core=4).withColumn("on", aligner(F.col(seq), F.col(centre)))
 
 
 def add_rows(msa: DataFrame, new: DataFrame) -> DataFrame:

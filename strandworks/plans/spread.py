@@ -11,10 +11,13 @@ from strandworks.plans.ship import ship
 SMALL = 2 << 20
 
 
-def spread(df: DataFrame, key: str, per_core: int = 1) -> DataFrame:
-    """The same rows, hashed by ``key`` over all cores if the table is so small that a
-    scan would leave cores idle; as they are otherwise."""
+def spread(df: DataFrame, key: str | None = None, per_core: int = 1) -> DataFrame:
+    """The same rows over all cores if the table is so small that a scan would leave cores
+    idle; as they are otherwise.  Rows are hashed by ``key``, which should be close to
+    unique, or dealt out in turn without one, so that no value makes a hot task."""
     ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores * per_core, key) if cores > 1 and size < SMALL * cores else df
+    if cores == 1 or size >= SMALL * cores:
+        return df
+    return df.repartition(cores * per_core, *([key] if key else []))

@@ -106,11 +106,14 @@ def _(spark, d):
     return _mapped(spark, d).groupBy("chain_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.size("aln.numbers")).alias("n_numbers"))
 
 
-@reg.add("op_2_9_4_add_structure", f"{SEQ}, n AS (SELECT chain_id, seq_id, row_number() OVER (PARTITION BY chain_id ORDER BY seq_id) AS k FROM sequences WHERE chain_id IS NOT NULL) SELECT chain_id, seq_id, true AS added FROM n WHERE k > 1")
+@reg.add("op_2_9_4_add_structure", f"{SEQ}, n AS (SELECT chain_id, seq_id, row_number() OVER (PARTITION BY chain_id ORDER BY seq_id) AS k FROM sequences WHERE chain_id IS NOT NULL), twice AS (SELECT chain_id, seq_id FROM n WHERE k > 1 UNION ALL SELECT chain_id, seq_id FROM n WHERE k > 1 AND seq_id % 5 = 0) SELECT chain_id, seq_id, count(*) OVER (PARTITION BY chain_id, seq_id) = 1 AS added FROM twice")
 def _(spark, d):
-    """Additions with a unique id and an alignment to their chain."""
+    """Additions with a unique id and an alignment to their chain; every fifth comes
+    twice, and neither of the two is added."""
+    rows = _mapped(spark, d)
+    rows = rows.unionByName(rows.where("seq_id % 5 = 0"))
     once = F.count(F.lit(1)).over(Window.partitionBy("chain_id", "seq_id"))
-    return _mapped(spark, d).select("chain_id", "seq_id", ((once == 1) & F.col("aln").isNotNull()).alias("added"))
+    return rows.select("chain_id", "seq_id", ((once == 1) & F.col("aln").isNotNull()).alias("added"))
 
 
 @reg.add("op_2_6_6_msa_add", f"{W_MSA}, b AS (SELECT msa_id, max(length(aligned)) AS w, max(ord) AS last FROM msa GROUP BY 1) SELECT m.msa_id, m.seq_id, CAST(w AS INTEGER) AS n_cols, CASE WHEN ord < last OR last = 1 THEN aligned END AS kept FROM msa m JOIN b USING (msa_id)")
@@ -187,9 +190,15 @@ def _(spark, d):
     return tree(spark, d).where("level = 2 and id like 's%'").select("id", F.reverse("id").alias("tag"))
 
 
-@reg.add("op_2_2_29_convert_to_chain", f"{SEQ} SELECT seq_id, 'chain' AS obj_type, s FROM sequences")
+@reg.add("op_2_2_29_convert_to_chain", f"{SEQ} SELECT 'seq_' || seq_id || '|' || seq_start || '-' || seq_end AS id, 3 AS chain_type, 0 AS level, CAST(length(s) AS INTEGER) AS n_letters, CAST(NULL AS VARCHAR) AS parent_id FROM sequences UNION ALL SELECT 'seq_' || seq_id || '|' || seq_start || '-' || seq_end || '<-(child)', 3, 1, 5, 'seq_' || seq_id || '|' || seq_start || '-' || seq_end FROM sequences WHERE length(s) > 200")
 def _(spark, d):
-    return sequences(spark, d).select("seq_id", F.lit("chain").alias("obj_type"), "s")
+    """Sequences, and children of the longer ones, as rows of a chain tree."""
+    own = segment_id(F.concat(F.lit("seq_"), "seq_id"), F.col("seq_start"), F.col("seq_end"))
+    chain = lambda df, id_, level, n, parent: df.select(id_.alias("id"), F.lit(3).alias("chain_type"), F.lit(level).alias("level"), n.alias("n_letters"), parent.alias("parent_id"))
+    rows = sequences(spark, d)
+    top = chain(rows, own, 0, F.length("s"), F.lit(None).cast("string"))
+    kids = rows.where(F.length("s") > 200).withColumn("part", F.substring("s", 3, 5))
+    return top.unionByName(chain(kids, F.concat(own, F.lit("<-(child)")), 1, F.length("part"), own))
 
 
 @reg.add("op_2_3_8_sequence_child_filter", f"{TREE} SELECT id FROM tree WHERE level = 2 AND id LIKE 'c%' AND root = 'r0'")

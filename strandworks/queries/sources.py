@@ -131,6 +131,25 @@ def _(spark, d):
     return table(spark, d, "collection_files").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@reg.add(
+    "op_2_1_20_initialized_objects",
+    _VERSIONS
+    + """, parts AS (SELECT unnest(string_split(chr(10) || regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10) || '>')[2:]) AS p FROM collection_files WHERE area = 'sequence_files'),
+s AS (SELECT DISTINCT regexp_extract(p, '^([^\\s]*)', 1) AS name, CASE WHEN strpos(p, chr(10)) > 0 THEN upper(regexp_replace(substr(p, strpos(p, chr(10))), '\\s+', '', 'g')) ELSE '' END AS body FROM parts)
+SELECT 'sequence' AS kind, name, md5(body) AS digest, CAST(length(body) AS BIGINT) AS size FROM s WHERE body <> ''
+UNION ALL SELECT 'structure', structure_id, digest, count(*) FROM l WHERE len(p) = 7 AND regexp_full_match(p[1], '[0-9]+') GROUP BY 2, 3""",
+)
+def _(spark, d):
+    """Objects of mixed files: each distinct sequence with its letters, each distinct
+    structure with its atoms."""
+    files = table(spark, d, "collection_files")
+    one = files.where("area = 'sequence_files'").select(F.explode(fasta_entries(F.col("content"))).alias("x")).select(F.col("x.record_id").alias("name"), F.col("x.body").alias("body"))
+    sequences_ = one.where("body <> ''").select(F.lit("sequence").alias("kind"), "name", F.md5("body").alias("digest"), F.length("body").cast("long").alias("size")).distinct()
+    atoms_ = S.parse_structures(_versions(spark, d), "key", "text").groupBy(F.col("structure_id").alias("key")).agg(F.count(F.lit(1)).alias("size"))
+    structures = atoms_.select(F.lit("structure").alias("kind"), F.substring_index("key", ".", 1).alias("name"), F.substring_index("key", ".", -1).alias("digest"), "size")
+    return sequences_.unionByName(structures)
+
+
 @reg.add("op_2_1_22_cluster_reader", f"{SEQ} SELECT chain_id AS file, row_number() OVER (PARTITION BY chain_id ORDER BY s) - 1 AS cluster, CAST(m AS VARCHAR) AS member FROM (SELECT chain_id, s, list(seq_id) AS ms FROM sequences WHERE chain_id IS NOT NULL GROUP BY 1, 2), unnest(ms) AS u(m) WHERE false")
 def _(spark, d):
     """Cluster files made from equal sequences of a chain, parsed back."""
