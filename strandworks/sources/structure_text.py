@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import shlex
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strandworks.plans.scratch import _fs
 from strandworks.plans.ship import ship
+from strandworks.sources.binary_structures import parse_mmtf
 
 SCHEMA = (
     "structure_id string, atom_idx int, chain_id string, res_id int, ins_code string, res_name string, atom_name string, element string, "
@@ -148,8 +150,9 @@ def parse_structures(texts: DataFrame, id_col: str, text_col: str, fmt: str = "m
 
 
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of ``.cif``, ``.pdb`` and their ``.gz`` files; the id is the file name up
-    to its first dot.  A file is one record: structures are small, files are many."""
+    """Atoms of ``.cif``, ``.pdb``, ``.mmtf`` and their ``.gz`` files; the id is the file
+    name up to its first dot.  A file is one record: structures are small, files are
+    many.  A binary file that cannot be read gives no atoms."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,6 +161,12 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch["path"], batch["content"]):
                 base = name.rsplit("/", 1)[-1]
                 raw = gzip.decompress(content) if base.endswith(".gz") else bytes(content)
+                if ".mmtf" in base:
+                    try:
+                        rows += parse_mmtf(raw, base.split(".", 1)[0])
+                    except (ValueError, KeyError, IndexError, TypeError, struct.error):
+                        pass
+                    continue
                 parse = parse_pdb if ".pdb" in base else parse_mmcif
                 rows += parse(raw.decode("utf-8", "replace"), base.split(".", 1)[0])
             yield pd.DataFrame(rows, columns=_COLUMNS)
