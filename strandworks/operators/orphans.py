@@ -40,14 +40,23 @@ def key_runs(codes: DataFrame) -> DataFrame:
     return rows.groupBy("block", "island").agg(F.min("code").alias("first"), F.max("code").alias("last")).drop("island")
 
 
+def outside_runs(codes: DataFrame, **runs: DataFrame) -> DataFrame:
+    """``code`` with a flag for each named table of runs: whether the code lies in none of
+    them.  An as-of match to the preceding run start of each table, all in one pass:
+    a code is outside if that run ended before it, or there is none."""
+    nulls = [F.lit(None).cast("long").alias(name) for name in runs]
+    rows = codes.select(F.shiftright("code", BLOCK_BITS).alias("block"), "code", F.lit(1).alias("_kind"), *nulls)
+    for name, table in runs.items():
+        ends = [F.col("last").alias(n) if n == name else F.lit(None).cast("long").alias(n) for n in runs]
+        rows = rows.unionByName(table.select("block", F.col("first").alias("code"), F.lit(0).alias("_kind"), *ends))
+    w = Window.partitionBy("block").orderBy("code", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumns({f"_{n}": F.last(n, ignorenulls=True).over(w) for n in runs}).where("_kind = 1")
+    return found.select("code", *[(F.col(f"_{n}").isNull() | (F.col(f"_{n}") < F.col("code"))).alias(n) for n in runs])
+
+
 def beyond_runs(codes: DataFrame, runs: DataFrame) -> DataFrame:
-    """The ``code``s that lie in no run: as-of match to the preceding run start,
-    kept if the run ended before the code or there is none."""
-    rows = codes.select(F.shiftright("code", BLOCK_BITS).alias("block"), "code", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("last"))
-    rows = rows.unionByName(runs.select("block", F.col("first").alias("code"), F.lit(0).alias("kind"), "last"))
-    asof = F.last("last", ignorenulls=True).over(Window.partitionBy("block").orderBy("code", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = rows.withColumn("until", asof).where("kind = 1")
-    return found.where(F.col("until").isNull() | (F.col("until") < F.col("code"))).select("code")
+    """The ``code``s that lie in no run."""
+    return outside_runs(codes, out=runs).where("out").select("code")
 
 
 def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -82,13 +91,8 @@ def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
     targets = scratch.save(targets.join(codes, "key"), "coded_targets")
     refs = scratch.save(refs.join(codes, "key"), "coded_refs")
     wanted = refs.select("code").distinct()
-    missing = beyond_runs(wanted, key_runs(targets.select("code"))).withColumn("missing", F.lit(True))
-    dead = beyond_runs(wanted, key_runs(targets.where("alive").select("code"))).withColumn("dead", F.lit(True))
-    status = (
-        wanted.join(missing, "code", "left")
-        .join(dead, "code", "left")
-        .join(targets.select("code", "added"), "code", "left")
-    )
+    runs = {"missing": key_runs(targets.select("code")), "dead": key_runs(targets.where("alive").select("code"))}
+    status = outside_runs(wanted, **runs).join(targets.select("code", "added"), "code", "left")
     kind = F.when(F.col("missing"), "missing").when(F.col("dead"), "deleted").when(F.col("added") > F.col("at"), "late")
     found = refs.join(status, "code").select("ref_field", "key", kind.alias("kind"), "month")
     return found.where(F.col("kind").isNotNull())
