@@ -127,7 +127,11 @@ def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             up = top
 
 
-def profile_scan(sequence: str, profile: np.ndarray, gap_open: float = -11.0, gap_extend: float = -1.0) -> tuple[float, int, int, int, int]:
+LETTERS = "ACDEFGHIKLMNPQRSTVWY"
+GAP_OPEN, GAP_EXTEND = -11.0, -1.0
+
+
+def profile_scan(sequence: str, profile: np.ndarray, gap_open: float = GAP_OPEN, gap_extend: float = GAP_EXTEND) -> tuple[float, int, int, int, int]:
     """Best local match of a sequence to a log-odds profile ``(M, 20)``.
 
     Score and closed 1-based ranges ``(score, seq_from, seq_to, hmm_from, hmm_to)``,
@@ -166,12 +170,52 @@ def profile_scan(sequence: str, profile: np.ndarray, gap_open: float = -11.0, ga
     return best
 
 
+def profile_codes(sequences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of sequences as places in :data:`LETTERS` (20 for others), a 21 after each
+    sequence, and where each sequence begins."""
+    table = np.full(256, 20, np.int64)
+    table[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(20)
+    table[0] = 21
+    flat = "\0".join(sequences).encode("latin-1", "replace") + b"\0"
+    begins = np.concatenate([[0], np.cumsum([len(s) + 1 for s in sequences])[:-1]])
+    return table[np.frombuffer(flat, np.uint8)], begins
+
+
+def best_ungapped(codes: np.ndarray, begins: np.ndarray, profile: np.ndarray) -> np.ndarray:
+    """The best score of each sequence on a stretch without gaps: all sequences at once,
+    one column of the profile after the other along the diagonals."""
+    table = np.concatenate([profile, np.full((len(profile), 1), -1.0), np.full((len(profile), 1), -1e9)], 1).astype(np.float32)
+    run, best = np.zeros(len(codes) + 1, np.float32), np.zeros(len(codes), np.float32)
+    for row in table:
+        run[1:] = np.maximum(run[:-1], 0) + row[codes]
+        np.maximum(best, run[1:], out=best)
+    return np.maximum.reduceat(best, begins)
+
+
+def profile_score(codes: np.ndarray, profile: np.ndarray) -> float:
+    """The score of :func:`profile_scan`, without the places."""
+    m = len(profile)
+    table = np.concatenate([profile, np.full((m, 1), -1.0)], 1).T.copy()
+    match, ins, dele = np.zeros(m + 1), np.full(m + 1, -1e9), np.full(m + 1, -1e9)
+    ramp, best = GAP_EXTEND * np.arange(1, m + 1), 0.0
+    for emit in table[codes]:
+        new = np.zeros(m + 1)
+        new[1:] = np.maximum(np.maximum(match[:-1], 0.0), np.maximum(ins[:-1], dele[:-1])) + emit
+        ins = np.maximum(match + GAP_OPEN, ins + GAP_EXTEND)
+        dele = np.concatenate([[-1e9], np.maximum.accumulate(new[:-1] + GAP_OPEN - ramp) + ramp])
+        match, best = new, max(best, float(new.max()))
+    return best
+
+
 def profile_matches(sequence: str, profile: np.ndarray, min_score: float = 0.0) -> list[tuple[float, int, int, int, int]]:
     """Every match of :func:`profile_scan` above ``min_score``, in sequence order: the
-    best one, then those left and right of it, so that none overlaps another."""
-    out, todo = [], [(0, len(sequence))]
+    best one, then those left and right of it, so that none overlaps another.  A part
+    without a stretch that a match above ``min_score`` must have is not scanned."""
+    out, todo, least = [], [(0, len(sequence))], min(max(min_score, 0.0), -GAP_OPEN) - 1e-3
     while todo:
         a, b = todo.pop()
+        if a >= b or best_ungapped(*profile_codes([sequence[a:b]]), profile)[0] <= max(least, 0.0):
+            continue
         score, i, j, p, q = profile_scan(sequence[a:b], profile)
         if score > max(min_score, 0.0):
             out.append((score, a + i, a + j, p, q))

@@ -100,3 +100,31 @@ def test_profile_matches_all_domains(spark):
     assert sorted(r.name for r in out.collect()) == ["p_1", "p_2", "q_1"] and {r.cov_hmm for r in out.collect()} == {1.0}
     found = profile_matches("ACDXACD", np.where(np.eye(20)[:3], 3.0, -5.0))
     assert [m[1:3] for m in found] == [(1, 3), (5, 7)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_profile_bounds_lose_no_match(seed):
+    """The score without places is that of the scan, and the stretch without gaps
+    reaches what a match with gaps needs."""
+    import random
+
+    from strandworks.functions.kernels import GAP_OPEN, best_ungapped, profile_codes, profile_score
+
+    rng, letters = random.Random(seed), "ACDEFGHIKLMNPQRSTVWY"
+    core = "".join(rng.choice(letters) for _ in range(rng.randrange(5, 60)))
+    profile = np.full((len(core), 20), -0.7)
+    profile[np.arange(len(core)), [letters.index(c) for c in core]] = 2.35
+    seqs = ["A", "X" * 9]
+    for _ in range(8):
+        s = list(core)
+        for _ in range(rng.randrange(12)):
+            k = rng.randrange(len(s))
+            s[k : k + rng.randrange(2)] = [rng.choice(letters) for _ in range(rng.randrange(3))]
+            s = s or ["A"]
+        seqs.append("".join(rng.choice(letters + "X") for _ in range(rng.randrange(20))) + "".join(s))
+    codes, begins = profile_codes(seqs)
+    free = best_ungapped(codes, begins, profile)
+    for i, s in enumerate(seqs):
+        score = profile_scan(s, profile)[0]
+        assert profile_score(codes[begins[i] : begins[i] + len(s)], profile) == pytest.approx(score)
+        assert free[i] >= min(score, -GAP_OPEN) - 1e-3
