@@ -1,15 +1,27 @@
 """Operators on sequences kept as one row per position: ``(object, i, column, ...)``.
 
 ``obj`` names the object column and ``i`` the 1-based position everywhere; further
-columns are maps (numberings, letters, anything aligned with the positions).
+columns are maps (numberings, letters, anything aligned with the positions).  The
+``packed`` forms take one row per object with its maps as arrays, so that no position is
+shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandworks.plans.spread import spread
+
+#: Positions that a packed kernel holds at a time, or one object.
+PIECE = 1 << 19
+
 
 def explode_sequence(df: DataFrame, obj: str, seq: str, into: str = "seq1", keep: list[str] | None = None) -> DataFrame:
     """One row per letter; null and empty sequences have no rows."""
@@ -99,8 +111,9 @@ def map_boundaries(df: DataFrame, obj: str, key: str, start: Column, end: Column
 def relate(df: DataFrame, other: DataFrame, obj: str, link: str, points_to: str, column: str, into: str) -> DataFrame:
     """Bring ``column`` of ``other`` over: ``df.link`` meets the first occurrence of
     the same value in ``other.points_to`` of the same object; null where none does.
-    A null link meets a null key, if there is one."""
-    right = other.groupBy(F.col(obj).alias("_o"), F.col(points_to).alias("_k")).agg(F.min_by(column, "i").alias(into))
+    A null link meets a null key, if there is one.  Positions are many more than the
+    size of their table tells, so neither side is ever broadcast."""
+    right = other.groupBy(F.col(obj).alias("_o"), F.col(points_to).alias("_k")).agg(F.min_by(column, "i").alias(into)).hint("merge")
     return df.join(right, (df[obj] == right["_o"]) & df[link].eqNullSafe(right["_k"]), "left").drop("_o", "_k")
 
 
@@ -121,7 +134,7 @@ def patch(df: DataFrame, template: DataFrame, obj: str, numbering: str, link: st
     gaps = rows.withColumn("_n2", F.lead("_n").over(w)).withColumn("_l2", F.lead("_l").over(w))
     gaps = gaps.where((F.col("_n2") - F.col("_n") > 1) & F.col("_l").isNotNull() & F.col("_l2").isNotNull())
     gaps = gaps.select(obj, F.col("i").alias("_at"), F.explode(F.filter(F.sequence(F.col("_l"), F.col("_l2")), lambda x: (x > F.col("_l")) & (x < F.col("_l2")))).alias("_t"))
-    extra = gaps.join(template.select(F.col(obj).alias("_o"), F.col("i").alias("_ti"), F.col(column)), (F.col(obj) == F.col("_o")) & (F.col("_t") == F.col("_ti")))
+    extra = gaps.join(template.select(F.col(obj).alias("_o"), F.col("i").alias("_ti"), F.col(column)).hint("merge"), (F.col(obj) == F.col("_o")) & (F.col("_t") == F.col("_ti")))
     both = rows.select(obj, F.col("i").alias("_at"), F.lit(0).alias("_t"), column, F.lit(False).alias("patched")).unionByName(
         extra.select(obj, "_at", F.col("_t").cast("int").alias("_t"), column, F.lit(True).alias("patched"))
     )
@@ -129,6 +142,61 @@ def patch(df: DataFrame, template: DataFrame, obj: str, numbering: str, link: st
     return both.select(obj, again.alias("i"), column, "patched")
 
 
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _numbers(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists in a row, 0 for nulls, and which are known."""
+    flat = lists.flatten()
+    return pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_valid(flat).to_numpy(zero_copy_only=False)
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def _packed(df: DataFrame, keep: list[str], maps: list[Column], kernel: Callable[..., list[pa.Array]], schema: str) -> DataFrame:
+    """``kernel`` over the arrays of ``maps``, pieces of a batch at a time; ``keep`` goes along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(_sizes(batch.column(len(keep))))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE)) + 1).tolist(), len(ends)]
+            for a, b in zip(cuts, cuts[1:]):
+                piece = batch.slice(a, b - a).columns
+                out = piece[: len(keep)] + kernel(*piece[len(keep) :])
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
+    names = keep + [x.split()[0] for x in schema.split(", ")]
+    return spread(df).select(*keep, *[c.alias(f"_{k}") for k, c in enumerate(maps)]).mapInArrow(run, ", ".join([*kinds, schema]))
+
+
+def _relate(link: pa.Array, points_to: pa.Array, column: pa.Array) -> list[pa.Array]:
+    key, known = _numbers(points_to)
+    sought, given = _numbers(link)
+    low, high = (int(key[known].min()), int(key[known].max())) if known.any() else (0, -1)
+    code = lambda x, ok, sizes: np.repeat(np.arange(len(sizes)), sizes) * (high - low + 2) + np.where(ok, x - low + 1, 0)
+    own = code(key, known, _sizes(points_to))
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    wanted = np.where(~given | ((sought >= low) & (sought <= high)), code(sought, given, _sizes(link)), -1)
+    at = np.searchsorted(own, wanted)
+    found = at < len(own)
+    found[found] = own[at[found]] == wanted[found]
+    places = np.zeros(len(at), np.int64)
+    places[found] = order[at[found]]
+    return [_lists(_sizes(link), column.flatten().take(pa.array(places, mask=~found)))]
+
+
+def relate_packed(df: DataFrame, keep: list[str], link: Column, points_to: Column, column: Column, into: str) -> DataFrame:
+    """:func:`relate` of objects with themselves, one row an object: ``keep`` and the array
+    ``into``, as long as ``link``.  ``points_to`` and ``column`` are equally long; links
+    and keys are whole numbers, ``column`` is text."""
+    return _packed(df, keep, [link, points_to, column], _relate, f"{into} array<string>")
+
+
 def coverage(df: DataFrame, obj: str, columns: list[str], prefix: str = "cov") -> DataFrame:
     """Non-null fraction of each column per object."""
     return df.groupBy(obj).agg(*[(F.count(c) / F.count(F.lit(1))).alias(f"{prefix}_{c}") for c in columns])

@@ -189,8 +189,10 @@ def _(spark, d):
 SELECT r.seq_id, r.i, o.via FROM residues r LEFT JOIN other o ON r.seq_id = o.seq_id AND r.num IS NOT DISTINCT FROM o.num""",
 )
 def _(spark, d):
-    rows = residues(spark, d)
-    return R.relate(rows, rows, "seq_id", "num", "num", "aa", "via").select("seq_id", "i", "via")
+    letters = F.split("s", "")
+    num = F.transform(letters, lambda x, k: F.when(x != "X", F.col("seq_start") + k))
+    out = R.relate_packed(sequences(spark, d), ["seq_id"], num, num, letters, "via")
+    return out.select("seq_id", F.posexplode("via").alias("k", "via")).select("seq_id", (F.col("k") + 1).alias("i"), "via")
 
 
 @reg.add("op_2_4_2_fill", f"{RES} SELECT seq_id, i, coalesce(num, -i) AS patched FROM residues")
