@@ -219,8 +219,9 @@ def _(spark, d):
 
 @reg.add("op_2_4_5_map_transfer", f"{RES} SELECT a.seq_id, a.i, b.aa AS moved FROM residues a LEFT JOIN residues b ON a.seq_id = b.seq_id AND b.i = a.i + 2")
 def _(spark, d):
-    rows = residues(spark, d)
-    return R.relate(rows.withColumn("link", F.col("i") + 2), rows, "seq_id", "link", "i", "aa", "moved").select("seq_id", "i", "moved")
+    n = F.length("s")
+    out = R.relate_packed(sequences(spark, d), ["seq_id"], F.sequence(F.lit(3), n + 2), F.sequence(F.lit(1), n), F.split("s", ""), "moved")
+    return out.select("seq_id", F.posexplode("moved").alias("k", "moved")).select("seq_id", (F.col("k") + 1).alias("i"), "moved")
 
 
 @reg.add(

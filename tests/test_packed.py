@@ -58,3 +58,7 @@ def test_relations_and_patches_of_positions_broadcast_nothing(spark):
     df = spark.createDataFrame([("x", 1, 10, "a")], "o string, i int, k int, v string")
     assert "Broadcast" not in _plan(R.relate(df, df, "o", "k", "k", "v", "w"))
     assert "Broadcast" not in _plan(R.patch(df, df.select("o", "i", "v"), "o", "k", "k", "v"))
+
+
+def test_map_transfer_broadcasts_nothing(spark, folder):
+    _check(spark, folder, "op_2_4_5_map_transfer")
