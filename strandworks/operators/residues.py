@@ -197,6 +197,31 @@ def relate_packed(df: DataFrame, keep: list[str], link: Column, points_to: Colum
     return _packed(df, keep, [link, points_to, column], _relate, f"{into} array<string>")
 
 
+def _patch(numbering: pa.Array, link: pa.Array, column: pa.Array, template: pa.Array) -> list[pa.Array]:
+    sizes, lengths = _sizes(link), _sizes(template)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    (n, n_known), (at, at_known) = _numbers(numbering), _numbers(link)
+    known = n_known & at_known
+    jumps = np.zeros(len(row), bool)
+    jumps[:-1] = (row[:-1] == row[1:]) & known[:-1] & known[1:] & (n[1:] - n[:-1] > 1)
+    first = np.maximum(at + 1, 1)
+    last = np.minimum(np.append(at[1:], 0) - 1, lengths[row])
+    whole = 1 + np.where(jumps, np.maximum(last - first + 1, 0), 0)
+    owner = np.repeat(np.arange(len(row)), whole)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
+    base = len(row) + (np.cumsum(lengths) - lengths)[row] + first - 1
+    places = np.where(within == 0, owner, base[owner] + within - 1)
+    values = pa.concat_arrays([column.flatten(), template.flatten()]).take(pa.array(places))
+    grown = np.bincount(row, whole, len(sizes)).astype(np.int64)
+    return [_lists(grown, values), _lists(grown, pa.array(within > 0))]
+
+
+def patch_packed(df: DataFrame, keep: list[str], numbering: Column, link: Column, column: Column, template: Column) -> DataFrame:
+    """:func:`patch` with one row an object: ``keep`` and the arrays ``letters`` and
+    ``patched``.  ``template`` holds the letters of the template from its position 1 on."""
+    return _packed(df, keep, [numbering, link, column, template], _patch, "letters array<string>, patched array<boolean>")
+
+
 def coverage(df: DataFrame, obj: str, columns: list[str], prefix: str = "cov") -> DataFrame:
     """Non-null fraction of each column per object."""
     return df.groupBy(obj).agg(*[(F.count(c) / F.count(F.lit(1))).alias(f"{prefix}_{c}") for c in columns])

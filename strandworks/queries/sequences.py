@@ -208,13 +208,12 @@ def _(spark, d):
 )
 def _(spark, d):
     """Sequences that lost W and X get them back from the template."""
-    whole = residues(spark, d)
-    lossy = whole.where(~F.col("aa").isin("W", "X")).withColumn("link", F.col("i"))
-    again = F.row_number().over(Window.partitionBy("seq_id").orderBy("i"))
-    lossy = lossy.withColumn("num", F.col("i")).withColumn("i", again)
-    out = R.patch(lossy, whole.select("seq_id", "i", "aa"), "seq_id", "num", "link", "aa")
-    first = lossy.groupBy("seq_id").agg((F.min("link") - 1).alias("before"))
-    return out.join(first, "seq_id").select("seq_id", (F.col("i") + F.col("before")).cast("int").alias("i"), "aa", "patched")
+    places = F.transform(F.split("s", ""), lambda x, k: F.struct(x.alias("aa"), (k + 1).alias("at")))
+    rows = sequences(spark, d).where(F.rlike("s", F.lit("[^WX]"))).withColumn("lossy", F.filter(places, lambda p: ~p["aa"].isin("W", "X")))
+    rows = rows.select("seq_id", "s", "lossy", (F.col("lossy")[0]["at"] - 1).alias("before"))
+    out = R.patch_packed(rows, ["seq_id", "before"], F.col("lossy.at"), F.col("lossy.at"), F.col("lossy.aa"), F.split("s", ""))
+    out = out.select("seq_id", "before", "patched", F.posexplode("letters").alias("k", "aa"))
+    return out.select("seq_id", (F.col("before") + F.col("k") + 1).alias("i"), "aa", F.col("patched")[F.col("k")].alias("patched"))
 
 
 @reg.add("op_2_4_5_map_transfer", f"{RES} SELECT a.seq_id, a.i, b.aa AS moved FROM residues a LEFT JOIN residues b ON a.seq_id = b.seq_id AND b.i = a.i + 2")

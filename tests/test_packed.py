@@ -62,3 +62,24 @@ def test_relations_and_patches_of_positions_broadcast_nothing(spark):
 
 def test_map_transfer_broadcasts_nothing(spark, folder):
     _check(spark, folder, "op_2_4_5_map_transfer")
+
+
+def test_patch_broadcasts_nothing(spark, folder):
+    _check(spark, folder, "op_2_4_3_patch")
+
+
+def test_packed_patch_is_that_of_positions(spark):
+    rng = random.Random(2)
+    objects = []
+    for o in range(40):
+        n = rng.randrange(0, 9)
+        at, number = sorted(rng.sample(range(-2, 25), n)), sorted(rng.sample(range(50), n))
+        hole = lambda xs: [None if rng.random() < 0.15 else x for x in xs]
+        objects.append((o, hole(number), hole(at if o % 4 else at[::-1]), list("abcdefghi"[:n]), list("ABCDEFGHIJKLMNOPQRSTUVW"[: rng.randrange(0, 23)])))
+    df = spark.createDataFrame(objects, "o int, n array<int>, l array<int>, c array<string>, t array<string>")
+    flat = spark.createDataFrame([(x[0], i + 1, *y) for x in objects for i, y in enumerate(zip(*x[1:4]))], "o int, i int, n int, l int, c string")
+    template = spark.createDataFrame([(x[0], i + 1, c) for x in objects for i, c in enumerate(x[4])], "o int, i int, c string")
+    want = sorted((r.o, r.i, r.c, r.patched) for r in R.patch(flat, template, "o", "n", "l", "c").collect())
+    out = R.patch_packed(df, ["o"], F.col("n"), F.col("l"), F.col("c"), F.col("t")).collect()
+    assert any(p for *_, p in want)
+    assert sorted((r.o, i + 1, c, p) for r in out for i, (c, p) in enumerate(zip(r.letters, r.patched))) == want
