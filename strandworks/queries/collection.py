@@ -299,16 +299,13 @@ def _(spark, d):
 @reg.add("op_2_4_4_patched_sequences", f"{SEQ} SELECT seq_id, s AS seq1 FROM sequences WHERE regexp_matches(s, '[^WX]')")
 def _(spark, d):
     """Sequences that lost W and X between other letters, patched and made text again."""
-    from strandworks.queries._base import residues
-
-    whole = residues(spark, d)
-    w = Window.partitionBy("seq_id")
-    inner = F.when(~F.col("aa").isin("W", "X"), F.col("i"))
-    rows = whole.withColumns({"lo": F.min(inner).over(w), "hi": F.max(inner).over(w)})
-    lossy = rows.where(~F.col("aa").isin("W", "X") | (F.col("i") < F.col("lo")) | (F.col("i") > F.col("hi")))
-    lossy = lossy.where("lo is not null").select("seq_id", F.col("i").alias("num"), F.col("i").alias("link"), "aa").withColumn("i", F.row_number().over(w.orderBy("num")))
-    out = R.patch(lossy, whole.select("seq_id", "i", "aa"), "seq_id", "num", "link", "aa")
-    return R.collapse_sequence(out, "seq_id", "aa")
+    letters, lost = F.split("s", ""), F.lit("WX")
+    low, high = F.length("s") - F.length(F.ltrim("s", lost)) + 1, F.length(F.rtrim("s", lost))
+    places = F.transform(letters, lambda x, k: F.struct(x.alias("aa"), (k + 1).alias("at")))
+    rows = sequences(spark, d).where(F.rlike("s", F.lit("[^WX]"))).withColumns({"lo": low, "hi": high})
+    rows = rows.select("seq_id", "s", F.filter(places, lambda p: ~p["aa"].isin("W", "X") | (p["at"] < F.col("lo")) | (p["at"] > F.col("hi"))).alias("lossy"))
+    out = R.patch_packed(rows, ["seq_id"], F.col("lossy.at"), F.col("lossy.at"), F.col("lossy.aa"), letters)
+    return out.select("seq_id", F.array_join("letters", "").alias("seq1"))
 
 
 @reg.add("op_2_10_10_constructor_support", "WITH r AS (SELECT DISTINCT area FROM collection_files WHERE area IS NOT NULL) SELECT area, '/data/' || CASE area WHEN 'sequence_files' THEN 'sequences' ELSE 'structures' END AS folder FROM r")

@@ -83,3 +83,7 @@ def test_packed_patch_is_that_of_positions(spark):
     out = R.patch_packed(df, ["o"], F.col("n"), F.col("l"), F.col("c"), F.col("t")).collect()
     assert any(p for *_, p in want)
     assert sorted((r.o, i + 1, c, p) for r in out for i, (c, p) in enumerate(zip(r.letters, r.patched))) == want
+
+
+def test_patched_sequences_broadcast_nothing(spark, folder):
+    _check(spark, folder, "op_2_4_4_patched_sequences")
