@@ -170,20 +170,30 @@ def _solve_islands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(key[0], *x) for x in _best_subset(island)], columns=["g", "s", "e", "v"])
 
 
+def numbered_spans(df: DataFrame, keys: list[str], frm: tuple[str, str], to: tuple[str, str]) -> DataFrame:
+    """``keys, at, from_pos, to_pos, n, n_mapped``: :func:`segment_numbering` as stretches of
+    ``n`` positions of which the first ``n_mapped`` have a to-position and the others, a hole, none.
+    """
+    w = Window.partitionBy(*keys)
+    rows = df.select(*keys, F.col(frm[0]).alias("_f"), F.col(frm[1]).alias("_t"), F.col(to[0]).alias("_a"), F.col(to[1]).alias("_b"))
+    rows = rows.groupBy(*keys, "_a").agg(F.min("_f").alias("_f"), F.max("_t").alias("_t"), F.max("_b").alias("_b"))
+    rows = rows.withColumns({"_f": F.min("_f").over(w), "_t": F.max("_t").over(w), "_p": F.min("_a").over(w), "_next": F.lead("_a").over(w.orderBy("_a"))})
+    rows = rows.withColumn("_b", F.max("_b").over(w.orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)))
+    # from the segment's start to the next one's, or to the end of either side
+    a, last = F.col("_a"), F.col("_p").cast("long") + F.col("_t") - F.col("_f")
+    end = F.least(F.coalesce(F.col("_next") - 1, F.col("_b")), last).cast("int")
+    rows = rows.withColumn("_end", end).where("_end >= _a").withColumn("_before", a - F.col("_p"))
+    n, mapped = F.col("_end") - a + 1, F.least("_b", "_end") - a + 1
+    return rows.select(*keys, (F.col("_before") + 1).alias("at"), (F.col("_f") + F.col("_before")).alias("from_pos"), a.alias("to_pos"), n.alias("n"), mapped.alias("n_mapped"))
+
+
 def segment_numbering(df: DataFrame, keys: list[str], frm: tuple[str, str], to: tuple[str, str]) -> DataFrame:
     """Pair the continuous from-range of each key with its to-segments, position by position.
 
     The from side runs from its least start to its greatest end; the to side is its
     segments in order, their holes filled with nulls; the longer side is cut.
-    Columns ``keys, at, from_pos, to_pos``.
+    Columns ``keys, at, from_pos, to_pos``.  Positions come out last and are not shuffled.
     """
-    w = Window.partitionBy(*keys).orderBy(to[0], to[1])
-    rows = df.select(*keys, *frm, *to).distinct()
-    rows = rows.withColumn("_next", F.lead(to[0]).over(w))
-    spans = rows.select(*keys, F.col(to[0]).alias("a"), F.when(F.col("_next").isNull(), F.col(to[1])).otherwise(F.greatest(F.col(to[1]), F.col("_next") - 1)).alias("b"), F.col(to[1]).alias("till"))
-    target = spans.select(*keys, "till", F.explode(F.sequence("a", "b")).alias("p"))
-    target = target.groupBy(*keys, "p").agg(F.bool_or(F.col("p") <= F.col("till")).alias("there"))
-    target = target.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("p")).alias("at"), F.when(F.col("there"), F.col("p")).alias("to_pos"))
-    source = df.groupBy(*keys).agg(F.min(frm[0]).alias("a"), F.max(frm[1]).alias("b")).select(*keys, F.posexplode(F.sequence("a", "b")).alias("_k", "from_pos"))
-    source = source.select(*keys, (F.col("_k") + 1).alias("at"), "from_pos")
-    return source.join(target, [*keys, "at"])
+    rows = numbered_spans(df, keys, frm, to).select(*keys, "at", "from_pos", "to_pos", "n_mapped", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_k"))
+    k = F.col("_k")
+    return rows.select(*keys, (F.col("at") + k).alias("at"), (F.col("from_pos") + k).alias("from_pos"), F.when(k < F.col("n_mapped"), F.col("to_pos") + k).alias("to_pos"))

@@ -266,11 +266,11 @@ def _(spark, d):
 
 @reg.add("op_2_4_8_sifts_numbering", "")
 def _(spark, d):
-    from strandworks.operators.segments import segment_numbering
+    from strandworks.operators.segments import numbered_spans
 
     rows = X.clean(table(spark, d, "sifts")).where("uniprot_start >= 1 and uniprot_end >= uniprot_start and pdb_start >= 1 and pdb_end >= pdb_start")
-    out = segment_numbering(rows.withColumn("c", F.concat_ws(":", "pdb", "chain")), ["uniprot_id", "c"], ("uniprot_start", "uniprot_end"), ("pdb_start", "pdb_end"))
-    return out.groupBy("uniprot_id", "c").agg(F.count(F.lit(1)).alias("n"), F.count("to_pos").alias("n_mapped"))
+    out = numbered_spans(rows.withColumn("c", F.concat_ws(":", "pdb", "chain")), ["uniprot_id", "c"], ("uniprot_start", "uniprot_end"), ("pdb_start", "pdb_end"))
+    return out.groupBy("uniprot_id", "c").agg(F.sum("n").alias("n"), F.sum("n_mapped").alias("n_mapped"))
 
 
 SQL["op_2_4_8_sifts_numbering"] = f"""WITH {_SIFTS}, base AS (SELECT *, pdb || ':' || chain AS c FROM rows WHERE uniprot_start >= 1 AND uniprot_end >= uniprot_start AND pdb_start >= 1 AND pdb_end >= pdb_start),

@@ -87,3 +87,32 @@ def test_packed_patch_is_that_of_positions(spark):
 
 def test_patched_sequences_broadcast_nothing(spark, folder):
     _check(spark, folder, "op_2_4_4_patched_sequences")
+
+
+@pytest.fixture(scope="module")
+def segments(spark, tmp_path_factory):
+    """Segments that overlap, nest, touch, leave holes and have a longer or shorter other side."""
+    d = str(tmp_path_factory.mktemp("segments"))
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        s, p, n, m = rng.randrange(-1, 30), rng.randrange(-1, 40), rng.randrange(-1, 12), rng.randrange(-1, 12)
+        pdb, chain, u = rng.choice(["1abc", " 1ABC ", "2abc", "3abc", None]), rng.choice(["A", "B", "C"]), rng.choice(["p1", "P1", "P2", " P3", None])
+        rows.append((f"{pdb}:{chain}".upper() if pdb else None, pdb, chain, u, p, p + m, s, s + n))
+    spark.createDataFrame(rows, "pdb_chain string, pdb string, chain string, uniprot_id string, pdb_start int, pdb_end int, uniprot_start int, uniprot_end int").write.parquet(f"{d}/sifts.parquet")
+    return d
+
+
+def _check_segments(spark, d, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"create view sifts as select * from '{d}/sifts.parquet/*.parquet'")
+    df = entry.queries()[name](spark, d)
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(c.execute(entry.oracle_sql()[name]).fetchall(), key=repr)
+    return _plan(df)
+
+
+def test_sifts_numbering_counts_stretches_not_positions(spark, segments):
+    plan = _check_segments(spark, segments, "op_2_4_8_sifts_numbering")
+    assert "Generate" not in plan and "Join" not in plan
