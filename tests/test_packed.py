@@ -116,3 +116,8 @@ def _check_segments(spark, d, name):
 def test_sifts_numbering_counts_stretches_not_positions(spark, segments):
     plan = _check_segments(spark, segments, "op_2_4_8_sifts_numbering")
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_segment_numbering_shuffles_no_positions(spark, segments):
+    plan = _check_segments(spark, segments, "op_2_4_7_segment_numbering")
+    assert "Join" not in plan and "Exchange" not in plan.split("Generate explode")[0]
