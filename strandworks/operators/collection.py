@@ -147,7 +147,8 @@ def parse_items(df: DataFrame, item: str) -> DataFrame:
     has_map = F.instr(item, "=>") > 0
     seq = F.when(has_map, F.split_part(item, F.lit("=>"), F.lit(1))).when(F.instr(item, ":") == 0, F.col(item))
     rest = F.when(has_map, F.split_part(item, F.lit("=>"), F.lit(2))).when(F.instr(item, ":") > 0, F.col(item)).otherwise("")
-    rows = df.select(F.col(item).alias("item"), F.trim(seq).alias("seq_id"), F.explode(F.split(rest, ";")).alias("s"))
+    # an item may hold a million structures, so it is read before it is exploded, not for each row
+    rows = df.select(F.col(item).alias("item"), F.trim(seq).alias("seq_id"), F.split(rest, ";").alias("ss")).select("item", "seq_id", F.explode("ss").alias("s"))
     chains = F.when(F.instr("s", ":") > 0, F.split(F.split_part("s", F.lit(":"), F.lit(2)), ",")).otherwise(F.array(F.lit(None).cast("string")))
     name = F.when(F.col("s") != "", F.trim(F.split_part("s", F.lit(":"), F.lit(1))))
     return rows.select("item", "seq_id", name.alias("str_id"), F.explode(chains).alias("chain_id"))

@@ -121,3 +121,14 @@ def test_sifts_numbering_counts_stretches_not_positions(spark, segments):
 def test_segment_numbering_shuffles_no_positions(spark, segments):
     plan = _check_segments(spark, segments, "op_2_4_7_segment_numbering")
     assert "Join" not in plan and "Exchange" not in plan.split("Generate explode")[0]
+
+
+def test_a_long_item_is_read_once(spark):
+    from strandworks.operators import collection as C
+
+    item = "X=>" + ";".join(f"{k}ABC:A,B" for k in range(3000))
+    df = C.parse_items(spark.createDataFrame([(item,)], "item string"), "item").select("seq_id", "str_id", "chain_id")
+    assert {tuple(r) for r in df.collect()} == {("X", f"{k}ABC", c) for k in range(3000) for c in "AB"}
+    rows = spark.createDataFrame([(item,)], "item string").repartition(2)
+    above = C.parse_items(rows, "item").select("seq_id", "str_id", "chain_id")._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(ss")[0]
+    assert "=>" not in above
