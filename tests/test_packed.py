@@ -1,5 +1,6 @@
 """Operators on whole objects: the same rows as by positions, and no position is broadcast or shuffled."""
 
+import math
 import random
 
 import pytest
@@ -132,3 +133,19 @@ def test_a_long_item_is_read_once(spark):
     rows = spark.createDataFrame([(item,)], "item string").repartition(2)
     above = C.parse_items(rows, "item").select("seq_id", "str_id", "chain_id")._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(ss")[0]
     assert "=>" not in above
+
+
+def test_profile_build_joins_no_cells(spark, folder):
+    from strandworks.operators import profiles as P
+    from strandworks.queries.msa_and_variables import msa
+
+    df = entry.queries()["op_2_6_7_profile_build"](spark, folder)
+    assert "Join" not in _plan(df) and "Generate" not in _plan(df)
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == _by_sql(folder, "op_2_6_7_profile_build")
+    packed, table = P.build_packed(msa(spark, folder)), P.build(msa(spark, folder))
+    assert sorted(map(tuple, P.pack(table).collect())) == sorted(map(tuple, packed.collect()))
+    # ragged rows: a column counts the rows that reach it; half gaps stay, more go
+    ragged = spark.createDataFrame([("x", "A-C"), ("x", "A-CD"), ("x", "AG-"), ("y", ""), ("z", "--"), (None, "A"), ("v", None)], "msa_id string, aligned string")
+    (row,) = P.build_packed(ragged).collect()
+    assert (row.msa_id, row.m, len(row.scores)) == ("x", 3, 60)
+    assert row.scores[0] == pytest.approx(math.log(3.05 / 4 * 20)) and row.scores[42] == pytest.approx(math.log(1.05 / 2 * 20))
