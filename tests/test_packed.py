@@ -149,3 +149,8 @@ def test_profile_build_joins_no_cells(spark, folder):
     (row,) = P.build_packed(ragged).collect()
     assert (row.msa_id, row.m, len(row.scores)) == ("x", 3, 60)
     assert row.scores[0] == pytest.approx(math.log(3.05 / 4 * 20)) and row.scores[42] == pytest.approx(math.log(1.05 / 2 * 20))
+
+
+def test_profile_search_broadcasts_nothing(spark, folder):
+    plan = _plan(entry.queries()["op_2_6_8_profile_search"](spark, folder))
+    assert "Broadcast" not in plan and "Generate" not in plan
