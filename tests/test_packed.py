@@ -154,3 +154,7 @@ def test_profile_build_joins_no_cells(spark, folder):
 def test_profile_search_broadcasts_nothing(spark, folder):
     plan = _plan(entry.queries()["op_2_6_8_profile_search"](spark, folder))
     assert "Broadcast" not in plan and "Generate" not in plan
+
+
+def test_profile_annotate_broadcasts_nothing(spark, folder):
+    assert "Broadcast" not in _plan(entry.queries()["op_2_6_9_profile_annotate"](spark, folder))
