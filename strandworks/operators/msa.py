@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import pickle
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strandworks.functions.kernels import align_pair, numbers_of
+from strandworks.functions.kernels import align_pairs, numbers_of
+from strandworks.plans.ship import ship
 from strandworks.plans.spread import spread
 
 GAP = "-"
+#: Letters of rows that a task holds at a time.
+HELD = 1 << 22
 
 
 def verify(msa: DataFrame) -> DataFrame:
@@ -100,12 +109,14 @@ def pair_numbering(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
 
 def _align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    known = [isinstance(x, str) and isinstance(y, str) for x, y in zip(a, b)]
+    aligned = iter(align_pairs([(x, y) for x, y, ok in zip(a, b, known) if ok]))
     rows = []
-    for x, y in zip(a, b):
-        if not isinstance(x, str) or not isinstance(y, str):
+    for ok in known:
+        if not ok:
             rows.append((None, None, None, None))
             continue
-        p, q, score = align_pair(x, y)
+        p, q, score = next(aligned)
         rows.append((p, q, score, numbers_of(p, q)))
     return pd.DataFrame(rows, columns=["a", "b", "score", "numbers"])
 
@@ -153,12 +164,17 @@ def consensus(msa: DataFrame) -> DataFrame:
 
 
 def _onto(seq: pd.Series, centre: pd.Series) -> pd.DataFrame:
+    known = [isinstance(s, str) and isinstance(c, str) for s, c in zip(seq, centre)]
+    aligned = iter(align_pairs([(s, c) for s, c, ok in zip(seq, centre, known) if ok]))
     rows = []
-    for s, c in zip(seq, centre):
-        if not isinstance(s, str) or not isinstance(c, str):
+    for ok in known:
+        if not ok:
             rows.append((None, None))
             continue
-        a, b, _ = align_pair(s, c)
+        a, b, _ = next(aligned)
+        if GAP not in b:
+            rows.append((a, [""] * (len(b) + 1)))
+            continue
         letters, extra = [], [[]]
         for x, y in zip(a, b):
             if y == GAP:
@@ -188,22 +204,98 @@ def add_rows(msa: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("msa_id", "seq_id", F.col("on.letters").alias("aligned"), dropped.alias("n_dropped"))
 
 
+def _insertions(a: str, b: str) -> tuple[str, dict[int, str]]:
+    """Of ``a`` aligned to ``b``: the letters at the places of ``b``, and those before each place."""
+    if GAP not in b:
+        return a, {}
+    letters, extra = [], {}
+    for x, y in zip(a, b):
+        if y == GAP:
+            extra[len(letters)] = extra.get(len(letters), "") + x
+        else:
+            letters.append(x)
+    return "".join(letters), extra
+
+
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``msa_id, seq_id, s, centre``, alignments one after the other, to ``msa_id, seq_id, aligned``.
+
+    Rows wait until the widths of their alignment are known, beyond ``HELD`` letters in a file."""
+    group, held, size, wide, file = None, [], 0, {}, None
+
+    def spread_out() -> Iterator[pa.RecordBatch]:
+        places, out, full = sorted(wide), [], 0
+
+        def chunks() -> Iterator[list]:
+            if file is not None:
+                file.seek(0)
+                while (n := file.read(8)) and (part := file.read(int.from_bytes(n, "big"))):
+                    yield pickle.loads(part)
+            yield held
+
+        for chunk in chunks():
+            for name, letters, extra in chunk:
+                parts, since = [], 0
+                for k in places:
+                    parts += [letters[since:k], extra.get(k, "").ljust(wide[k], GAP)]
+                    since = k
+                out.append((name, "".join([*parts, letters[since:]])))
+                full += len(out[-1][1])
+                if full > HELD:
+                    yield out
+                    out, full = [], 0
+        if out:
+            yield out
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        ids, names, texts = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(names, kinds[1]), pa.array(texts)], ["msa_id", "seq_id", "aligned"])
+
+    ready, full = [], 0
+    for batch in batches:
+        kinds = [f.type for f in batch.schema]
+        ids, names, texts, centres = (c.to_pylist() for c in batch.columns)
+        for key, name, (a, b, _) in zip(ids, names, align_pairs(list(zip(texts, centres)))):
+            if key != group:
+                for rows in spread_out():
+                    ready += [(group, *r) for r in rows]
+                    full += sum(len(r[1]) for r in rows)
+                    if full > HELD:
+                        yield batch_of(ready)
+                        ready, full = [], 0
+                if file is not None:
+                    file.close()
+                group, held, size, wide, file = key, [], 0, {}, None
+            letters, extra = _insertions(a, b)
+            for k, e in extra.items():
+                wide[k] = max(wide.get(k, 0), len(e))
+            held.append((name, letters, extra))
+            size += len(letters)
+            if size > HELD:
+                file = file or tempfile.TemporaryFile()
+                part = pickle.dumps(held)
+                file.write(len(part).to_bytes(8, "big") + part)
+                held, size = [], 0
+    for rows in spread_out():
+        yield batch_of([*ready, *[(group, *r) for r in rows]])
+        ready = []
+    if ready:
+        yield batch_of(ready)
+
+
 def star_align(rows: DataFrame) -> DataFrame:
     """``msa_id, seq_id, aligned``: the sequences ``(msa_id, seq_id, s)`` of each group
     aligned to its longest one, the least id of equals; once a gap, always a gap.
 
-    Rows are aligned one by one, wherever they lie; only the longest insertion at each
-    place of the centre is brought together, so no group meets in one task.  Null and
-    empty sequences are rows of gaps.
+    A group's rows come by in one task, longest first, and are aligned once; what a task
+    holds is bounded, whatever the group.  Null and empty sequences are rows of gaps.
     """
-    rows = rows.select("msa_id", "seq_id", F.coalesce("s", F.lit("")).alias("s"))
-    centre = rows.groupBy("msa_id").agg(F.max_by("s", F.struct(F.length("s"), -F.col("seq_id"))).alias("centre"))
-    on = onto(rows.join(centre, "msa_id"), "s", "centre").select("msa_id", "seq_id", "on.letters", "on.extra")
-    wide = on.select("msa_id", F.posexplode("extra").alias("k", "e")).where("e <> ''").groupBy("msa_id", "k").agg(F.max(F.length("e")).alias("n"))
-    wide = wide.groupBy("msa_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("wide"))
-    gap = lambda i: F.coalesce(F.try_element_at("wide", i), F.lit(0))
-    parts = F.transform("extra", lambda e, i: F.concat(F.rpad(e, gap(i), F.lit(GAP)), F.substring("letters", i + 1, F.lit(1))))
-    return on.join(wide, "msa_id", "left").select("msa_id", "seq_id", F.array_join(parts, "").alias("aligned"))
+    ship(rows.sparkSession)
+    order = Window.partitionBy("msa_id").orderBy(F.length("s").desc(), F.asc_nulls_last("seq_id"))
+    rows = rows.where(F.col("msa_id").isNotNull()).select("msa_id", "seq_id", F.coalesce("s", F.lit("")).alias("s"))
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("msa_id", "seq_id")]
+    rows = rows.repartition("msa_id").withColumn("centre", F.first("s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.sortWithinPartitions("msa_id").mapInArrow(_star, f"msa_id {kinds[0]}, seq_id {kinds[1]}, aligned string")
 
 
 def realign(msa: DataFrame) -> DataFrame:

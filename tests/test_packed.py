@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from strandworks.functions.kernels import _scores, align_pair, align_pairs
 from strandworks.operators import residues as R
 
 
@@ -158,3 +159,47 @@ def test_profile_search_broadcasts_nothing(spark, folder):
 
 def test_profile_annotate_broadcasts_nothing(spark, folder):
     assert "Broadcast" not in _plan(entry.queries()["op_2_6_9_profile_annotate"](spark, folder))
+
+
+def test_pairs_aligned_at_once_are_those_aligned_alone():
+    rng = random.Random(0)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [("", ""), ("", "AX"), ("WX", ""), ("XXXX", "XXXX"), ("aé-x", "A-ÿb"), (text("ACDEFGX", 700), text("ACDEFGX", 1500))]
+    for n in [1, 2, 5, 20, 60] * 12:
+        a = text(rng.choice(["ACDEFGHIKLMNPQRSTVWYX", "AX", "AC"]), n)
+        k = rng.randrange(n)
+        pairs += [(a, a), (a, a[:k] + a[k + 3 :]), (a[:k] + "WW" + a[k:], a), (a, text("ACWX", rng.randrange(80)))]
+    assert align_pairs(pairs) == [align_pair(a, b) for a, b in pairs]
+    assert align_pairs(pairs[:200], gap=-1) == [align_pair(a, b, gap=-1) for a, b in pairs[:200]]
+
+
+def test_a_text_and_itself_need_no_table():
+    matrix, _ = _scores()
+    own = matrix.diagonal()
+    assert (2 * matrix <= own[:, None] + own[None, :]).all()
+    long = "ACDX" * 50_000  # a table of 40 billion cells
+    assert align_pairs([(long, long)]) == [(long, long, 50_000 * (4 + 9 + 6 - 1))]
+
+
+def test_star_alignment_aligns_once_and_shuffles_rows_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from strandworks.operators import msa as M
+
+    rows = [("a", 1, "ACDEFG"), ("a", 2, "ACWWDEFG"), ("a", 3, "DEFG"), ("a", 4, None), ("a", 5, "ACDEFGKK"), ("b", 6, "AC"), ("c", 7, ""), ("c", 8, None), (None, 9, "AC")]
+    rows += [("d", k, "ACDEFGHIKL"[: 3 + k % 8] + "W" * (k % 3)) for k in range(20, 60)]
+    df = M.star_align(spark.createDataFrame(rows, "msa_id string, seq_id long, s string"))
+    plan = _plan(df)
+    assert "Join" not in plan and plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1
+    out = {r.seq_id: (r.msa_id, r.aligned) for r in df.collect()}
+    assert {k: v[1].replace("-", "") for k, v in out.items()} == {k: s or "" for m, k, s in rows if m}
+    assert all(len({len(v[1]) for v in out.values() if v[0] == m}) == 1 for m in "abcd")
+    # rows that wait in a file come out as those that wait in memory
+    ordered = sorted((r for r in rows if r[0]), key=lambda r: (r[0], -len(r[2] or ""), r[1]))
+    centre = {}
+    for m, _, s in ordered:
+        centre.setdefault(m, s or "")
+    batch = pa.RecordBatch.from_pylist([{"msa_id": m, "seq_id": k, "s": s or "", "centre": centre[m]} for m, k, s in ordered])
+    monkeypatch.setattr(M, "HELD", 15)
+    filed = [r for b in M._star(iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist()]
+    assert {r["seq_id"]: (r["msa_id"], r["aligned"]) for r in filed} == out and len(filed) == len(out)
