@@ -157,6 +157,37 @@ def test_profile_search_broadcasts_nothing(spark, folder):
     assert "Broadcast" not in plan and "Generate" not in plan
 
 
+def test_profile_search_takes_profiles_in_blocks(spark, folder, monkeypatch):
+    import numpy as np
+
+    from strandworks.functions.kernels import GAP_OPEN, LETTERS, best_ungapped, profile_bounds, profile_codes, profile_columns, profile_matches, profile_score, profile_scores
+    from strandworks.operators import profiles as P
+
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice(LETTERS + "X") for _ in range(n))
+    cores = [text(n) for n in (1, 3, 30, 80, 200)]
+    seqs = ["A", "X" * 9, *cores, *[text(9) + c[: len(c) // 2] + text(4) + c[len(c) // 2 + 3 :] for c in cores], cores[3] + cores[4] + cores[3]]
+    grids = [np.where(np.array(list(c))[:, None] == np.array(list(LETTERS)), 2.35, -0.7) for c in cores]
+    codes, begins = profile_codes(seqs)
+    for s, b in zip(seqs, begins.tolist()):
+        own = codes[b : b + len(s)]
+        assert profile_scores(own, grids) == pytest.approx([profile_score(own, g) for g in grids])
+        free = [best_ungapped(*profile_codes([s]), g)[0] for g in grids]
+        near = set(profile_bounds(own, profile_columns(grids), -GAP_OPEN - 1e-3).tolist())
+        assert {k for k, x in enumerate(free) if x > -GAP_OPEN - 1e-3} <= near <= {k for k, x in enumerate(free) if x > -GAP_OPEN - 0.5}
+    # blocks smaller than any profile, and one block of all, give the matches of each pair alone
+    table = spark.createDataFrame([(f"p{k}", len(g), g.ravel().tolist()) for k, g in enumerate(grids)], "msa_id string, m int, scores array<double>")
+    rows = spark.createDataFrame(list(enumerate(seqs)), "k long, s string")
+    want = sorted((i, f"p{k}", n, *m, len(g)) for i, s in enumerate(seqs) for k, g in enumerate(grids) for n, m in enumerate(profile_matches(s, g, 20.0), 1))
+    assert len(want) > 8
+    met = []
+    for size in (1, 1 << 15):
+        monkeypatch.setattr(P, "COLUMNS", size)
+        met.append(P._pack_profiles(table.coalesce(1)).count())
+        assert sorted(map(tuple, P.search(rows, "k", "s", table).collect())) == want
+    assert met == [len(grids), 1]
+
+
 def test_profile_annotate_broadcasts_nothing(spark, folder):
     assert "Broadcast" not in _plan(entry.queries()["op_2_6_9_profile_annotate"](spark, folder))
 
