@@ -173,10 +173,11 @@ def _solve_islands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def numbered_spans(df: DataFrame, keys: list[str], frm: tuple[str, str], to: tuple[str, str]) -> DataFrame:
     """``keys, at, from_pos, to_pos, n, n_mapped``: :func:`segment_numbering` as stretches of
     ``n`` positions of which the first ``n_mapped`` have a to-position and the others, a hole, none.
+    Segments may repeat.  They are shuffled once, by the keys.
     """
     w = Window.partitionBy(*keys)
     rows = df.select(*keys, F.col(frm[0]).alias("_f"), F.col(frm[1]).alias("_t"), F.col(to[0]).alias("_a"), F.col(to[1]).alias("_b"))
-    rows = rows.groupBy(*keys, "_a").agg(F.min("_f").alias("_f"), F.max("_t").alias("_t"), F.max("_b").alias("_b"))
+    rows = rows.repartition(*keys).groupBy(*keys, "_a").agg(F.min("_f").alias("_f"), F.max("_t").alias("_t"), F.max("_b").alias("_b"))
     rows = rows.withColumns({"_f": F.min("_f").over(w), "_t": F.max("_t").over(w), "_p": F.min("_a").over(w), "_next": F.lead("_a").over(w.orderBy("_a"))})
     rows = rows.withColumn("_b", F.max("_b").over(w.orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)))
     # from the segment's start to the next one's, or to the end of either side

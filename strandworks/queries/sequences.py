@@ -9,7 +9,7 @@ from strandworks.operators import residues as R
 from strandworks.operators import segments as S
 from strandworks.plans.rank import ranked
 from strandworks.plans.tables import table
-from strandworks.queries._base import RESIDUES_SQL, SEGMENTS_SQL, SEQUENCES_SQL, Registry, residues, segments, sequences
+from strandworks.queries._base import RESIDUES_SQL, SEGMENTS_SQL, SEQUENCES_SQL, Registry, residues, segment_rows, segments, sequences
 
 reg = Registry()
 QUERIES, SQL = reg.queries, reg.sql
@@ -234,7 +234,7 @@ SELECT f.g, f.c, CAST(f.from_pos - f.s0 + 1 AS INTEGER) AS at, CAST(f.from_pos A
 FROM f JOIN sp ON f.g = sp.g AND f.c = sp.c AND f.from_pos - f.s0 = sp.p - sp.p0 LEFT JOIN cov ON cov.g = sp.g AND cov.c = sp.c AND cov.p = sp.p""",
 )
 def _(spark, d):
-    rows = segments(spark, d).withColumnRenamed("name", "c")
+    rows = segment_rows(spark, d).withColumnRenamed("name", "c")
     return S.segment_numbering(rows, ["g", "c"], ("s", "e"), ("ps", "pe"))
 
 

@@ -125,6 +125,15 @@ def test_segment_numbering_shuffles_no_positions(spark, segments):
     assert "Join" not in plan and "Exchange" not in plan.split("Generate explode")[0]
 
 
+def test_segments_are_shuffled_once_for_their_numbering(spark, segments, tmp_path):
+    plan = _check_segments(spark, segments, "op_2_4_7_segment_numbering").split("== Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    # a segment that is there again and again is one
+    rows = spark.read.parquet(f"{segments}/sifts.parquet")
+    rows.unionByName(rows).unionByName(rows.limit(30)).repartition(5).write.parquet(f"{tmp_path}/sifts.parquet")
+    _check_segments(spark, str(tmp_path), "op_2_4_7_segment_numbering")
+
+
 def test_a_long_item_is_read_once(spark):
     from strandworks.operators import collection as C
 
